@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from paperloom.llm import url_filter
+from paperloom.llm import mixing, quality, url_filter
 
 QUERIES = {
+    "op3_quality_rules": quality.query,
+    "op7_mixing": mixing.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {
+    "op3_quality_rules": quality.SQL,
+    "op7_mixing": mixing.SQL,
     "op10_url_filter": url_filter.SQL,
 }

@@ -38,7 +38,7 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words of `text` (long; null: 0)."""
-    trimmed = F.trim(F.lit(SPACES), F.coalesce(text, F.lit("")))
+    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_RUN))).cast("long")
 
 
