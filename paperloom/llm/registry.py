@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from paperloom.llm import mixing, quality, url_filter
+from paperloom.llm import mixing, near_dup, packing, quality, topk, url_filter, warc
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op3_quality_rules": quality.query,
+    "op5_near_dup": near_dup.query,
+    "op6_topk": topk.query,
     "op7_mixing": mixing.query,
+    "op8_warc": warc.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {
     "op3_quality_rules": quality.SQL,
+    "op6_topk": topk.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_warc": warc.SQL,
     "op10_url_filter": url_filter.SQL,
 }

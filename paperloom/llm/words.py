@@ -131,3 +131,9 @@ def shingles(word: np.ndarray, row: np.ndarray, n_rows: int, size: int) -> tuple
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     return h[new], r[new]
+
+
+def bound_batches(spark) -> None:
+    """Keep Arrow batches small, whatever the length of the texts, so that Python workers need little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
