@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import mixing, near_dup, packing, quality, topk, url_filter, warc
+from paperloom.llm import mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_packing": packing.query,
     "op3_quality_rules": quality.query,
     "op5_near_dup": near_dup.query,
