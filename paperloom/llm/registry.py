@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
+from paperloom.llm import lm, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_topk": topk.query,
     "op7_mixing": mixing.query,
     "op8_warc": warc.query,
+    "op9_lm_score": lm.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {
