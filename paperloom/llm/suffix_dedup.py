@@ -27,7 +27,7 @@ from paperloom.session import materialize
 
 MIN_BYTES, GRAM = 50, 16
 #: Text bytes for each bucket of anchors, bytes of a shard, and bytes of text that the kernels work on at once.
-BUCKET_BYTES, SHARD_BYTES, SLICE = 64 << 20, 2 << 20, 1 << 17
+BUCKET_BYTES, SHARD_BYTES, SLICE = 12 << 20, 1 << 20, 1 << 17
 #: Different segments of an anchor from which on each string is dealt by itself, so that no shard grows with an anchor.
 HOT = 5_000
 #: Stands for a null doc_id, which counts as the largest.
