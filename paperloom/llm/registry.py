@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import lm, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
+from paperloom.llm import html_text, lm, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_packing": packing.query,
     "op3_quality_rules": quality.query,
+    "op4_html_text": html_text.query,
     "op5_near_dup": near_dup.query,
     "op6_topk": topk.query,
     "op7_mixing": mixing.query,
