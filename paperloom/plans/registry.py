@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from paperloom.plans import review_queries
+
+QUERIES = {**review_queries.QUERIES}
+ORACLES = {**review_queries.ORACLES}
