@@ -17,10 +17,11 @@ from paperloom.session import materialize
 SHINGLE_WORDS, MIN_PERCENT = 5, 85
 #: 32 bands of 4 minima: two sets of similarity 0.85 share no band with probability (1 - 0.85^4)^32 < 1e-10.
 BANDS, ROWS = 32, 4
-SLOTS = BANDS * ROWS
+#: Minima of a signature; the first BANDS * ROWS of them also make the bands.
+SLOTS = 512
 #: Low bits that are kept of a minimum, and the estimate under which a pair is not confirmed: 4.5 standard errors of a
 #: pair at 0.85 below it, error sqrt(p (1 - p) / SLOTS) / (1 - 2^-BITS) with p = 0.85 + 0.15 / 2^BITS.
-BITS, MIN_ESTIMATE = 2, 0.68
+BITS, MIN_ESTIMATE = 2, 0.766
 _WORDS = [f"s{i}" for i in range(SLOTS // 64 * BITS)]
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in _WORDS)
@@ -56,7 +57,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     both[k][full] = np.add.reduceat(W.mix(h + np.uint64(k + 1)), first)
             band = np.zeros((BANDS, len(full)), np.uint64)
             for k in range(ROWS):
-                band = band * np.uint64(0xD6E8FEB86659FD93) + minima[k::ROWS]
+                band = band * np.uint64(0xD6E8FEB86659FD93) + minima[k : BANDS * ROWS : ROWS]
             band = W.mix(band + np.arange(BANDS, dtype=np.uint64)[:, None]).view(np.int64).T
             planes = {}
             for b in range(BITS):
@@ -132,9 +133,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. One pass signs every text; only fixed-size signatures go on, and one per class to the bands.
     2. In each bucket of a band, every class pairs with one pivot, so pairs grow with the bucket, not its square.
-    3. Each class's best-estimated pair is confirmed on the full sets; the links give first components.
+    3. Pairs that the signatures do not rule out are confirmed on the full sets; the links give first components.
     4. Buckets that still hold several components pair what is outside the largest with all the rest, so that no link
-       between components is lost; those pairs, and the remaining pivot pairs across components, are confirmed.
+       between components is lost; those pairs are confirmed as well.
     """
     W.bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -142,11 +143,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     best = F.min_by(F.struct("bands", *_WORDS), "doc_id").alias("best")
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), best), "classes")
-    sketch = classes.select("node", F.struct(*[F.col(f"best.{s}").alias(s) for s in _WORDS]).alias("sketch"))
+    sketch = classes.select("node", F.struct(*[F.col(f"best.{s}").alias(s) for s in _WORDS], "best.bands").alias("sketch"))
     banded = classes.select("node", F.explode("best.bands").alias("key"))
-    # The pivot is the bucket's member of the smallest hash, so that the bands of one group tend to choose the same.
-    pick = banded.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(banded.join(pick, "key").select("key", "node", "pivot"), "members")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(banded.join(sizes, "key"), "shared")
+    # The pivot is the member that meets most others over all bands: the text that the others of a group are copies of.
+    meets = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("meets"))
+    pick = shared.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", "node")).alias("pivot"))
+    members = materialize(shared.join(pick, "key").select("key", "node", "pivot"), "members")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         x = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
@@ -155,8 +159,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(estimated(stars), "stars")
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("e", "a")).alias("a"))
-    links = _confirm(first, docs)
+    links = _confirm(stars, docs)
     comp = components(links)
     label = materialize(_labelled(members.select("node").distinct(), comp), "labels")
     with_label = members.select("key", "node").join(label, "node")
@@ -168,11 +171,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     carried = lambda t, c: t.join(sketch.withColumnRenamed("node", "_n"), F.col(c) == F.col("_n")).drop("_n")
     x, y = carried(outside, "a").withColumnRenamed("sketch", "x"), carried(inside, "b").withColumnRenamed("sketch", "y")
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    late = x.join(y, (x["key"] == y["key"]) & apart & (estimate("x", "y") >= MIN_ESTIMATE)).select("a", "b")
-    across = stars.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-    across = across.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la != lb").select("a", "b")
-    late = late.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = materialize(late.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "late")
+    # A pair that shares several buckets comes from the first of them only.
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == x["key"]
+    late = x.join(y, (x["key"] == y["key"]) & apart & (estimate("x", "y") >= MIN_ESTIMATE) & once).select("a", "b")
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    late = materialize(late.join(seen, ["a", "b"], "left_anti"), "late")
     links = links.unionByName(_confirm(late, docs))
     comp = components(links)
     named = classes.select(F.col("digest").alias("_d"), "node")
