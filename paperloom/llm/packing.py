@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,14 @@ QUANTUM = 256
 #: Queues at most; with more sources, several share a queue. The driver knows one total per queue.
 MAX_QUEUES = 4096
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
+# The vocabulary's pre-tokenizer on lower-case text of printable ASCII and Latin-1 letters.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+#: Characters by which a byte-level vocabulary writes the bytes that are not printable in Latin-1: from U+0100 on, in order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_AS_BYTES = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xA1, 0x100)}
 
 _TOKENS = "doc_id long, source string, part int, local long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -34,15 +43,31 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self):
+        self.pieces: dict[str, list[int]] = {}
         self.index, self.first, self.count, self.pool, self.used = {}, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint16), 0
 
+    def _ids(self, word: str) -> list[int]:
+        """Ids of one word. The model is asked for each piece of a plain word once; any other word goes the whole way."""
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = []
+        for piece in PIECE.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                shown = piece if piece.isascii() else piece.translate(_AS_BYTES)
+                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
+            out += ids
+        return out
+
     def _add(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        at, n = len(self.index), np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint16)
+        found = [self._ids(x) for x in texts]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum()))
+        at = len(self.index)
         while len(self.first) < at + len(n):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while len(self.pool) < self.used + len(flat):
