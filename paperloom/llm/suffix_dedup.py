@@ -26,8 +26,8 @@ from paperloom.llm import words as W
 from paperloom.session import materialize
 
 MIN_BYTES, GRAM = 50, 16
-#: Text bytes for each bucket of anchors, bytes of a shard, and bytes of text that the kernels work on at once.
-BUCKET_BYTES, SHARD_BYTES, SLICE = 12 << 20, 1 << 20, 1 << 17
+#: Text bytes for each bucket of anchors, bytes of a shard, bytes of text that the kernels work on at once, and of a batch.
+BUCKET_BYTES, SHARD_BYTES, SLICE, BATCH_BYTES = 8 << 20, 1 << 19, 1 << 17, 2 << 20
 #: Different segments of an anchor from which on each string is dealt by itself, so that no shard grows with an anchor.
 HOT = 5_000
 #: Stands for a null doc_id, which counts as the largest.
@@ -392,7 +392,7 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ("doc_id",), whole:
     string by string, and what a document is told back is bounded by its own length.
     """
     spark = docs.sparkSession
-    W.bound_batches(spark)
+    W.bound_batches(spark, BATCH_BYTES)
     keyed = docs.withColumn("_k", F.coalesce("doc_id", F.lit(_LAST)))
     slim = keyed.select(F.col("_k").alias("k"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

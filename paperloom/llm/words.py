@@ -133,7 +133,7 @@ def shingles(word: np.ndarray, row: np.ndarray, n_rows: int, size: int) -> tuple
     return h[new], r[new]
 
 
-def bound_batches(spark) -> None:
+def bound_batches(spark, size: int = 8 << 20) -> None:
     """Keep Arrow batches small, whatever the length of the texts, so that Python workers need little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
