@@ -1,12 +1,10 @@
-"""Hashes, MinHash signatures and bit distances that must equal published values, as column expressions and one UDF."""
+"""Hashes, MinHash signatures and bit distances that must equal published values, as column expressions and one Arrow function."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 #: FNV-1a, 32 bits.
 FNV_START, FNV_PRIME, MASK = 2166136261, 16777619, 0xFFFFFFFF
@@ -45,22 +43,30 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     return np.array(out[::2], np.uint64) | np.uint64(1), np.array(out[1::2], np.uint64)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def minhash(shingles: pd.Series) -> pd.Series:
-    """Signature of an array of 32-bit hashes: per slot the least of ((h * a + b) mod 2^32) / 2."""
+def signature(hashes) -> np.ndarray:
+    """MinHash signature of 32-bit hashes: per slot the least of ((h * a + b) mod 2^32) / 2."""
+    if hashes is None or not len(hashes):
+        return np.full(SLOTS, EMPTY_SLOT, np.int32)
     a, b = permutations()
+    h = np.asarray(hashes, np.int64).astype(np.uint64)
+    least = np.full(SLOTS, MASK, np.uint64)
+    for i in range(0, len(h), 4096):
+        least = np.minimum(least, ((h[i : i + 4096, None] * a + b) & np.uint64(MASK)).min(axis=0))
+    return (least >> np.uint64(1)).astype(np.int32)
 
-    def sign(hashes) -> np.ndarray:
-        if hashes is None or not len(hashes):
-            return np.full(SLOTS, EMPTY_SLOT, np.int32)
-        h = np.asarray(hashes, np.int64).astype(np.uint64)
-        least = np.full(SLOTS, MASK, np.uint64)
-        for i in range(0, len(h), 4096):
-            v = (h[i : i + 4096, None] * a + b) & np.uint64(MASK)
-            least = np.minimum(least, v.min(axis=0))
-        return (least >> np.uint64(1)).astype(np.int32)
-
-    return shingles.map(sign)
+
+def sign(df: DataFrame, hashes: str) -> DataFrame:
+    """`df` with the array column `hashes` replaced by its `signature`, in Arrow batches."""
+    kept = [c for c in df.columns if c != hashes]
+
+    def run(batches):
+        for batch in batches:
+            out = batch[kept].copy()
+            out["signature"] = batch[hashes].map(signature)
+            yield out
+
+    kinds = dict(df.dtypes)
+    return df.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", signature array<int>")
 
 
 def containment(jaccard: Column, x: Column, y: Column) -> Column:

@@ -132,7 +132,7 @@ def sentences(text: Column) -> Column:
     short = "|".join(ABBREVIATIONS)
     # Look-behind of bounded width: a stop that follows an abbreviation which is a whole word is no end.
     cut = rf"(?<=[.!?])(?<!(?iu:(?<!\p{{L}})(?:{short}))[.!?])\s+(?=[{CAPITAL}])"
-    return F.filter(F.transform(F.split(flat, cut), F.trim), lambda s: F.length(s) > 20)
+    return F.filter(F.transform(F.split(flat, cut), lambda s: F.trim(s)), lambda s: F.length(s) > 20)
 
 
 def phrase_count(text_key: Column, phrase_key: Column) -> Column:
@@ -145,7 +145,7 @@ def phrase_count(text_key: Column, phrase_key: Column) -> Column:
 
 def placeholders(text: Column) -> Column:
     """Distinct places that a template left to be filled in, 21 at most; numeric citations are none."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.trim) for p in PLACEHOLDERS])
+    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.trim(x)) for p in PLACEHOLDERS])
     numeric = r"^\[\s*\d[\d\s,–-]*\]$"
     good = F.filter(found, lambda x: ~x.rlike(numeric) & (F.length(fold(x)) >= 2))
     return F.slice(F.array_distinct(good), 1, 21)
