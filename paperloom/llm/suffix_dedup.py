@@ -39,8 +39,8 @@ _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 _DEALT = "bucket int, settled boolean, docs binary, counts binary, pairs binary"
 _REPLY = "k long, covered binary, shown binary, hot binary"
-_FOUND = "k long, starts binary, ends binary, shard long, at long, content binary"
-_SPANS = "k long, starts binary, ends binary"
+_FOUND = "k long, h long, starts binary, ends binary, shard long, at long, content binary"
+_SPANS = "k long, h long, starts binary, ends binary"
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -226,7 +226,7 @@ def _show(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.utf8(batch.column("text"))
-            ids = batch.column("k").to_numpy()
+            ids, hashes = batch.column("k").to_numpy(), batch.column("h").to_numpy()
             for i, j in W.slices(offsets, SLICE):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 a, f, r, first, size = segments(part, at)
@@ -238,8 +238,8 @@ def _show(shards: int):
                 edge = np.append(edge, len(row))
                 n = len(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + docs], pa.int64()), _blobs(s.astype(np.int64), edge), _blobs(e.astype(np.int64), edge), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
-                    names=["k", "starts", "ends", "shard", "at", "content"],
+                    [pa.array(ids[i + docs], pa.int64()), pa.array(hashes[i + docs], pa.int64()), _blobs(s.astype(np.int64), edge), _blobs(e.astype(np.int64), edge), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+                    names=["k", "h", "starts", "ends", "shard", "at", "content"],
                 )
                 m, h = hit["shown"] & ~hit["covered"], hit["hot"] & ~hit["covered"]
                 begin = np.concatenate([first[m], np.repeat(first[h], size[h]) + np.arange(int(size[h].sum())) - np.repeat(np.cumsum(size[h]) - size[h], size[h])])
@@ -256,8 +256,8 @@ def _show(shards: int):
                 shard = (W.mix(key) % _U(shards)).astype(np.int64)
                 n = len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + row], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(shard), pa.array(begin - at[row]), _blobs(content, edge)],
-                    names=["k", "starts", "ends", "shard", "at", "content"],
+                    [pa.array(ids[i + row], pa.int64()), pa.array(hashes[i + row], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(shard), pa.array(begin - at[row]), _blobs(content, edge)],
+                    names=["k", "h", "starts", "ends", "shard", "at", "content"],
                 )
 
     return run
@@ -345,7 +345,7 @@ def _compare(table: pa.Table) -> pa.Table:
     e = place[last] - edges[h] + at[h] + MIN_BYTES
     mine, edge = np.unique(h, return_index=True)
     edge = np.append(edge, len(h))
-    return pa.Table.from_arrays([pa.array(docs[mine], pa.int64()), _blobs(s.astype(np.int64), edge), _blobs(e.astype(np.int64), edge)], names=["k", "starts", "ends"])
+    return pa.Table.from_arrays([pa.array(docs[mine], pa.int64()), table["h"].take(pa.array(mine)), _blobs(s.astype(np.int64), edge), _blobs(e.astype(np.int64), edge)], names=["k", "h", "starts", "ends"])
 
 
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first: long, last: long>>, kept string"
@@ -393,21 +393,22 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ("doc_id",), whole:
     """
     spark = docs.sparkSession
     W.bound_batches(spark, BATCH_BYTES)
-    keyed = docs.withColumn("_k", F.coalesce("doc_id", F.lit(_LAST)))
-    slim = keyed.select(F.col("_k").alias("k"), "text")
+    # Rows that share a doc_id are told apart by a hash of their texts.
+    keyed = docs.withColumn("_k", F.coalesce("doc_id", F.lit(_LAST))).withColumn("_h", F.xxhash64("text"))
+    slim = keyed.select(F.col("_k").alias("k"), F.col("_h").alias("h"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = slim.mapInArrow(_deal(total // BUCKET_BYTES + 1), _DEALT)
+    dealt = slim.select("k", "text").mapInArrow(_deal(total // BUCKET_BYTES + 1), _DEALT)
     replies = dealt.groupBy("bucket").applyInArrow(_settle(hot), _REPLY)
     lists = [F.collect_list(c).alias(c) for c in ("covered", "shown", "hot")]
     told = replies.groupBy("k").agg(*lists)
-    found = slim.join(told, "k").select("k", "text", "covered", "shown", "hot").mapInArrow(_show(total // (4 * SHARD_BYTES) + 1), _FOUND)
+    found = slim.join(told, "k").select("k", "h", "text", "covered", "shown", "hot").mapInArrow(_show(total // (4 * SHARD_BYTES) + 1), _FOUND)
     found = materialize(found, "segments")
     owned = found.where(F.col("content").isNotNull()).groupBy("shard").applyInArrow(_compare, _SPANS)
-    spans = found.where(F.col("content").isNull()).select("k", "starts", "ends").unionByName(owned)
-    spans = spans.groupBy("k").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    joined = keyed.select("_k", F.col("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)]).join(spans.withColumnRenamed("k", "_k"), "_k", "left")
+    spans = found.where(F.col("content").isNull()).select("k", "h", "starts", "ends").unionByName(owned)
+    spans = spans.groupBy("k", "h").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    joined = keyed.select("_k", "_h", F.col("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)]).join(spans.withColumnsRenamed({"k": "_k", "h": "_h"}), ["_k", "_h"], "left")
     empty = F.array().cast("array<binary>")
-    joined = joined.withColumns({"starts": F.coalesce("starts", empty), "ends": F.coalesce("ends", empty)}).drop("_k")
+    joined = joined.withColumns({"starts": F.coalesce("starts", empty), "ends": F.coalesce("ends", empty)}).drop("_k", "_h")
     names = [f"_{i}" for i in range(len(extra))]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{n}` {kinds[c]}" for n, c in zip(names, extra, strict=True)) + ", " + _CUT
@@ -422,6 +423,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents without the repeated passages."""
-    out = remove_repeats(docs, ("doc_id", *[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]), whole=True)
-    out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return out.select(*docs.columns)
+    # Other columns travel under names of their own, whatever they are called.
+    names = {c: f"_x{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    slim = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in names.items()])
+    out = remove_repeats(slim, ("doc_id", *names.values()), whole=True)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    made |= {c: F.col(n) for c, n in names.items()}
+    return out.select(*[made[c].alias(c) for c in docs.columns])

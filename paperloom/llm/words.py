@@ -57,8 +57,8 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         col = pc.fill_null(col, "")
     kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     _, ends, data = col.buffers()
-    if ends is None:
-        return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     ends = np.frombuffer(ends, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data[ends[0] : ends[-1]], ends - ends[0]
