@@ -38,7 +38,8 @@ _MUL = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 _DEALT = "bucket int, settled boolean, docs binary, counts binary, pairs binary"
-_REPLY = "k long, covered binary, shown binary, hot binary"
+_REPLY = "share int, docs binary, counts binary, pairs binary"
+_TOLD = "k long, covered binary, shown binary, hot binary"
 _FOUND = "k long, h long, starts binary, ends binary, shard long, at long, content binary"
 _SPANS = "k long, h long, starts binary, ends binary"
 
@@ -150,16 +151,39 @@ def _deal(buckets: int):
     return run
 
 
-def _replies(doc: np.ndarray, pair: np.ndarray, kind: np.ndarray) -> pa.Table:
+def _replies(doc: np.ndarray, pair: np.ndarray, kind: np.ndarray, shares: int) -> pa.Table:
+    """One row for each share of the documents that occurs: its documents, their pairs of each kind by number, the pairs."""
+    share = (W.mix(doc.astype(np.uint64)) % _U(shares)).astype(np.int64)
+    order = np.lexsort((kind, doc, share))
+    doc, pair, kind, share = doc[order], pair[order], kind[order], share[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    first = np.flatnonzero(new)
+    counts = np.bincount((np.cumsum(new) - 1) * 3 + kind, minlength=3 * len(first)).astype(np.int64)
+    shares_, cut = np.unique(share[first], return_index=True)
+    cut = np.append(cut, len(first))
+    cols = [_blobs(doc[first].astype(np.int64), cut), _blobs(counts, 3 * cut), _blobs(pair, np.append(first, len(doc))[cut])]
+    return pa.Table.from_arrays([pa.array(shares_, pa.int32()), *cols], names=["share", "docs", "counts", "pairs"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What all buckets reply to a share of the documents, by document."""
+    doc, pair, kind = [], [], []
+    for batch in batches:
+        for d, c, p in zip(batch.column("docs"), batch.column("counts"), batch.column("pairs"), strict=True):
+            d, c = np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)
+            doc.append(np.repeat(np.repeat(d, 3), c)), kind.append(np.repeat(np.tile(np.arange(3, dtype=np.int8), len(d)), c))
+            pair.append(np.frombuffer(p.as_buffer(), np.uint64))
+    doc, pair, kind = np.concatenate(doc), np.concatenate(pair), np.concatenate(kind)
     order = np.lexsort((kind, doc))
     doc, pair, kind = doc[order], pair[order], kind[order]
     docs = np.unique(doc)
     cols = [_blobs(pair[kind == c], np.append(np.searchsorted(doc[kind == c], docs), (kind == c).sum())) for c in range(3)]
-    return pa.Table.from_arrays([pa.array(docs, pa.int64()), *cols], names=["k", "covered", "shown", "hot"])
+    yield from pa.Table.from_arrays([pa.array(docs, pa.int64()), *cols], names=["k", "covered", "shown", "hot"]).to_batches()
 
 
-def _settle(hot: int):
-    """For each document of a bucket: its pairs that are covered, those to show, and those to show string by string."""
+def _settle(hot: int, shares: int):
+    """For each document of a bucket, packed by share of the documents: its pairs that are covered, those to show, and those to show string by string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = {False: [], True: []}
@@ -187,7 +211,7 @@ def _settle(hot: int):
             use = covered | (kinds > 1)
             doc.append(d[use]), pair.append(p[use]), kind.append(code[use])
         if doc:
-            yield from _replies(np.concatenate(doc), np.concatenate(pair), np.concatenate(kind)).to_batches()
+            yield from _replies(np.concatenate(doc), np.concatenate(pair), np.concatenate(kind), shares).to_batches()
 
     return run
 
@@ -202,7 +226,8 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _match(pair: np.ndarray, row: np.ndarray, column: pa.Array) -> np.ndarray:
-    values, rows = _flat(column)
+    data, offsets = W.utf8(column)
+    values, rows = np.frombuffer(data.tobytes(), np.uint64), np.repeat(np.arange(len(column)), np.diff(offsets) // 8)
     salt = lambda p, r: W.mix(p ^ (r.astype(np.uint64) * _MUL))
     return np.isin(salt(pair, row), salt(values, rows))
 
@@ -397,10 +422,10 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ("doc_id",), whole:
     keyed = docs.withColumn("_k", F.coalesce("doc_id", F.lit(_LAST))).withColumn("_h", F.xxhash64("text"))
     slim = keyed.select(F.col("_k").alias("k"), F.col("_h").alias("h"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = slim.select("k", "text").mapInArrow(_deal(total // BUCKET_BYTES + 1), _DEALT)
-    replies = dealt.groupBy("bucket").applyInArrow(_settle(hot), _REPLY)
-    lists = [F.collect_list(c).alias(c) for c in ("covered", "shown", "hot")]
-    told = replies.groupBy("k").agg(*lists)
+    buckets = total // BUCKET_BYTES + 1
+    dealt = slim.select("k", "text").mapInArrow(_deal(buckets), _DEALT)
+    # Replies travel packed by share: a row for every document and bucket would be the square of the input.
+    told = dealt.groupBy("bucket").applyInArrow(_settle(hot, buckets), _REPLY).groupBy("share").applyInArrow(_gather, _TOLD)
     found = slim.join(told, "k").select("k", "h", "text", "covered", "shown", "hot").mapInArrow(_show(total // (4 * SHARD_BYTES) + 1), _FOUND)
     found = materialize(found, "segments")
     owned = found.where(F.col("content").isNotNull()).groupBy("shard").applyInArrow(_compare, _SPANS)
