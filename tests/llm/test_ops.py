@@ -69,6 +69,13 @@ def test_suffix_dedup(docs, rows, hot):
     assert sorted(map(tuple, got), key=str) == brute.removed([r[:2] for r in rows])
 
 
+def test_suffix_dedup_over_many_buckets_and_shares(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4_000)
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted(map(tuple, got), key=str) == brute.removed([r[:2] for r in rows])
+
+
 def test_suffix_dedup_ties_and_nulls(spark):
     a, b = "x" * 10 + "0123456789" * 6, "tail " * 12
     rows = [(5, a), (5, a), (7, b + a), (None, b), (None, a), (2, b)]
