@@ -18,13 +18,15 @@ SHINGLE_WORDS, MIN_PERCENT = 5, 85
 #: 32 bands of 4 minima: two sets of similarity 0.85 share no band with probability (1 - 0.85^4)^32 < 1e-10.
 BANDS, ROWS = 32, 4
 #: Minima of a signature; the first BANDS * ROWS of them also make the bands.
-SLOTS = 512
-#: Low bits that are kept of a minimum, and the estimate under which a pair is not confirmed: 4.5 standard errors of a
-#: pair at 0.85 below it, error sqrt(p (1 - p) / SLOTS) / (1 - 2^-BITS) with p = 0.85 + 0.15 / 2^BITS.
+SLOTS = 1024
+#: Low bits that are kept of a mixed minimum, and the estimate under which a pair of large sets is not confirmed. Each
+#: slot of a pair at 0.85 agrees with p = 0.85 + 0.15 / 2^BITS; the binomial tail of SLOTS below this estimate is under 2e-9.
 BITS, MIN_ESTIMATE = 2, 0.766
+#: Sets up to this size travel whole beside their signature; two of them are compared exactly, never by an estimate.
+SMALL = 48
 _WORDS = [f"s{i}" for i in range(SLOTS // 64 * BITS)]
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in _WORDS)
+_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, small array<long>, " + ", ".join(f"{s} long" for s in _WORDS)
 _SETS = "node long, shingles binary"
 
 
@@ -48,32 +50,36 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.bincount(r, minlength=n)
             full = np.flatnonzero(counts)
             first = np.concatenate([[0], np.cumsum(counts)[:-1]])[full] if len(full) else np.zeros(0, int)
-            minima = np.empty((SLOTS, len(full)), np.uint64)
+            minima = np.empty((BANDS * ROWS, len(full)), np.uint64)
+            bits = np.zeros((BITS, SLOTS // 64, len(full)), np.uint64)
             both = np.empty((2, n), np.uint64)
             if len(full):
                 for k in range(SLOTS):
-                    minima[k] = np.minimum.reduceat(h * mult[k] + add[k], first)
+                    low = np.minimum.reduceat(h * mult[k] + add[k], first)
+                    if k < len(minima):
+                        minima[k] = low
+                    # Low bits of h * mult + add depend on low bits of h alone, alike in all slots; mixed ones collide by chance in each.
+                    low = W.mix(low)
+                    for b in range(BITS):
+                        bits[b, k // 64] |= ((low >> np.uint64(b)) & np.uint64(1)) << np.uint64(k % 64)
                 for k in range(2):
                     both[k][full] = np.add.reduceat(W.mix(h + np.uint64(k + 1)), first)
             band = np.zeros((BANDS, len(full)), np.uint64)
             for k in range(ROWS):
-                band = band * np.uint64(0xD6E8FEB86659FD93) + minima[k : BANDS * ROWS : ROWS]
+                band = band * np.uint64(0xD6E8FEB86659FD93) + minima[k::ROWS]
             band = W.mix(band + np.arange(BANDS, dtype=np.uint64)[:, None]).view(np.int64).T
-            planes = {}
-            for b in range(BITS):
-                bits = ((minima >> np.uint64(b)) & np.uint64(1)).reshape(SLOTS // 64, 64, -1) << np.arange(64, dtype=np.uint64)[:, None]
-                for k, word in enumerate(bits.sum(axis=1, dtype=np.uint64)):
-                    planes[f"s{b * (SLOTS // 64) + k}"] = word.view(np.int64)
+            planes = dict(zip(_WORDS, bits.view(np.int64).reshape(len(_WORDS), -1) if len(full) else [np.zeros(0, np.int64)] * len(_WORDS), strict=True))
             some = counts > 0
             spread = np.cumsum(some) - 1
             # Rows without shingles have no digest, bands and signature.
             take = pa.array(np.where(some, spread, 0), mask=~some)
             digest = [both[:, k].tobytes() if some[k] else None for k in range(n)]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(np.ascontiguousarray(band).reshape(-1)))
+            small = [h[f : f + c].view(np.int64) if 0 < c <= SMALL else None for f, c in zip(np.cumsum(counts) - counts, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, n), pa.array(counts.astype(np.int64)), pa.array(digest, pa.binary()), bands.take(take)]
+                [ids.slice(i, n), pa.array(counts.astype(np.int64)), pa.array(digest, pa.binary()), bands.take(take), pa.array(small, pa.list_(pa.int64()))]
                 + [pa.array(planes[s], pa.int64()).take(take) for s in _WORDS],
-                names=["doc_id", "n_shingles", "digest", "bands", *_WORDS],
+                names=["doc_id", "n_shingles", "digest", "bands", "small", *_WORDS],
             )
 
 
@@ -106,6 +112,15 @@ def estimate(x: str, y: str) -> Column:
     return (1 - sum(differ) / SLOTS - chance) / (1 - chance)
 
 
+def possible(x: str, y: str) -> Column:
+    """Whether the sets of two sketches can be similar enough: exact on sizes and between small sets, else by the estimate."""
+    least, most = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
+    both = F.size(F.array_intersect(f"{x}.small", f"{y}.small"))
+    exact = 100 * both >= MIN_PERCENT * (least + most - both)
+    small = F.col(f"{x}.small").isNotNull() & F.col(f"{y}.small").isNotNull()
+    return (100 * least >= MIN_PERCENT * most) & F.when(small, exact).otherwise(estimate(x, y) >= MIN_ESTIMATE)
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough.
 
@@ -141,9 +156,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = materialize(docs.mapInArrow(_sign, _SIGNED), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    best = F.min_by(F.struct("bands", *_WORDS), "doc_id").alias("best")
+    best = F.min_by(F.struct("bands", "n_shingles", "small", *_WORDS), "doc_id").alias("best")
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), best), "classes")
-    sketch = classes.select("node", F.struct(*[F.col(f"best.{s}").alias(s) for s in _WORDS], "best.bands").alias("sketch"))
+    sketch = classes.select("node", F.struct(*[F.col(f"best.{s}").alias(s) for s in _WORDS], "best.bands", "best.n_shingles", "best.small").alias("sketch"))
     banded = classes.select("node", F.explode("best.bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(banded.join(sizes, "key"), "shared")
@@ -155,7 +170,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def estimated(pairs: DataFrame) -> DataFrame:
         x = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
         y = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", estimate("x", "y").alias("e")).where(F.col("e") >= MIN_ESTIMATE)
+        return pairs.join(y, "b").join(x, "a").where(possible("x", "y")).select("a", "b")
 
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(estimated(stars), "stars")
@@ -173,7 +188,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     # A pair that shares several buckets comes from the first of them only.
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == x["key"]
-    late = x.join(y, (x["key"] == y["key"]) & apart & (estimate("x", "y") >= MIN_ESTIMATE) & once).select("a", "b")
+    late = x.join(y, (x["key"] == y["key"]) & apart & possible("x", "y") & once).select("a", "b")
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     late = materialize(late.join(seen, ["a", "b"], "left_anti"), "late")

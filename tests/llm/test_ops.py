@@ -199,6 +199,17 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_duplicates_of_short_documents(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 8000, 2):
+        n = 11 if i % 4 else 24
+        t = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        rows += [(i, " ".join(t)), (i + 1, " ".join(t[: n - (1 if n == 11 else 3)]))]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: c for d, c in got.items() if c != d - d % 2} == {}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 16)).astype(np.float32)
