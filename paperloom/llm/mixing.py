@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import word_count
-from paperloom.session import materialize
+from paperloom.session import keyed, materialize
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -84,19 +84,19 @@ def mix(sized: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PA
     return q.where(F.col("words") > 0).orderBy("virtual_finish", "source", "doc_id")
 
 
-def taken(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words over all passes).
+def taken(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: `extra` columns, doc_id, size, source_size, target, taken (words over all passes).
 
     Null texts have size 0 and are never taken; null sources are one source, last; rows that repeat a doc_id are
     documents of their own; an empty table gives an empty result; other columns play no part.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select(*extra, "doc_id", "source", word_count(F.col("text")).alias("size"))
     q = schedule(materialize(sized, "mixing"), passes, budget_percent)
     words = sum(
         F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target") - F.col("before") - k * F.col("source_size")))
         for k in range(passes)
     )
-    return q.select("doc_id", "source", "size", "source_size", "target", words.cast("long").alias("taken"))
+    return q.select(*extra, "doc_id", "source", "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +105,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document once for every pass that takes words of it, whole."""
-    t = taken(docs).where(F.col("taken") > 0)
+    rows = keyed(docs)
+    t = taken(rows, extra=("_row",)).where(F.col("taken") > 0)
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    t = t.select(F.col("doc_id").alias("_id"), F.explode(F.array_repeat(F.lit(0), times)).alias("_n"))
-    return docs.join(t, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_n")
+    t = t.select(F.col("_row").alias("_id"), F.explode(F.array_repeat(F.lit(0), times)).alias("_n"))
+    return rows.join(t, F.col("_row") == F.col("_id")).drop("_row", "_id", "_n")
 
 
 SQL = r"""

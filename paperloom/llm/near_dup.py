@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
 from paperloom.llm.components import components
-from paperloom.session import materialize
+from paperloom.session import keyed, materialize
 
 SHINGLE_WORDS, MIN_PERCENT = 5, 85
-#: 32 bands of 4 minima: two sets of similarity 0.85 share no band with probability (1 - 0.85^4)^32 < 1e-10.
-BANDS, ROWS = 32, 4
-#: Minima of a signature; the first BANDS * ROWS of them also make the bands.
+#: Bands of 4 minima by the least percentage: sets that similar share no band with probability (1 - (percent / 100)^4)^bands < 1e-10.
+BANDS, ROWS = {85: 32, 80: 44}, 4
+#: Least percentage and estimate of the pipeline's stage; the loss at 0.80 is as small as that of MIN_ESTIMATE at 0.85.
+STAGE_PERCENT, STAGE_ESTIMATE = 80, 0.705
+#: Minima of a signature; the first of them also make the bands.
 SLOTS = 1024
 #: Low bits that are kept of a mixed minimum, and the estimate under which a pair of large sets is not confirmed. Each
 #: slot of a pair at 0.85 agrees with p = 0.85 + 0.15 / 2^BITS; the binomial tail of SLOTS below this estimate is under 2e-9.
@@ -40,7 +42,7 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j - i, h, r
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(5)
     mult = rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -50,7 +52,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.bincount(r, minlength=n)
             full = np.flatnonzero(counts)
             first = np.concatenate([[0], np.cumsum(counts)[:-1]])[full] if len(full) else np.zeros(0, int)
-            minima = np.empty((BANDS * ROWS, len(full)), np.uint64)
+            minima = np.empty((n_bands * ROWS, len(full)), np.uint64)
             bits = np.zeros((BITS, SLOTS // 64, len(full)), np.uint64)
             both = np.empty((2, n), np.uint64)
             if len(full):
@@ -64,17 +66,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         bits[b, k // 64] |= ((low >> np.uint64(b)) & np.uint64(1)) << np.uint64(k % 64)
                 for k in range(2):
                     both[k][full] = np.add.reduceat(W.mix(h + np.uint64(k + 1)), first)
-            band = np.zeros((BANDS, len(full)), np.uint64)
+            band = np.zeros((n_bands, len(full)), np.uint64)
             for k in range(ROWS):
                 band = band * np.uint64(0xD6E8FEB86659FD93) + minima[k::ROWS]
-            band = W.mix(band + np.arange(BANDS, dtype=np.uint64)[:, None]).view(np.int64).T
+            band = W.mix(band + np.arange(n_bands, dtype=np.uint64)[:, None]).view(np.int64).T
             planes = dict(zip(_WORDS, bits.view(np.int64).reshape(len(_WORDS), -1) if len(full) else [np.zeros(0, np.int64)] * len(_WORDS), strict=True))
             some = counts > 0
             spread = np.cumsum(some) - 1
             # Rows without shingles have no digest, bands and signature.
             take = pa.array(np.where(some, spread, 0), mask=~some)
             digest = [both[:, k].tobytes() if some[k] else None for k in range(n)]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(np.ascontiguousarray(band).reshape(-1)))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * n_bands, pa.int32()), pa.array(np.ascontiguousarray(band).reshape(-1)))
             small = [h[f : f + c].view(np.int64) if 0 < c <= SMALL else None for f, c in zip(np.cumsum(counts) - counts, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, n), pa.array(counts.astype(np.int64)), pa.array(digest, pa.binary()), bands.take(take), pa.array(small, pa.list_(pa.int64()))]
@@ -91,13 +93,13 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, n), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= MIN_PERCENT * (len(x) + len(y) - both))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -112,16 +114,16 @@ def estimate(x: str, y: str) -> Column:
     return (1 - sum(differ) / SLOTS - chance) / (1 - chance)
 
 
-def possible(x: str, y: str) -> Column:
+def possible(x: str, y: str, percent: int, min_estimate: float) -> Column:
     """Whether the sets of two sketches can be similar enough: exact on sizes and between small sets, else by the estimate."""
     least, most = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
     both = F.size(F.array_intersect(f"{x}.small", f"{y}.small"))
-    exact = 100 * both >= MIN_PERCENT * (least + most - both)
+    exact = 100 * both >= percent * (least + most - both)
     small = F.col(f"{x}.small").isNotNull() & F.col(f"{y}.small").isNotNull()
-    return (100 * least >= MIN_PERCENT * most) & F.when(small, exact).otherwise(estimate(x, y) >= MIN_ESTIMATE)
+    return (100 * least >= percent * most) & F.when(small, exact).otherwise(estimate(x, y) >= min_estimate)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough.
 
     Only documents that occur in a pair are shingled again; each pair then carries two sets to one task, never a group.
@@ -131,7 +133,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = materialize(sets, "sets")
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return materialize(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
+    return materialize(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lambda t: _linked(t, percent), "a long, b long"), "links")
 
 
 def _labelled(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -139,10 +141,10 @@ def _labelled(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(c, F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("root", "node")).drop("_n", "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT, min_estimate: float = MIN_ESTIMATE) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept: one row per row of `docs` (doc_id, text; others play no part).
 
-    Documents of equal sets form a class, named by its smallest doc_id; classes are linked from MIN_PERCENT similarity on.
+    Documents of equal sets form a class, named by its smallest doc_id; classes are linked from `percent` similarity on.
     Null and empty texts have empty sets and are linked with nothing. Rows that repeat a doc_id count as one node, so
     their sets' classes meet. Null doc_ids link with nothing and are not kept. An empty table gives an empty result.
 
@@ -154,7 +156,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     W.bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInArrow(_sign, _SIGNED), "signed")
+    signed = materialize(docs.mapInArrow(lambda t: _sign(t, BANDS[percent]), _SIGNED), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     best = F.min_by(F.struct("bands", "n_shingles", "small", *_WORDS), "doc_id").alias("best")
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), best), "classes")
@@ -170,11 +172,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def estimated(pairs: DataFrame) -> DataFrame:
         x = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
         y = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-        return pairs.join(y, "b").join(x, "a").where(possible("x", "y")).select("a", "b")
+        return pairs.join(y, "b").join(x, "a").where(possible("x", "y", percent, min_estimate)).select("a", "b")
 
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(estimated(stars), "stars")
-    links = _confirm(stars, docs)
+    links = _confirm(stars, docs, percent)
     comp = components(links)
     label = materialize(_labelled(members.select("node").distinct(), comp), "labels")
     with_label = members.select("key", "node").join(label, "node")
@@ -188,11 +190,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     # A pair that shares several buckets comes from the first of them only.
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == x["key"]
-    late = x.join(y, (x["key"] == y["key"]) & apart & possible("x", "y") & once).select("a", "b")
+    late = x.join(y, (x["key"] == y["key"]) & apart & possible("x", "y", percent, min_estimate) & once).select("a", "b")
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     late = materialize(late.join(seen, ["a", "b"], "left_anti"), "late")
-    links = links.unionByName(_confirm(late, docs))
+    links = links.unionByName(_confirm(late, docs, percent))
     comp = components(links)
     named = classes.select(F.col("digest").alias("_d"), "node")
     named = _labelled(named, comp).withColumnsRenamed({"node": "class_id", "label": "component_id"})
@@ -212,6 +214,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group of near duplicates, the document of the smallest doc_id stays."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Pipeline: of each group of near duplicates, the document of the smallest doc_id stays (null: last).
+
+    Rows are told apart by a number of their own, so rows of a null or repeated doc_id go only as near copies of another.
+    """
+    rows = keyed(docs)
+    near = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), STAGE_PERCENT, STAGE_ESTIMATE)
+    near = near.select(F.col("doc_id").alias("_near"), "component_id")
+    ids = rows.select("_row", "doc_id").join(near, F.col("_row") == F.col("_near"))
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_kept")
+    kept = ids.groupBy("component_id").agg(first).select("_kept")
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import SPACES, WORD_CHAR, let, words
-from paperloom.session import materialize
+from paperloom.session import keyed, materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -122,9 +122,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the documents that the rules keep; rows of one doc_id are kept if all of them are."""
-    bad = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Pipeline: the documents that the rules keep, each row by its own verdict."""
+    rows = keyed(docs)
+    bad = judge(rows, extra=("_row",)).where(~F.col("kept")).select(F.col("_row").alias("_bad"))
+    return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
 
 
 SQL = r"""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "paperloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """`df` plus _row, a number that tells its rows apart; written once, so that every later read sees the same numbers."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back, so that its lineage ends there.
 

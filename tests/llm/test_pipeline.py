@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import corpus_pipeline
@@ -33,3 +34,18 @@ def test_stages_follow_one_another(spark, tmp_path):
     t = Tokenizer.from_file(TOKENIZER)
     assert sum(p.length for p in packed) == sum(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
     assert all(p.ids_crc32 <= 0xFFFFFFFF for p in packed) and zlib.crc32(b"") == 0
+
+
+def test_stages_tell_rows_apart(spark):
+    rng = random.Random(4)
+    w = [[f"w{rng.randrange(10**9)}" for _ in range(60)] for _ in range(4)]
+    near = [*w[0][:30], "new", *w[0][31:]]
+    rows = [(5, w[0]), (7, near), (None, w[1]), (None, w[2]), (9, w[3]), (9, w[3]), (None, w[3]), (None, ["short"])]
+    docs = spark.createDataFrame([(d, " ".join(t), "en", "s", 1, "x") for d, t in rows], SCHEMA)
+    good = quality.stage(spark, docs, "")
+    assert good.count() == 7
+    one = near_dup.stage(spark, good, "")
+    want = sorted((str(d), " ".join(t)) for d, t in (rows[0], rows[2], rows[3], rows[4]))
+    assert sorted((str(r.doc_id), r.text) for r in one.collect()) == want
+    taken = mixing.taken(one).collect()
+    assert mixing.stage(spark, one, "").count() == sum(-(-r.taken // r["size"]) for r in taken if r.taken)
