@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import word_count
@@ -12,12 +12,14 @@ from paperloom.session import keyed, materialize
 WEIGHTS = (3, 1, 2)
 #: Size of the mix over the size of all documents, and passes over a document at most.
 BUDGET_PERCENT, PASSES = 150, 2
-#: Documents of one source that a window sorts, about.
+#: Words that are scheduled at once: a longer document is served in pieces, each with a finish time of its own.
+PIECE = 512
+#: Documents or pieces that a window sorts, about.
 BUCKET_DOCS = 20_000
 
 
 def targets(sizes: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES) -> DataFrame:
-    """`sizes` (source, source_size) plus weight and target.
+    """`sizes` (source, source_size) plus weight, budget (words of the whole mix) and target.
 
     All queues are served at their weight until the budget is spent, or a queue ends after `passes` rounds. A queue ends
     at the virtual time passes * size / weight, so the time at which the budget is spent follows from the queues in the
@@ -40,63 +42,90 @@ def targets(sizes: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int
     # Where the budget covers all queues, none of these holds, and every queue runs to its end.
     spent = F.min(F.when(F.col("time") <= F.col("ends"), F.struct("ends", "rank", "time"))).over(Window.partitionBy())
     return q.select(
-        "source", "source_size", "weight", F.coalesce(spent["time"], F.max("ends").over(Window.partitionBy())).alias("cut")
+        "source", "source_size", "weight", F.floor("budget").alias("budget"), F.coalesce(spent["time"], F.max("ends").over(Window.partitionBy())).alias("cut")
     ).select("*", F.least(F.col("cut") * F.col("weight"), cap.cast("double")).alias("target"))
 
 
+def shuffled(doc_id: Column, text: Column) -> Column:
+    """Place of a document in the shuffle: MD5 of its doc_id and text, so that only equal rows tie."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def schedule(sized: DataFrame, passes: int = PASSES, budget_percent: int = BUDGET_PERCENT) -> DataFrame:
-    """`sized` (doc_id, source, size, each row a document) plus its source's source_size, weight, target and cut, and
+    """`sized` (source, size, place: see `shuffled`) plus its source's source_size, weight, budget, target and cut, and
     `before`: words of its source ahead of it in the shuffled queue.
 
-    The shuffle orders by the MD5 of the doc_id (ties: doc_id; equal rows are interchangeable). Each source is dealt to
-    buckets, ranges of that MD5 about BUCKET_DOCS documents long, so that no source is ordered in one task: bucket
-    totals give each bucket's start, windows only order within a bucket.
+    Each source is dealt to buckets, ranges of that MD5 about BUCKET_DOCS documents long, so that no source is ordered in
+    one task: bucket totals give each bucket's start, windows only order within a bucket.
     """
     digits = max(1, (sized.count() // BUCKET_DOCS).bit_length() // 4 + 2)
-    q = sized.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    q = q.withColumn("_bucket", F.substring("_order", 1, digits))
+    q = sized.withColumn("_bucket", F.substring("place", 1, digits))
     bucket = q.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucket.withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
     t = targets(bucket.groupBy("source").agg(F.sum("_sum").alias("source_size")), budget_percent, passes)
     starts = starts.join(t.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_sum")
     starts = starts.withColumnsRenamed({"source": "_source", "_bucket": "_b"})
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         q.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("before", F.col("_start") + F.col("_in"))
-        .drop("_order", "_bucket", "_source", "_b", "_start", "_in")
+        .drop("_bucket", "_source", "_b", "_start", "_in")
     )
 
 
+def finish_times(sized: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES) -> DataFrame:
+    """A row for each document, pass and piece of PIECE words: `schedule` plus pass, piece, length and virtual_finish, the
+    words of its source up to the piece's end, over all passes, divided by the source's weight."""
+    q = schedule(sized, passes, budget_percent).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    last = F.greatest(F.lit(0), F.ceil(F.col("size") / PIECE) - 1).cast("int")
+    q = q.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    q = q.withColumn("length", F.least(F.lit(PIECE), F.col("size") - F.col("piece") * PIECE).cast("long"))
+    end = F.col("before") + F.col("pass") * F.col("source_size") + F.col("piece") * PIECE + F.col("length")
+    return q.withColumn("virtual_finish", end / F.col("weight"))
+
+
 def mix(sized: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES) -> DataFrame:
-    """The mix in its order: doc_id, source, pass, words (of the document in this pass), virtual_finish.
+    """`finish_times`, plus `words` that the mix takes of each piece, and range (_part) of the global order.
 
-    A document's virtual finish time is the words of its source up to its end, over all passes, divided by the weight.
-    Rows are range-sorted by it over the whole mix and truncated where the total budget is spent; the document that
-    straddles its source's end gives only its first words.
+    All pieces are range-sorted by their virtual finish time and truncated where the total budget is spent: each range
+    adds up its words, a prefix sum over the ranges (one row each) gives where a range starts, and a window inside a range
+    gives each piece's place. The piece that straddles the budget gives its first words. Ranges are written once, so that
+    their numbers never change.
     """
-    q = schedule(sized, passes, budget_percent).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    first = F.col("before") + F.col("pass") * F.col("source_size")
-    words = F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target") - first))
-    q = q.withColumn("virtual_finish", (first + F.col("size")) / F.col("weight")).withColumn("words", words.cast("long"))
-    return q.where(F.col("words") > 0).orderBy("virtual_finish", "source", "doc_id")
+    order = ["virtual_finish", F.col("source").asc_nulls_last(), "place", "size", "pass", "piece"]
+    q = finish_times(sized, budget_percent, passes)
+    q = materialize(q.repartitionByRange(sized.count() * passes // BUCKET_DOCS + 1, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = q.groupBy("_part").agg(F.sum("length").alias("_sum"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.col("_start") + F.coalesce(F.sum("length").over(inside), F.lit(0))
+    q = q.join(starts, F.col("_part") == F.col("_p")).drop("_p")
+    return q.withColumn("words", F.least(F.col("length"), F.greatest(F.lit(0).cast("long"), F.col("budget") - spent))).drop("_start")
+
 
+def _taken(sized: DataFrame, budget_percent: int, passes: int) -> DataFrame:
+    """Per row of `sized`: its columns but the place, source_size, target and the words that the mix takes."""
+    keys = [c for c in sized.columns if c != "place"]
+    return mix(sized, budget_percent, passes).groupBy(*keys, "source_size", "target").agg(F.sum("words").alias("taken"))
 
-def taken(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: `extra` columns, doc_id, size, source_size, target, taken (words over all passes).
+
+def _sized(docs: DataFrame) -> DataFrame:
+    kept = ["_row"] if "_row" in docs.columns else []
+    return docs.select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size"), shuffled(F.col("doc_id"), F.col("text")).alias("place"))
+
+
+def taken(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES) -> DataFrame:
+    """Per document of `docs` (doc_id, source, text): doc_id, source, size, source_size, target, taken (words, all passes).
 
     Null texts have size 0 and are never taken; null sources are one source, last; rows that repeat a doc_id are
-    documents of their own; an empty table gives an empty result; other columns play no part.
+    documents of their own; an empty table gives an empty result; other columns play no part. What a source takes is
+    within about a PIECE of its target.
     """
-    sized = docs.select(*extra, "doc_id", "source", word_count(F.col("text")).alias("size"))
-    q = schedule(materialize(sized, "mixing"), passes, budget_percent)
-    words = sum(
-        F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target") - F.col("before") - k * F.col("source_size")))
-        for k in range(passes)
-    )
-    return q.select(*extra, "doc_id", "source", "size", "source_size", "target", words.cast("long").alias("taken"))
+    slim = docs.select("doc_id", "source", "text")
+    return _taken(keyed(_sized(slim)), budget_percent, passes).drop("_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +133,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: each document once for every pass that takes words of it, whole."""
+    """Pipeline: each document once for every pass that takes words of it, whole.
+
+    Rows are told apart by a number of their own, so rows of a null or repeated doc_id are each taken PASSES times at
+    most. Documents without words are never taken; an empty table gives an empty one.
+    """
     rows = keyed(docs)
-    t = taken(rows, extra=("_row",)).where(F.col("taken") > 0)
+    t = _taken(materialize(_sized(rows), "mixing"), BUDGET_PERCENT, PASSES).where(F.col("taken") > 0)
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     t = t.select(F.col("_row").alias("_id"), F.explode(F.array_repeat(F.lit(0), times)).alias("_n"))
     return rows.join(t, F.col("_row") == F.col("_id")).drop("_row", "_id", "_n")
@@ -114,8 +147,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', coalesce(text, ''))) AS o FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), r AS (
@@ -130,12 +163,21 @@ WITH d AS (
   SELECT coalesce((SELECT CAST(budget - ended AS DOUBLE) / o FROM q WHERE CAST(budget - ended AS DOUBLE) / o <= ends ORDER BY ends, k LIMIT 1),
                   (SELECT max(ends) FROM q)) AS cut
 ), t AS (
-  SELECT source, source_size, least(cut * weight, CAST(cap AS DOUBLE)) AS target FROM q, c
+  SELECT source, source_size, weight, CAST(floor(budget) AS BIGINT) AS budget, least(cut * weight, CAST(cap AS DOUBLE)) AS target FROM q, c
 ), b AS (
-  SELECT doc_id, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT rid, doc_id, d.source, size, o, source_size, weight, budget, target,
+         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+), e AS (
+  SELECT *, unnest([0, 1]) AS pass FROM b
+), f AS (
+  SELECT *, unnest(range(0, greatest(1, (size + 511) // 512))) AS piece FROM e
+), g AS (
+  SELECT *, least(512, size - 512 * piece) AS length,
+         CAST(before + pass * source_size + 512 * piece + least(512, size - 512 * piece) AS DOUBLE) / weight AS finish FROM f
+), h AS (
+  SELECT *, coalesce(sum(length) OVER (ORDER BY finish, source NULLS LAST, o, size, pass, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM g
 )
-SELECT doc_id, size, source_size, target,
-       CAST(least(size, greatest(0, floor(target) - before)) + least(size, greatest(0, floor(target) - before - source_size)) AS BIGINT) AS taken FROM b
+SELECT doc_id, size, source_size, target, CAST(sum(least(length, greatest(0, budget - spent))) AS BIGINT) AS taken
+FROM h GROUP BY rid, doc_id, size, source_size, target
 """

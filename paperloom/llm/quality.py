@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from paperloom.session import keyed, materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
-#: A host whose shrunk rate of failed documents is above this loses all its documents.
-MAX_HOST_RATE = 0.5
+#: A host loses all its documents if its shrunk failure rate of any rule is this at least, and its odds are this many
+#: times the odds in the whole corpus.
+MIN_HOST_RATE, ODDS = 0.3, 4
+#: Documents that the prior weighs as, at least, and where hosts don't differ by more than chance.
+MIN_STRENGTH, STRENGTH = 20.0, 1000.0
 
 
 def repeated_words(w: Column) -> Column:
@@ -63,7 +68,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     ).select("*", F.col("_w.n").alias("n_words"), F.col("_w.r").alias("n_repeat_words")).drop("_w")
 
 
-#: Rules of a document by name; the base verdict is that of the first two.
+#: Rules of a document by name; the base verdict is that of the first two, all four are counted by host.
 RULES = {
     "few_words": lambda: F.col("n_words") < MIN_WORDS,
     "repeats": lambda: 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
@@ -73,35 +78,38 @@ RULES = {
 
 
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """Per host (null is one): documents, failures of each rule, and the shrunk rate of base failures.
+    """Per host (null is one): n_docs, and for each rule n_<rule>, rate_<rule> (shrunk) and limit_<rule>; rejected.
 
-    The prior is Beta(a, b), by the method of moments from the hosts' own rates: mean m and variance v of the rates,
-    a + b = m (1 - m) / v - 1, kept within [1, 1000]. A host of few documents stays near the mean of all.
+    A rule's prior is Beta(a, b) by the method of moments from the hosts' own rates: with m the rate of all documents and
+    v the variance of the hosts' rates less what chance alone gives, a + b = m (1 - m) / v - 1, kept within
+    [MIN_STRENGTH, STRENGTH]. A host of few documents stays near the rate of all. A rule's limit follows from the corpus: the rate at
+    ODDS times the odds of m, MIN_HOST_RATE at least. A host with a rate above its limit is rejected.
     """
     per = measured.groupBy(host).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.count_if(F.col("base_failed")).alias("n_failed"),
-        *[F.count_if(rule()).alias(f"n_{name}") for name, rule in RULES.items()],
-    )
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = per.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v")
-    ).select(
-        "m",
-        F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)))
-        .otherwise(1000.0)
-        .alias("strength"),
-    )
-    # The prior is the one row of a global aggregate.
-    return per.join(F.broadcast(prior)).select(
-        *per.columns, ((F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))).alias("shrunk_rate")
+        F.count(F.lit(1)).alias("n_docs"), *[F.count_if(rule()).alias(f"n_{name}") for name, rule in RULES.items()]
     )
+    moments = []
+    for name in RULES:
+        m = F.sum(f"n_{name}") / F.sum("n_docs")
+        v = F.var_pop(F.col(f"n_{name}") / F.col("n_docs")) - m * (1 - m) * F.avg(1 / F.col("n_docs"))
+        moments.append(F.struct(m.alias("m"), v.alias("v")).alias(name))
+    prior = per.agg(*moments)
+    rates, limits = [], []
+    for name in RULES:
+        m, v = F.col(f"{name}.m"), F.col(f"{name}.v")
+        k = F.when(v > 0, F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(STRENGTH), m * (1 - m) / v - 1))).otherwise(STRENGTH)
+        rates.append(((F.col(f"n_{name}") + m * k) / (F.col("n_docs") + k)).alias(f"rate_{name}"))
+        limits.append(F.greatest(F.lit(MIN_HOST_RATE), ODDS * m / (1 - m + ODDS * m)).alias(f"limit_{name}"))
+    # The priors are the one row of a global aggregate.
+    out = per.join(F.broadcast(prior)).select(*per.columns, *rates, *limits)
+    over = reduce(Column.__or__, (F.col(f"rate_{name}") > F.col(f"limit_{name}") for name in RULES))
+    return out.withColumn("rejected", over)
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`extra` columns, the measures, base_failed, the host's shrunk_rate and kept, one row per row of `docs`.
+    """`extra` columns, the measures, base_failed, host_rejected and kept, one row per row of `docs`.
 
-    kept: the document passes the base rules and its host's shrunk rate of failures is at most MAX_HOST_RATE. Null and
+    kept: the document passes the base rules and its host is not rejected (see host_rates). Null and
     empty texts have no words and fail; null hosts are one host; repeated rows are judged each; an empty table gives an
     empty result; other columns of `docs` play no part. Measures are written once (a few numbers per document), since
     both the hosts' rates and the documents' verdicts need them. The join on the host carries no texts, and a hot host
@@ -110,19 +118,22 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", extra: tupl
     slim = docs.select(*[F.col(c) for c in extra], F.col(host).alias("_host"), F.col(text).alias("_text"))
     m = measures(slim, "_text")
     m = materialize(m.withColumn("base_failed", RULES["few_words"]() | RULES["repeats"]()), "quality")
-    rates = host_rates(m, "_host").select(F.col("_host").alias("_h"), "shrunk_rate")
+    rates = host_rates(m, "_host").select(F.col("_host").alias("_h"), F.col("rejected").alias("host_rejected"))
     return m.join(rates, F.col("_host").eqNullSafe(F.col("_h")), "left").select(
-        *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate",
-        (~F.col("base_failed") & (F.col("shrunk_rate") <= MAX_HOST_RATE)).alias("kept"),
+        *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected",
+        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("shrunk_rate")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("host_rejected")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the documents that the rules keep, each row by its own verdict."""
+    """Pipeline: the documents that the rules keep, each row by its own verdict, whatever its doc_id.
+
+    Rows of null or empty text go; an empty table gives an empty one; other columns pass through.
+    """
     rows = keyed(docs)
     bad = judge(rows, extra=("_row",)).where(~F.col("kept")).select(F.col("_row").alias("_bad"))
     return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
@@ -147,14 +158,20 @@ WITH w AS (
   FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
-), h AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source
+), x AS (
+  SELECT *, n_words < 50 AS a, 100 * n_repeat_words > 50 * n_words AS b, 10 * n_symbols > n_words AS c, n_dup_lines > 10 AS d FROM b
+), f AS (
+  SELECT source, rule, count(*) AS n, count(*) FILTER (hit) AS f
+  FROM (SELECT source, unnest(['few_words', 'repeats', 'symbols', 'dup_lines']) AS rule, unnest([a, b, c, d]) AS hit FROM x) GROUP BY source, rule
 ), p AS (
-  SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS v FROM h
+  SELECT rule, m, var - m * (1 - m) * inverse AS v
+  FROM (SELECT rule, sum(f) / sum(n) AS m, var_pop(f / n) AS var, avg(1 / n) AS inverse FROM f GROUP BY rule)
 ), s AS (
-  SELECT source, (f + m * k) / (n + k) AS rate
-  FROM h, (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM p)
+  SELECT source, (f.f + m * k) / (n + k) > greatest(0.3, 4 * m / (1 - m + 4 * m)) AS bad
+  FROM f JOIN (SELECT rule, m, CASE WHEN v > 0 THEN greatest(20.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM p) p USING (rule)
+), h AS (
+  SELECT source, bool_or(bad) AS rejected FROM s GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
-FROM b JOIN s ON s.source IS NOT DISTINCT FROM b.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM b JOIN h ON h.source IS NOT DISTINCT FROM b.source
 """

@@ -3,8 +3,8 @@
 Every string of MIN_BYTES bytes is named by the smallest hash among its 16-byte grams, its anchor. Neighbouring strings
 of one anchor form a segment, so equal strings always lie in segments of one anchor, wherever they stand.
 
-1. Each text becomes (anchor, fingerprint) pairs of its segments, packed and dealt by anchor. Of equal segments only the
-   smallest document's may hold anything new: all others are covered whole.
+1. Each text becomes 64-bit fingerprints of its segments, packed and dealt by anchor. Of segments of equal anchor and
+   fingerprint only the smallest document's may hold anything new: all others are covered whole.
 2. Where one anchor has several different segments, one copy of each is laid out in a shard with its document's number.
 3. A shard's Burrows-Wheeler transform is expanded breadth-first: intervals of strings of 1, 2, 3 ... bytes come from
    those one byte shorter by backward extension, until only intervals of MIN_BYTES are left. Each is one string, with
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,22 +27,26 @@ from paperloom.llm import words as W
 from paperloom.session import materialize
 
 MIN_BYTES, GRAM = 50, 16
-#: Text bytes for each bucket of anchors, bytes of a shard, bytes of text that the kernels work on at once, and of a batch.
-BUCKET_BYTES, SHARD_BYTES, SLICE, BATCH_BYTES = 8 << 20, 1 << 19, 1 << 17, 2 << 20
+#: Text bytes for each bucket of anchors, bytes of a shard, and bytes of text that the kernels work on at once.
+BUCKET_BYTES, SHARD_BYTES, SLICE = 8 << 20, 1 << 19, 1 << 17
 #: Different segments of an anchor from which on each string is dealt by itself, so that no shard grows with an anchor.
 HOT = 5_000
+#: Repeated segments that a task remembers, so that of their later copies only smaller documents' travel.
+REMEMBERED = 1 << 17
 #: Stands for a null doc_id, which counts as the largest.
 _LAST = (1 << 63) - 1
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A random number for each byte, for fingerprints.
+_BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
-_DEALT = "bucket int, settled boolean, docs binary, counts binary, pairs binary"
+_DEALT = "bucket int, settled boolean, docs binary, keys binary, counts binary, pairs binary, anchors binary"
 _REPLY = "share int, docs binary, counts binary, pairs binary"
 _TOLD = "k long, covered binary, shown binary, hot binary"
-_FOUND = "k long, h long, starts binary, ends binary, shard long, at long, content binary"
-_SPANS = "k long, h long, starts binary, ends binary"
+_FOUND = "k long, d long, starts binary, ends binary, key long, at long, content binary"
+_SPANS = "k long, starts binary, ends binary"
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -61,7 +66,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor, fingerprint (32 bits each but for the anchor's 64), row, first byte and number of strings of each segment."""
+    """Anchor and fingerprint (64 bits each), row, first byte and number of strings of each segment."""
     none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if len(data) < MIN_BYTES:
         return none
@@ -84,22 +89,10 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     size = np.diff(np.append(edges, n))
     ok = inside[edges]
     first, size = edges[ok], size[ok]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + _U(1)) * _powers(_MUL, len(x)))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_MUL, len(x)))])
     length = size + MIN_BYTES - 1
     print_ = W.mix((sums[first + length] - sums[first]) * _powers(_INV, int(first.max()) + 1)[first] ^ length.astype(np.uint64)) if len(first) else none[1]
-    return anchor[first], print_ & _U(0xFFFFFFFF), np.searchsorted(offsets, first, "right") - 1, first, size
-
-
-def _pairs(anchor: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
-    """Low half of the anchor and the fingerprint in one number; the anchor's high half chooses the bucket."""
-    return (anchor << _U(32)) | fingerprint
-
-
-def _by_doc(docs: np.ndarray):
-    """Order by document, distinct documents, and where each begins and ends in that order."""
-    order = np.argsort(docs, kind="stable")
-    distinct, first = np.unique(docs[order], return_index=True)
-    return order, distinct, np.append(first, len(docs))
+    return anchor[first], print_, np.searchsorted(offsets, first, "right") - 1, first, size
 
 
 def _blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -110,59 +103,92 @@ def _blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     )
 
 
+def _packed(bucket: int, settled: bool, doc: np.ndarray, key: np.ndarray, pair: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
+    """Entries of one bucket, by document: each document's number and key once, then its pairs and their anchors."""
+    order = np.argsort(key, kind="stable")
+    keys, first = np.unique(key[order], return_index=True)
+    counts = np.diff(np.append(first, len(key)))
+    row = {"bucket": pa.array([bucket], pa.int32()), "settled": pa.array([settled]), "docs": [doc[order][first].tobytes()], "keys": [keys.tobytes()]}
+    row |= {"counts": [counts.astype(np.int32).tobytes()], "pairs": [pair[order].tobytes()], "anchors": [b"" if settled else anchor[order].astype(np.uint32).tobytes()]}
+    return pa.RecordBatch.from_pydict(row)
+
+
+class _Remembered:
+    """Pairs that came repeatedly, and the smallest document of each that has travelled."""
+
+    def __init__(self):
+        self.pair, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def settled(self, pair: np.ndarray, doc: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """Which of the distinct pairs a smaller document has brought already; takes in the others that are repeated."""
+        at = np.minimum(np.searchsorted(self.pair, pair), max(0, len(self.pair) - 1))
+        known = self.pair[at] == pair if len(self.pair) else np.zeros(len(pair), bool)
+        done = np.zeros(len(pair), bool)
+        done[known] = self.doc[at[known]] < doc[known]
+        self.doc[at[known & ~done]] = doc[known & ~done]
+        new = repeated & ~known
+        old = slice(None) if len(self.pair) + new.sum() <= REMEMBERED else slice(0, 0)
+        both, docs = np.concatenate([self.pair[old], pair[new]]), np.concatenate([self.doc[old], doc[new]])
+        order = np.argsort(both)
+        self.pair, self.doc = both[order], docs[order]
+        return done
+
+
 def _deal(buckets: int):
-    """Pairs of each batch, by bucket. Of equal pairs in a batch only the smallest document's need to travel further;
-    the others are settled at once, so that copies of a passage cost a bucket one pair per batch."""
+    """Pairs of each batch, by bucket of their anchors. Of equal pairs only the smallest document's need to travel on, in a
+    batch and as far as the task remembers earlier ones; all others are settled at once and go to buckets at random, so
+    that copies of a passage cost a bucket little more than one pair per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, memory = TaskContext.get().partitionId(), _Remembered()
         for turn, batch in enumerate(batches):
             data, offsets = W.utf8(batch.column("text"))
-            ids = batch.column("k").to_numpy()
+            keys, docs = batch.column("k").to_numpy(), batch.column("d").to_numpy()
             found = []
             for i, j in W.slices(offsets, SLICE):
                 a, f, r, _, _ = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found.append((a, f, ids[i + r]))
+                found.append((a, f, i + r))
             if not found:
                 continue
-            a, f, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-            bucket = (((a >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
-            pair = _pairs(a, f)
-            order = np.lexsort((doc, pair, bucket))
-            bucket, pair, doc = bucket[order], pair[order], doc[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (bucket[1:] != bucket[:-1])
-            group = np.cumsum(new) - 1
-            again = np.zeros(len(pair), bool)
-            again[1:] = ~new[1:] & (doc[1:] == doc[:-1])
-            settled = doc > doc[new][group] if len(doc) else np.zeros(0, bool)
-            for s in (False, True):
-                mine = np.flatnonzero((settled == s) & ~again)
-                of = np.full(len(mine), turn % buckets) if s else bucket[mine]
-                for b in np.unique(of):
-                    at = mine[of == b] if not s else mine
-                    by, docs, edges = _by_doc(doc[at])
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "bucket": pa.array([b], pa.int32()), "settled": pa.array([s]), "docs": [docs.astype(np.int64).tobytes()],
-                            "counts": [np.diff(edges).astype(np.int64).tobytes()], "pairs": [pair[at][by].tobytes()],
-                        }
-                    )
+            anchor, pair, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(row):
+                continue
+            order = np.lexsort((keys[row], docs[row], pair))
+            anchor, pair, row = anchor[order], pair[order], row[order]
+            doc, key = docs[row], keys[row]
+            new = np.append(True, pair[1:] != pair[:-1])
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            again = np.append(False, ~new[1:] & (key[1:] == key[:-1]))
+            done = memory.settled(pair[first], doc[first], np.diff(np.append(first, len(pair))) > 1)
+            settled = (doc > doc[first][group]) | done[group]
+            at = np.flatnonzero(settled & ~again)
+            if len(at):
+                where = int(W.mix(np.array([part << 20 | turn], np.uint64))[0] % _U(buckets))
+                yield _packed(where, True, doc[at], key[at], pair[at], anchor[at])
+            at = np.flatnonzero(~settled & ~again)
+            bucket = (((anchor[at] >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at, bucket = at[order], bucket[order]
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(at)) if len(at) else []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                m = at[x:y]
+                yield _packed(int(bucket[x]), False, doc[m], key[m], pair[m], anchor[m])
 
     return run
 
 
-def _replies(doc: np.ndarray, pair: np.ndarray, kind: np.ndarray, shares: int) -> pa.Table:
+def _replies(key: np.ndarray, pair: np.ndarray, kind: np.ndarray, shares: int) -> pa.Table:
     """One row for each share of the documents that occurs: its documents, their pairs of each kind by number, the pairs."""
-    share = (W.mix(doc.astype(np.uint64)) % _U(shares)).astype(np.int64)
-    order = np.lexsort((kind, doc, share))
-    doc, pair, kind, share = doc[order], pair[order], kind[order], share[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] != doc[:-1]
+    share = (W.mix(key.astype(np.uint64)) % _U(shares)).astype(np.int64)
+    order = np.lexsort((kind, key, share))
+    key, pair, kind, share = key[order], pair[order], kind[order], share[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     counts = np.bincount((np.cumsum(new) - 1) * 3 + kind, minlength=3 * len(first)).astype(np.int64)
     shares_, cut = np.unique(share[first], return_index=True)
     cut = np.append(cut, len(first))
-    cols = [_blobs(doc[first].astype(np.int64), cut), _blobs(counts, 3 * cut), _blobs(pair, np.append(first, len(doc))[cut])]
+    cols = [_blobs(key[first].astype(np.int64), cut), _blobs(counts, 3 * cut), _blobs(pair, np.append(first, len(key))[cut])]
     return pa.Table.from_arrays([pa.array(shares_, pa.int32()), *cols], names=["share", "docs", "counts", "pairs"])
 
 
@@ -182,36 +208,39 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.Table.from_arrays([pa.array(docs, pa.int64()), *cols], names=["k", "covered", "shown", "hot"]).to_batches()
 
 
+def _numbers(batch: pa.RecordBatch, column: str, i: int, kind) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
+
+
 def _settle(hot: int, shares: int):
     """For each document of a bucket, packed by share of the documents: its pairs that are covered, those to show, and those to show string by string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = {False: [], True: []}
+        got = []
         for batch in batches:
-            for row in batch.to_pylist():
-                docs, counts = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["counts"], np.int64)
-                got[row["settled"]].append((np.repeat(docs, counts), np.frombuffer(row["pairs"], np.uint64)))
-        doc, pair, kind = [], [], []
-        for d, p in got.pop(True):
-            doc.append(d), pair.append(p), kind.append(np.zeros(len(d), np.int8))
-        if got[False]:
-            d, p = (np.concatenate(x) for x in zip(*got.pop(False), strict=True))
-            order = np.lexsort((d, p))
-            d, p = d[order], p[order]
-            new = np.ones(len(p), bool)
-            new[1:] = p[1:] != p[:-1]
+            for i in range(batch.num_rows):
+                counts = _numbers(batch, "counts", i, np.int32)
+                key, pair = np.repeat(_numbers(batch, "keys", i, np.int64), counts), _numbers(batch, "pairs", i, np.uint64)
+                if batch.column("settled")[i].as_py():
+                    yield from _replies(key, pair, np.zeros(len(pair), np.int8), shares).to_batches()
+                else:
+                    got.append((np.repeat(_numbers(batch, "docs", i, np.int64), counts), key, pair, _numbers(batch, "anchors", i, np.uint32)))
+        if got:
+            doc, key, pair, anchor = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            order = np.lexsort((doc, pair, anchor))
+            doc, key, pair, anchor = doc[order], key[order], pair[order], anchor[order]
+            fresh = np.append(True, anchor[1:] != anchor[:-1])
+            new = np.append(True, pair[1:] != pair[:-1]) | fresh
             group = np.cumsum(new) - 1
-            covered = d > d[new][group]
+            covered = doc > doc[new][group]
             # Different segments of each anchor.
-            key = p[new] >> _U(32)
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            kinds = np.diff(np.append(np.flatnonzero(first), len(key)))[np.cumsum(first) - 1][group]
+            first = np.flatnonzero(fresh[new])
+            kinds = np.diff(np.append(first, int(new.sum())))[np.cumsum(fresh[new]) - 1][group]
             code = np.where(covered, 0, np.where(kinds > hot, 2, 1)).astype(np.int8)
             use = covered | (kinds > 1)
-            doc.append(d[use]), pair.append(p[use]), kind.append(code[use])
-        if doc:
-            yield from _replies(np.concatenate(doc), np.concatenate(pair), np.concatenate(kind), shares).to_batches()
+            if use.any():
+                yield from _replies(key[use], pair[use], code[use], shares).to_batches()
 
     return run
 
@@ -245,47 +274,61 @@ def _merged(starts: np.ndarray, ends: np.ndarray, row: np.ndarray, reach: int):
     return starts[first], top[last] - lift[first], row[first]
 
 
-def _show(shards: int):
-    """Ranges that are covered as whole segments, and the segments (or strings) that the transform has to compare."""
+def _ranges(starts: np.ndarray, ends: np.ndarray, row: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """Rows of covered ranges, one per row that has any; `row` is ascending."""
+    mine, edge = np.unique(row, return_index=True)
+    edge, n = np.append(edge, len(row)), len(mine)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[mine], pa.int64()), pa.array(docs[mine], pa.int64()), _blobs(starts.astype(np.int64), edge), _blobs(ends.astype(np.int64), edge)]
+        + [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+        names=[x.split()[0] for x in _FOUND.split(", ")],
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = W.utf8(batch.column("text"))
-            ids, hashes = batch.column("k").to_numpy(), batch.column("h").to_numpy()
-            for i, j in W.slices(offsets, SLICE):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                a, f, r, first, size = segments(part, at)
-                pair = _pairs(a, f)
-                hit = {c: _match(pair, r, batch.column(c).slice(i, j - i)) for c in ("covered", "shown", "hot")}
-                m = hit["covered"]
-                s, e, row = _merged(first[m] - at[r[m]], first[m] + size[m] + MIN_BYTES - 1 - at[r[m]], r[m], len(part) + 1)
-                docs, edge = np.unique(row, return_index=True)
-                edge = np.append(edge, len(row))
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + docs], pa.int64()), pa.array(hashes[i + docs], pa.int64()), _blobs(s.astype(np.int64), edge), _blobs(e.astype(np.int64), edge), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
-                    names=["k", "h", "starts", "ends", "shard", "at", "content"],
-                )
-                m, h = hit["shown"] & ~hit["covered"], hit["hot"] & ~hit["covered"]
-                begin = np.concatenate([first[m], np.repeat(first[h], size[h]) + np.arange(int(size[h].sum())) - np.repeat(np.cumsum(size[h]) - size[h], size[h])])
-                length = np.concatenate([size[m] + MIN_BYTES - 1, np.full(int(size[h].sum()), MIN_BYTES)])
-                row = np.concatenate([r[m], np.repeat(r[h], size[h])])
-                if not len(begin):
-                    continue
-                edge = np.concatenate([[0], np.cumsum(length)])
-                content = part[np.repeat(begin - edge[:-1], length) + np.arange(edge[-1])]
-                key = a[m]
-                if h.any():
-                    tail = content[edge[m.sum()] :].reshape(-1, MIN_BYTES).astype(np.uint64)
-                    key = np.concatenate([key, (W.mix(tail + _U(1)) * _powers(_MUL, MIN_BYTES)).sum(axis=1, dtype=np.uint64)])
-                shard = (W.mix(key) % _U(shards)).astype(np.int64)
-                n = len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + row], pa.int64()), pa.array(hashes[i + row], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(shard), pa.array(begin - at[row]), _blobs(content, edge)],
-                    names=["k", "h", "starts", "ends", "shard", "at", "content"],
-                )
 
-    return run
+def _contents(key: np.ndarray, at: np.ndarray, content: np.ndarray, edge: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    n = len(key)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+        + [pa.array(W.mix(key).view(np.int64)), pa.array(at, pa.int64()), _blobs(content, edge)],
+        names=[x.split()[0] for x in _FOUND.split(", ")],
+    )
+
+
+def _show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges that are covered as whole segments, and the segments (or strings) that the transform has to compare."""
+    for batch in batches:
+        data, offsets = W.utf8(batch.column("text"))
+        keys, docs = batch.column("k").to_numpy(), batch.column("d").to_numpy()
+        for i, j in W.slices(offsets, SLICE):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            a, pair, r, first, size = segments(part, at)
+            covered, shown, hot = (_match(pair, r, batch.column(c).slice(i, j - i)) for c in ("covered", "shown", "hot"))
+            ids, doc = keys[i:j], docs[i:j]
+            s, e, row = _merged(first[covered] - at[r[covered]], first[covered] + size[covered] + MIN_BYTES - 1 - at[r[covered]], r[covered], len(part) + 1)
+            yield _ranges(s, e, row, ids, doc)
+            m = np.flatnonzero(shown & ~covered)
+            length = size[m] + MIN_BYTES - 1
+            edge = np.concatenate([[0], np.cumsum(length)])
+            if len(m):
+                content = part[np.repeat(first[m] - edge[:-1], length) + np.arange(edge[-1])]
+                yield _contents(a[m], first[m] - at[r[m]], content, edge, ids[r[m]], doc[r[m]])
+            h = np.flatnonzero(hot & ~covered)
+            if not len(h):
+                continue
+            begin = np.repeat(first[h] - (np.cumsum(size[h]) - size[h]), size[h]) + np.arange(int(size[h].sum()))
+            row = np.repeat(r[h], size[h])
+            content = part[begin[:, None] + np.arange(MIN_BYTES)]
+            key = W.mix((_BYTE[content] * _powers(_MUL, MIN_BYTES)).sum(axis=1, dtype=np.uint64))
+            # Of equal strings here only the smallest document's go on, so that a string of very many texts makes no large shard.
+            order = np.lexsort((doc[row], key))
+            new = np.append(True, key[order][1:] != key[order][:-1])
+            least = np.empty(len(key), np.int64)
+            least[order] = doc[row][order][new][np.cumsum(new) - 1]
+            over = doc[row] > least
+            yield _ranges(*_merged(begin[over] - at[row[over]], begin[over] + MIN_BYTES - at[row[over]], row[over], len(part) + 1), ids, doc)
+            go = ~over
+            n = int(go.sum())
+            yield _contents(key[go], (begin - at[row])[go], content[go].reshape(-1), np.arange(n + 1) * MIN_BYTES, ids[row[go]], doc[row[go]])
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -356,7 +399,7 @@ def owners(contents: np.ndarray, edges: np.ndarray, docs: np.ndarray) -> np.ndar
 
 def _compare(table: pa.Table) -> pa.Table:
     """Ranges of a shard's contents that a smaller document owns."""
-    docs, at = table["k"].to_numpy(), table["at"].to_numpy()
+    keys, docs, at = (table[c].to_numpy() for c in ("k", "d", "at"))
     data, edges = W.utf8(table["content"].cast(pa.large_binary()))
     home = np.repeat(np.arange(len(docs)), np.diff(edges))
     place = np.flatnonzero(owners(data, edges, docs) < docs[home])
@@ -370,7 +413,7 @@ def _compare(table: pa.Table) -> pa.Table:
     e = place[last] - edges[h] + at[h] + MIN_BYTES
     mine, edge = np.unique(h, return_index=True)
     edge = np.append(edge, len(h))
-    return pa.Table.from_arrays([pa.array(docs[mine], pa.int64()), table["h"].take(pa.array(mine)), _blobs(s.astype(np.int64), edge), _blobs(e.astype(np.int64), edge)], names=["k", "h", "starts", "ends"])
+    return pa.Table.from_arrays([pa.array(keys[mine], pa.int64()), _blobs(s.astype(np.int64), edge), _blobs(e.astype(np.int64), edge)], names=["k", "starts", "ends"])
 
 
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first: long, last: long>>, kept string"
@@ -416,24 +459,26 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ("doc_id",), whole:
     No group grows with a passage: copies in one batch travel as one, an anchor of many different segments is dealt
     string by string, and what a document is told back is bounded by its own length.
     """
-    spark = docs.sparkSession
-    W.bound_batches(spark, BATCH_BYTES)
-    # Rows that share a doc_id are told apart by a hash of their texts.
-    keyed = docs.withColumn("_k", F.coalesce("doc_id", F.lit(_LAST))).withColumn("_h", F.xxhash64("text"))
-    slim = keyed.select(F.col("_k").alias("k"), F.col("_h").alias("h"), "text")
+    W.bound_batches(docs.sparkSession)
+    # Rows are told apart by a hash of doc_id and text: equal rows share what they are told.
+    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    slim = keyed.select(F.col("_k").alias("k"), F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = total // BUCKET_BYTES + 1
-    dealt = slim.select("k", "text").mapInArrow(_deal(buckets), _DEALT)
+    dealt = slim.mapInArrow(_deal(buckets), _DEALT)
     # Replies travel packed by share: a row for every document and bucket would be the square of the input.
     told = dealt.groupBy("bucket").applyInArrow(_settle(hot, buckets), _REPLY).groupBy("share").applyInArrow(_gather, _TOLD)
-    found = slim.join(told, "k").select("k", "h", "text", "covered", "shown", "hot").mapInArrow(_show(total // (4 * SHARD_BYTES) + 1), _FOUND)
+    found = slim.join(told, "k").select("k", "d", "text", "covered", "shown", "hot").mapInArrow(_show, _FOUND)
     found = materialize(found, "segments")
-    owned = found.where(F.col("content").isNotNull()).groupBy("shard").applyInArrow(_compare, _SPANS)
-    spans = found.where(F.col("content").isNull()).select("k", "h", "starts", "ends").unionByName(owned)
-    spans = spans.groupBy("k", "h").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    joined = keyed.select("_k", "_h", F.col("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)]).join(spans.withColumnsRenamed({"k": "_k", "h": "_h"}), ["_k", "_h"], "left")
+    shown = found.where(F.col("content").isNotNull())
+    # Shards follow the bytes that are really shown, which overlap.
+    shards = (shown.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // SHARD_BYTES + 1
+    owned = shown.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_compare, _SPANS)
+    spans = found.where(F.col("content").isNull()).select("k", "starts", "ends").unionByName(owned)
+    spans = spans.groupBy("k").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).withColumnRenamed("k", "_k")
+    joined = keyed.select("_k", F.col("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)]).join(spans, "_k", "left")
     empty = F.array().cast("array<binary>")
-    joined = joined.withColumns({"starts": F.coalesce("starts", empty), "ends": F.coalesce("ends", empty)}).drop("_k", "_h")
+    joined = joined.withColumns({"starts": F.coalesce("starts", empty), "ends": F.coalesce("ends", empty)}).drop("_k")
     names = [f"_{i}" for i in range(len(extra))]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{n}` {kinds[c]}" for n, c in zip(names, extra, strict=True)) + ", " + _CUT

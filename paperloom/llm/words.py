@@ -133,7 +133,14 @@ def shingles(word: np.ndarray, row: np.ndarray, n_rows: int, size: int) -> tuple
     return h[new], r[new]
 
 
-def bound_batches(spark, size: int = 8 << 20) -> None:
-    """Keep Arrow batches small, whatever the length of the texts, so that Python workers need little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+#: Bytes of an Arrow batch, the same for every operator here, so that none changes the batches of another.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark) -> None:
+    """Keep Arrow batches small, whatever the length of the texts, so that Python workers need little memory.
+
+    Spark takes the size from the session when a plan runs, so it is one value for all operators.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
