@@ -401,6 +401,72 @@ def test_html_copies_keep_their_text(spark):
     assert {r.text for r in got} == {"Same\nText"}
 
 
+def test_html_template_of_neutral_names(spark):
+    page = "<html><body><div class=x1><p>Welcome to our site, read on</div><div class=x2><h1>Head {i}</h1><p>One {i} text that is long enough, so that the page says more of its own than of its site</p>{more}<p>Subscribe to our letter today</p></div><div class=x3>Made by us</div>"
+    rows = [(i, "http://h.org/a", page.format(i=i, more="<p>More</p>" * (i % 3)), 0) for i in range(40)]
+    rows += [(40 + i, "http://small.org/a", page.format(i=i, more=""), 0) for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, shapes long")).collect()}
+    for i in range(40):
+        kept = got[i].split("\n")
+        assert kept[:2] == [f"Head {i}", f"One {i} text that is long enough, so that the page says more of its own than of its site"] and set(kept[2:]) <= {"More"}
+    assert all("Welcome to our site, read on" in got[40 + i] for i in range(3))
+
+
+def test_html_articles_in_many_copies_keep_their_text(spark):
+    article = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {k} of the long article</p>" for k in range(6)) + "</article>"
+    rows = [(i, "http://h.org/a", PAGE % article) for i in range(20)]
+    rows += [(100 + i, "http://h.org/b", PAGE % f"<article><h1>Short {i}</h1><p>Text {i}</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].count("\n") == 6 for i in range(20)) and all(got[100 + i] == f"Short {i}\nText {i}" for i in range(12))
+
+
+def test_html_names():
+    dropped = ("ad", "site-footer", "ad-box-2", "cookieBanner", "main_nav", "comments", "share-buttons")
+    kept = ("related-work", "menu-of-the-day", "has-sidebar", "share-price", "adventure", "comment-on-law", "")
+    one = lambda c: html_text.Page(f"<article><p>a</p><div class='{c}'>b</div><section id='{c}'>c</section></article>").content()
+    assert [len(one(c)) for c in dropped] == [1] * len(dropped) and [len(one(c)) for c in kept] == [3] * len(kept)
+
+
+def test_html_deep_and_broken_pages(spark):
+    deep = "<div>" * 8000 + "deep" + "</div>" * 7000
+    broken = "<b>" * 3000 + "<p>x" * 3000 + "</i></td></li>" * 3000 + "<" * 100 + "<p a='" + "&#x110000; &bogus; <p>end"
+    rows = [(0, "http://h.org", deep), (1, "http://h.org", "<div>" * 5000 + "<p>one</p><p>two"), (2, "http://h.org", broken), (3, "http://h.org", "<article>" + "<p>word</p>" * 20_000)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "deep" and got[1] == "one\ntwo" and got[2].startswith("x\nx") and got[3].count("word") == 20_000
+
+
+def plain_matching(a, b):
+    """Value of simple tree matching of two nested (tag, children) trees, by the textbook recursion."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 1])
+def test_tree_matching_against_the_recursion(monkeypatch, whole):
+    monkeypatch.setattr(html_text, "WHOLE", whole)
+    html_text.align.cache_clear()
+    rng = random.Random(8)
+
+    def tree(depth):
+        return (rng.choice(["div", "p", "ul"]), [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else [])
+
+    def nodes(t, depth=0):
+        return [(depth, t[0]), *(x for k in t[1] for x in nodes(k, depth + 1))]
+
+    for _ in range(150):
+        trees = [("", [tree(3) for _ in range(rng.randint(0, 3))]) for _ in range(2)]
+        flat = [nodes(t)[1:] for t in trees]
+        found = html_text.align(*(";".join(f"{d - 1}{t}" for d, t in f) for f in flat))
+        assert len(found) + 1 == plain_matching(*trees)
+        assert all(flat[0][a] == flat[1][b] for a, b in found.items()) and len(set(found.values())) == len(found)
+        assert [b for _, b in sorted(found.items())] == sorted(found.values())
+
+
 def test_tree_matching():
     a, b = html_text.Page("<div><h1>x</h1><p>1<p>2<ul><li>3</ul></div>").shape(), html_text.Page("<div><p>1<p>2<p>3<ul><li>4<li>5</ul></div>").shape()
     m = html_text.align(a, b)
