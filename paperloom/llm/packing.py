@@ -20,8 +20,6 @@ from paperloom.session import materialize
 TOKENIZER, END_ID, SEQUENCE = "word_bpe_49k.json", 1, 2048
 #: Tokens by which a queue is served; a queue whose share of a round is less saves it up.
 QUANTUM = 256
-#: Queues at most; with more sources, several share a queue. The driver knows one total per queue.
-MAX_QUEUES = 4096
 #: Distinct words whose ids a Python worker remembers.
 CACHE_WORDS = 600_000
 # The vocabulary's pre-tokenizer on lower-case text of printable ASCII and Latin-1 letters.
@@ -36,6 +34,15 @@ _TOKENS = "doc_id long, source string, part int, local long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Words on which the two ways to a word's ids are compared when a vocabulary is loaded.
+PROBES = ("The", "Hello,", "it's", "WE'LL", "don't!?", "x2048y", "3.14", "(a+b)", "caf\u00e9", "\u00dcBER", "a_b-c", "''s", "#tag", "e.g.", "\u00df\u00e6\u00f8")
+
+
+def id_type(tokenizer) -> type:
+    """The narrowest type that holds all ids of a vocabulary."""
+    return np.uint16 if max(tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16 else np.uint32
+
+
 class WordIds:
     """Ids of words, each encoded once as long as the cache has room."""
 
@@ -44,15 +51,20 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
+        self.kind = id_type(self.tokenizer)
+        self.plain = True
+        self._clear()
+        # Pieces are only asked for one by one where the vocabulary splits words as PIECE does.
+        self.plain = all(self._ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
         self._clear()
 
     def _clear(self):
         self.pieces: dict[str, list[int]] = {}
-        self.index, self.first, self.count, self.pool, self.used = {}, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint16), 0
+        self.index, self.first, self.count, self.pool, self.used = {}, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.kind), 0
 
     def _ids(self, word: str) -> list[int]:
         """Ids of one word. The model is asked for each piece of a plain word once; any other word goes the whole way."""
-        if not PLAIN.fullmatch(word) or "<|" in word:
+        if not self.plain or not PLAIN.fullmatch(word) or "<|" in word:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         out = []
         for piece in PIECE.findall(word.lower()):
@@ -66,7 +78,7 @@ class WordIds:
     def _add(self, keys: np.ndarray, texts: list[str]) -> None:
         found = [self._ids(x) for x in texts]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(found), self.kind, int(n.sum()))
         at = len(self.index)
         while len(self.first) < at + len(n):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
@@ -96,7 +108,7 @@ class WordIds:
         first, n = self.first[slot][back], self.count[slot][back]
         rows = len(offsets) - 1
         total = np.bincount(row, weights=n, minlength=rows).astype(np.int64) + 1
-        ids = np.full(int(total.sum()), END_ID, np.uint16)
+        ids = np.full(int(total.sum()), END_ID, self.kind)
         before = np.cumsum(n) - n
         step = np.arange(int(n.sum())) - np.repeat(before, n)
         ids[np.repeat(before + row, n) + step] = self.pool[np.repeat(first, n) + step]
@@ -120,7 +132,7 @@ def _tokenize(file: str):
                 for s, k in zip(sources[i:j], n.tolist(), strict=True):
                     local.append(ahead.get(s, 0))
                     ahead[s] = local[-1] + k
-                ends = np.concatenate([[0], np.cumsum(n)]) * 2
+                ends = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
                 blob = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), batch.column("source").slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(local, pa.int64()), pa.array(n), blob],
@@ -131,7 +143,7 @@ def _tokenize(file: str):
 
 
 def tokenize(docs: DataFrame, file: str) -> DataFrame:
-    """doc_id, source, n and ids (unsigned 16-bit) of each text, END_ID last, and its place: the partition that read it
+    """doc_id, source, n and ids (see id_type) of each text, END_ID last, and its place: the partition that read it
     and the ids of its source ahead of it there. Written once, so that places never change."""
     W.bound_batches(docs.sparkSession)
     return materialize(docs.select("doc_id", "source", "text").mapInArrow(_tokenize(file), _TOKENS), "tokens")
@@ -185,7 +197,7 @@ class Rounds:
         return doc, a - first[doc], b - a, place
 
 
-def _cut(totals: list[int], sequence: int, quantum: int):
+def _cut(totals: list[int], sequence: int, quantum: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Rounds(np.array(totals, np.int64), sequence, quantum)
         for batch in batches:
@@ -200,7 +212,7 @@ def _cut(totals: list[int], sequence: int, quantum: int):
             a = np.maximum(place, (place // sequence + k) * sequence)
             b = np.minimum(place + length, (place // sequence + k + 1) * sequence)
             start, length = start + a - place, b - a
-            ids = [np.frombuffer(x.as_buffer(), np.uint16).astype("<u4") for x in batch.column("ids")]
+            ids = [np.frombuffer(x.as_buffer(), kind).astype("<u4") for x in batch.column("ids")]
             crc = [zlib.crc32(ids[d][s : s + m]) for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(a // sequence), pa.array(a % sequence)],
@@ -215,12 +227,12 @@ def pack(docs: DataFrame, file: str, sequence: int = SEQUENCE, quantum: int = QU
 
     Each id of a document lies in one piece; every sequence but the last is full, and holds the sources in proportion to
     their tokens within a quantum. Null and empty texts have END_ID alone; null sources are one source; rows that repeat
-    a doc_id are packed each; an empty table gives no pieces. Texts are never shuffled: they become ids where they are
+    a doc_id are packed each; an empty table gives no pieces. The driver knows one total per source. Texts are never shuffled: they become ids where they are
     read, and the start of each partition's share of a queue is a prefix sum over one row per partition and source.
     """
     tokens = tokenize(docs, file)
     parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("sum"))
-    rank = parts.select("source").distinct().withColumn("queue", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % MAX_QUEUES).cast("int"))
+    rank = parts.select("source").distinct().withColumn("queue", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)).cast("int"))
     rank = rank.withColumnRenamed("source", "_s")
     parts = parts.join(rank, F.col("source").eqNullSafe(F.col("_s")))
     ahead = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -229,7 +241,9 @@ def pack(docs: DataFrame, file: str, sequence: int = SEQUENCE, quantum: int = QU
     totals = [r["t"] for r in parts.groupBy("queue").agg(F.sum("sum").alias("t")).orderBy("queue").collect()]
     placed = tokens.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
     placed = placed.select("doc_id", "queue", (F.col("begin") + F.col("local")).alias("first"), "n", "ids")
-    return placed.mapInArrow(_cut(totals or [1], sequence, quantum), _PIECES)
+    from tokenizers import Tokenizer
+
+    return placed.mapInArrow(_cut(totals or [1], sequence, quantum, id_type(Tokenizer.from_file(file))), _PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

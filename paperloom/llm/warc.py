@@ -45,13 +45,14 @@ def chunks(payload: Column) -> Column:
 
 
 def typed(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, n_bytes, response (the page_id of the record that holds this payload).
+    """page_id, url, payload, digest, n_bytes, row, response and first (page_id and row of the record that others refer to).
 
     Of equal payloads (by SHA-1), the largest page_id responds and the others revisit it. Rows that repeat that page_id
     and payload respond each; null page_ids revisit, or respond if there is no other. Null html is an empty payload.
     """
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
-    best = p.groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("response"))
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
+    p = p.withColumn("digest", base32_sha1(F.col("payload")))
+    best = p.groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("response"), F.max_by("row", F.struct("page_id", -F.col("row"))).alias("first"))
     return p.join(best, F.col("digest") == F.col("_d")).drop("_d").withColumn("n_bytes", F.octet_length("payload").cast("long"))
 
 
@@ -59,7 +60,8 @@ def records(pages: DataFrame) -> DataFrame:
     """The chunked record table: record_id, chunk_no (from 1), n_chunks, block_digest and the record's text."""
     t = typed(pages).withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("response")))
     shown = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    t = t.withColumn("record_id", F.concat(F.lit("urn:page:"), shown, F.lit(":"), F.monotonically_increasing_id()))
+    # A record that others may refer to is named by page and digest; only repeats of one row need more.
+    t = t.withColumn("record_id", F.concat(F.lit("urn:page:"), shown, F.lit(":"), "digest", F.when(F.col("row") == F.col("first"), "").otherwise(F.concat(F.lit("."), "row"))))
     t = t.withColumn("parts", F.when(F.col("revisit"), F.array(F.lit(""))).otherwise(chunks(F.col("payload"))))
     t = t.withColumn("n_chunks", F.size("parts")).select("*", F.posexplode("parts").alias("at", "block"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -76,7 +78,7 @@ def records(pages: DataFrame) -> DataFrame:
         line("WARC-Payload-Length", F.col("n_bytes")),
         F.when(F.col("revisit"), F.concat(
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), "response", F.lit(">"))))).otherwise(""),
+            line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), "response", F.lit(":"), "digest", F.lit(">"))))).otherwise(""),
         F.when(many, line("WARC-Segment-Number", F.col("at") + 1)).otherwise(""),
         F.when(many & ~first, line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), "record_id", F.lit(">")))).otherwise(""),
         F.when(many & (F.col("at") + 1 == F.col("n_chunks")), line("WARC-Segment-Total-Length", F.col("n_bytes"))).otherwise(""),
@@ -104,7 +106,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.when(number == "", F.lit(0)).otherwise(F.expr("try_cast(regexp_extract(head, '(?m)^WARC-Segment-Number: ([0-9]+)', 1) AS INT)")).alias("chunk_no"),
         of("WARC-Payload-Digest", r"sha1:(\w+)").alias("payload_digest"),
         of("WARC-Payload-Length", r"(\d+)").cast("long").alias("payload_bytes"),
-        F.nullif(of("WARC-Refers-To", r"<urn:page:(-?\d+)>"), F.lit("")).cast("long").alias("refers_to"),
+        F.nullif(of("WARC-Refers-To", r"<urn:page:(-?\d+):\w+>"), F.lit("")).cast("long").alias("refers_to"),
         F.expr("substring(value, length(head) + 5, length(value) - length(head) - 8)").alias("block"),
     ).withColumn("page_id", F.expr("try_cast(split_part(record_id, ':', 3) AS LONG)"))
 
@@ -173,7 +175,8 @@ def verify(chunk_rows: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write `pages` (page_id, url, html; others play no part) to archives in `path` and read them back, verified.
 
-    The default path is a new one in the shared folder. An empty table gives archives without records, and no rows.
+    The default path is a new one in the shared folder. Rows that repeat page_id and html are records each, with ids of
+    their own. An empty table gives archives without records, and no rows.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

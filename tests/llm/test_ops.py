@@ -155,6 +155,27 @@ def test_packing(docs, rows):
         assert at == min(packing.SEQUENCE, total - s * packing.SEQUENCE)
 
 
+def test_packing_of_very_many_sources(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    docs = spark.createDataFrame([(i, f"doc {i} " * (i % 40), f"s{i}") for i in range(5000)], "doc_id long, text string, source string")
+    got = packing.pack(docs, TOKENIZER).collect()
+    assert sum(p.length for p in got) == sum(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect())
+    by_sequence = defaultdict(int)
+    for p in got:
+        by_sequence[p.sequence_id] += p.length
+    assert sorted(by_sequence.values())[1:] == [packing.SEQUENCE] * (len(by_sequence) - 1)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_ids_of_other_vocabularies(name):
+    enc = packing.WordIds(pytest.importorskip("public_tokenizers").path(name))
+    assert enc.plain == (name == packing.TOKENIZER)
+    for w in ("Hello,", "don't", "caf\u00e9s", "x12"):
+        assert enc._ids(w) == enc.tokenizer.encode(w, add_special_tokens=False).ids
+
+
 def test_packing_follows_proportions():
     totals = np.array([50_000, 20_000, 3_000, 1], np.int64)
     plan = packing.Rounds(totals)
@@ -326,7 +347,7 @@ def test_mixing_of_repeated_and_null_ids(spark):
 def test_warc(spark, tmp_path):
     mark = warc.MARK
     htmls = ["<p>a</p>", "<p>a</p>", None, "", "x" * 200_000, mark + "y" + mark, "tail\r\n\r\n", "é" * 70_000, "WARC/1.1", "\n"]
-    rows = [(i, f"http://a.b/{i}\r\nX: y", h, "extra") for i, h in enumerate(htmls)] + [(9, None, "\n", "extra"), (None, "http://n", "only", "z")]
+    rows = [(i, f"http://a.b/{i}\r\nX: y", h, "extra") for i, h in enumerate(htmls)] + [(9, None, "\n", "extra"), (4, "http://again", htmls[4], "extra"), (None, "http://n", "only", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
     got = warc.archive(pages, str(tmp_path / "w")).collect()
     assert len(got) == len(rows)
@@ -347,6 +368,8 @@ def test_warc(spark, tmp_path):
 
     found = [x for f in (tmp_path / "w").glob("*.gz") for x in warc.parse(gzip.decompress(f.read_bytes()))]
     assert Counter(h["WARC-Type"] for h, _ in found)["continuation"] > 3
+    named = Counter(h["WARC-Record-ID"] for h, _ in found)
+    assert max(named.values()) == 1 and all(named[h["WARC-Refers-To"]] for h, _ in found if "WARC-Refers-To" in h)
     assert all(h[""] == "WARC/1.1" and len(b) == int(h["Content-Length"]) for h, b in found)
     assert all(h["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode() for h, b in found)
 
@@ -364,6 +387,86 @@ def test_lm(docs, rows):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
+def test_lm_does_not_depend_on_the_layout(spark, docs, rows):
+    more = spark.createDataFrame([(1000 + i, t, None, None, None, None) for i, t in enumerate(texts(seed=4, n=300))], SCHEMA)
+    all_docs = docs.unionByName(more)
+    want = None
+    for parts in (2, 8, 50):
+        got = sorted((str(r.doc_id), r.base_score, r.score) for r in lm.score(all_docs.repartition(parts, "doc_id").sortWithinPartitions("doc_id")).collect())
+        want = want or got
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert np.allclose([x[1:] for x in got], [x[1:] for x in want], rtol=1e-9)
+
+
+def test_lm_steps_against_plain_ones():
+    rng = np.random.default_rng(6)
+    n = 4000
+    one, two = rng.integers(0, 12, n).astype(np.uint32), rng.integers(0, 9, n).astype(np.uint32)
+    y, held = (one + rng.integers(0, 3, n)) % 7, rng.random(n) < 0.2
+    prior = np.log(np.full(lm.CLASSES, 1 / lm.CLASSES)).astype(np.float32)
+    got = lm.fit_and_score(one, two, y.astype(np.int64), held, prior)
+    # The same model as a dictionary of weights, one context after another; all of them fit into one step.
+    pairs = sorted(set(zip(one.tolist(), two.tolist(), strict=True)))
+    times = Counter(zip(one[~held].tolist(), two[~held].tolist(), y[~held].tolist(), strict=True))
+    of = [lambda a, b: ("one", a), lambda a, b: ("both", a, b), lambda a, b: ("two", b)]
+    total = Counter()
+    for (a, b, _), k in times.items():
+        for f in of:
+            total[f(a, b)] += k
+
+    def hashed(values):
+        often = [v for v in values if total[v] > 1]
+        size = 1 << len(often).bit_length()
+        number = lambda v: v[1] if len(v) == 2 else (v[1] << 32) | v[2]
+        return {v: int(lm.W.mix(np.array([number(v)], np.uint64))[0]) % size if v in often else None for v in values}
+
+    row = {}
+    for k in range(3):
+        row |= {v: None if r is None else (v[0], r) for v, r in hashed({of[k](a, b) for a, b in pairs}).items()}
+    weights, seen = defaultdict(lambda: np.zeros(lm.CLASSES)), Counter()
+
+    def softmax(a, b):
+        z = prior + sum(weights[row[f(a, b)]] for f in of if row[f(a, b)] is not None)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    for _ in range(lm.EPOCHS):
+        gradient, m = defaultdict(lambda: np.zeros(lm.CLASSES)), Counter()
+        for a, b in pairs:
+            counts = np.array([times[a, b, c] for c in range(lm.CLASSES)])
+            g = counts.sum() * softmax(a, b) - counts
+            for f in of:
+                if (r := row[f(a, b)]) is not None:
+                    gradient[r] += g
+                    m[r] += counts.sum()
+        for r, g in gradient.items():
+            weights[r] -= lm.RATE / math.sqrt(1 + seen[r] / (4 * lm.STEP)) * g / (m[r] + lm.DAMP)
+            seen[r] += m[r]
+    for i in range(0, n, 37):
+        assert got[i] == pytest.approx(math.log10(softmax(int(one[i]), int(two[i]))[int(y[i])]), abs=1e-4)
+
+
+def test_lm_shares_of_all_words_add_up(spark, docs):
+    seen = docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1").select("text")
+    counts = seen.mapInArrow(lm._count(3), lm._DEALT).groupBy("bucket").applyInArrow(lm._add_counts, lm._COUNTS)
+    model = lm.prepare(counts)
+    t = counts.toArrow()
+    h, c = t["key"].to_numpy().view(np.uint64), t["c"].to_numpy()
+    y = model.classes(h, t["grp"].to_numpy().astype(np.int64), model.place(h))
+    share = np.bincount(y, weights=c + 0.5, minlength=lm.CLASSES) + 0.5
+    assert np.allclose(np.log10(share), model.log_totals) and abs(np.exp(model.prior).sum() - 1) < 1e-5
+
+
+def test_lm_splits_common_words():
+    h = np.array([7, 7, 8, 7, 7, 8] * 500, np.uint64)
+    model = lm.Model(np.array([7, 8], np.uint64), np.array([lm.COMMON * 9, 5]), np.array([7], np.uint64), np.zeros(lm.GROUPS, np.int64), np.ones(lm.CLASSES))
+    row = np.repeat(np.arange(1000), 3)
+    doc = np.random.default_rng(1).integers(0, 1 << 60, 1000).astype(np.uint64)
+    shard, one, two = model.shard(h, model.place(h), row, doc, 100)
+    both = (h == 8) & (np.arange(3000) % 3 == 2)
+    assert len(set(shard[both])) > 1 and len(set(zip(one[both], two[both], strict=True))) == 1
+
+
 def test_lm_beats_unigrams_on_held_out_documents(spark):
     rng = random.Random(5)
     prose = {k: [f"{p}{i}" for i in range(300)] for k, p in enumerate(("tha", "éle", "sch"))}
@@ -490,6 +593,20 @@ def test_url_filter(spark):
     assert {r.url_verdict for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("blocks", [1 << 20, 0])
+def test_url_filter_of_a_long_list(spark, monkeypatch, blocks):
+    monkeypatch.setattr(url_filter, "ARRAY_BLOCKS", blocks)
+    rules = spark.createDataFrame([(f"h{i}.org", "/" + "p" * (i % 9), "block", True) for i in range(3000)] + [("h7.org", "/ppp/x", "allow", False)], "host string, path string, action string, listed boolean")
+    urls = [f"http://x@a.h{i}.org.:80/{'p' * (i % 9 - i % 2)}" for i in range(4000)] + ["http://h7.org/ppp/x", "http://h0.org", "http://", ":80"]
+    pages = spark.createDataFrame([(i, u, 1, 2, 3, 4) for i, u in enumerate(urls)], "u long, url string, best long, key long, host long, _u long")
+    got = url_filter.judge(pages, rules).collect()
+    assert len(got) == len(urls)
+    for r in got[:0] + [x for x in got if x.u < 4000]:
+        assert (r.url_verdict == "block") == (r.u < 3000 and (r.u % 2 == 0 or r.u % 9 == 0))
+    last = {r.url: r.url_verdict for r in got}
+    assert [last[u] for u in urls[4000:]] == ["allow", "block", "allow", "allow"]
+
+
 def test_bloom_passes_every_listed_key(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     b = url_filter.bloom(keys, 1024)
