@@ -27,10 +27,12 @@ def session(app: str = "paperloom", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one, set once."""
+    """The folder in spark.checkpoint.dir; where that is unset and Spark runs in one process (tests), a temporary one, set once."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="paperloom-")
         spark.sparkContext.setCheckpointDir(folder)
