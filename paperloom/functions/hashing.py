@@ -43,30 +43,50 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     return np.array(out[::2], np.uint64) | np.uint64(1), np.array(out[1::2], np.uint64)
 
 
-def signature(hashes) -> np.ndarray:
+_MULTIPLIERS, _ADDENDS = permutations()
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
     """MinHash signature of 32-bit hashes: per slot the least of ((h * a + b) mod 2^32) / 2."""
-    if hashes is None or not len(hashes):
-        return np.full(SLOTS, EMPTY_SLOT, np.int32)
-    a, b = permutations()
-    h = np.asarray(hashes, np.int64).astype(np.uint64)
     least = np.full(SLOTS, MASK, np.uint64)
+    if not len(hashes):
+        return np.full(SLOTS, EMPTY_SLOT, np.int32)
+    h = np.asarray(hashes).astype(np.uint64)
     for i in range(0, len(h), 4096):
-        least = np.minimum(least, ((h[i : i + 4096, None] * a + b) & np.uint64(MASK)).min(axis=0))
+        least = np.minimum(least, ((h[i : i + 4096, None] * _MULTIPLIERS + _ADDENDS) & np.uint64(MASK)).min(axis=0))
     return (least >> np.uint64(1)).astype(np.int32)
 
 
-def sign(df: DataFrame, hashes: str) -> DataFrame:
-    """`df` with the array column `hashes` replaced by its `signature`, in Arrow batches."""
-    kept = [c for c in df.columns if c != hashes]
+def run_hashes(key: str, size: int) -> np.ndarray:
+    """FNV-1a of each distinct run of `size` words of a comparison key, which is ASCII with single blanks."""
+    data = np.frombuffer(key.encode(), np.uint8)
+    blanks = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], blanks + 1]), np.append(blanks, len(data))
+    if not len(data) or len(starts) < size:
+        return np.zeros(0, np.uint64)
+    first, length = starts[: len(starts) - size + 1], ends[size - 1 :] - starts[: len(starts) - size + 1]
+    h = np.full(len(first), FNV_START, np.uint64)
+    for k in range(int(length.max())):
+        at = np.flatnonzero(length > k)
+        h[at] = ((h[at] ^ data[first[at] + k]) * np.uint64(FNV_PRIME)) & np.uint64(MASK)
+    return np.unique(h)
+
+
+def sign(df: DataFrame, key: str, size: int) -> DataFrame:
+    """`df` with the column `key` replaced by n_shingles and signature of its runs of `size` words, in Arrow batches."""
+    import pyarrow as pa
+
+    kept = [c for c in df.columns if c != key]
 
     def run(batches):
         for batch in batches:
-            out = batch[kept].copy()
-            out["signature"] = batch[hashes].map(signature)
-            yield out
+            hashes = [run_hashes(x.as_py() or "", size) for x in batch.column(key)]
+            signs = np.concatenate([signature(h) for h in hashes]) if hashes else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1) * SLOTS, pa.int32()), pa.array(signs))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([len(h) for h in hashes], pa.int32()), lists], names=[*kept, "n_shingles", "signature"])
 
     kinds = dict(df.dtypes)
-    return df.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", signature array<int>")
+    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_shingles int, signature array<int>")
 
 
 def containment(jaccard: Column, x: Column, y: Column) -> Column:

@@ -59,6 +59,15 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
+#: Characters of which none can be out of normal form C, alone or beside another.
+STEADY = "\\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+
+
+def normal_form(text: Column) -> Column:
+    """`text` in normal form C. Only texts with a character that may be out of it are sent to Python at all."""
+    return F.coalesce(nfc(F.when(text.rlike(f"[^{STEADY}]"), text)), text)
+
+
 def _replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), rules, text)
 
@@ -72,7 +81,7 @@ def repair(text: Column, normal: bool = False) -> Column:
     damaged = t.rlike(f"[{CP1254[0]}]") & ~t.rlike(INTACT)
     t = F.when(damaged, F.translate(t, *CP1254)).otherwise(t)
     t = F.translate(_replace_all(t, LIGATURES), *TYPOGRAPHY)
-    t = t if normal else nfc(t)
+    t = t if normal else normal_form(t)
     for pattern, letter in DETACHED:
         t = F.regexp_replace(t, pattern, letter)
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[\u0300-\u036f]", ""), "[ \t]+", " "))

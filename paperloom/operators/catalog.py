@@ -123,5 +123,5 @@ def page_of(rows: DataFrame, order: list[Column], page: int, size: int = 50) ->
 
 def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:
     """One row per key, that of the highest version: how an upsert reads back."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    # An aggregate, so that a key of very many versions is reduced where its rows are.
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(version, *rows.columns)).alias("_r")).select("_r.*")

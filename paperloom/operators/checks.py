@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.session import materialize
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -82,10 +83,14 @@ def category_scores(docs: DataFrame, key: str, terms: DataFrame) -> DataFrame:
     n = t.select("category").distinct().agg(F.count(F.lit(1)).alias("n_categories"))
     df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = t.join(df, "term").join(F.broadcast(n)).withColumn("idf", F.log((F.col("n_categories") + 1) / (F.col("df") + 0.5)))  # n: one row
-    words = docs.select("doc_id", F.explode(F.split(key, " ")).alias("term"), F.greatest(F.lit(1.0), F.size(F.split(key, " ")) / 1000).alias("long"))
+    # The words are split once and their number stands beside them before they are dealt out; then only numbers travel.
+    split = docs.select("doc_id", F.split(key, " ").alias("_w")).select("doc_id", "_w", F.greatest(F.lit(1.0), F.size("_w") / 1000).alias("long"))
+    words = split.select("doc_id", "long", F.explode("_w").alias("term"))
     hits = words.join(weighted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "long", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = (1 + F.log("tf")) * F.col("idf") / F.col("long")
     s = hits.join(weighted, "term").groupBy("doc_id", "category").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    # Written once: verdicts read the scores twice, and a few numbers are cheaper than the texts.
+    s = materialize(s, "scores")
     return s.withColumn("share", F.col("score") / F.sum("score").over(Window.partitionBy("doc_id")))
 
 
@@ -93,13 +98,14 @@ def category_verdict(scores: DataFrame, declared: DataFrame) -> DataFrame:
     """Per document: best and second category, lead, verdict (unclear, fits, misfit) against the declared category.
 
     unclear: under 3 terms, or the best not 1.4 times the second; misfit: the best is another one, 2 times the declared.
+    A document without any term has 0 of them and is unclear.
     """
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "category")
     top = scores.withColumn("k", F.row_number().over(w))
     at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     best = top.groupBy("doc_id").agg(at(1, "category").alias("best"), at(1, "score").alias("s1"), at(1, "n_terms").alias("n_terms"), at(2, "category").alias("second"), at(2, "score").alias("s2"))
     own = scores.join(declared, ["doc_id", "category"]).select("doc_id", F.col("score").alias("s0"))
-    out = declared.join(best, "doc_id").join(own, "doc_id", "left")
+    out = declared.join(best, "doc_id", "left").fillna(0, ["n_terms"]).join(own, "doc_id", "left")
     unclear = (F.col("n_terms") < MIN_TERMS) | F.coalesce(F.col("s1") < MIN_LEAD * F.col("s2"), F.lit(False))
     misfit = (F.col("best") != F.col("category")) & F.coalesce(F.col("s1") >= MISFIT * F.col("s0"), F.lit(True))
     return out.select("doc_id", "category", "best", "second", "n_terms", F.when(unclear, "unclear").when(misfit, "misfit").otherwise("fits").alias("verdict"))

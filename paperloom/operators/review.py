@@ -134,7 +134,7 @@ def inbox(messages: DataFrame, length: int = 60) -> DataFrame:
 
 
 #: Letters of aliases, in order of first appearance.
-ALIASES = "ABCDEFGHJKLMNPRSTUVXYZ"
+ALIASES = "ABCDEFGHJKLMNOPRSTUVYZ"
 
 
 def referee_alias(assignments: DataFrame) -> DataFrame:
@@ -196,31 +196,17 @@ def draft_rubric(criteria: DataFrame) -> DataFrame:
     return criteria.withColumn("draft_points", F.when(first, base + 100 - base * n).otherwise(base).cast("long"))
 
 
-def assign(targets: DataFrame, referees: DataFrame, k: int) -> DataFrame:
-    """Balanced assignment of `k` referees to each target without work: target and referee numbers meet round robin.
+def assign(targets: DataFrame, referees: DataFrame, existing: DataFrame, k: int) -> DataFrame:
+    """Balanced assignment per competition: each target, in order, gets `k` more referees (1 at least, all at most), the
+    least loaded (ties: input order) of those it does not have yet; loads count as they grow. A target that has them all
+    is skipped and comes out with a null referee.
 
-    targets: report_id, ord (from 0); referees: referee_id, ord (from 0, fewest assignments first), n. Referee (ord * k + j)
-    mod n gets target ord, so loads differ by one at most, without a sequential pass. With unequal loads at the start,
-    `assign_greedy` keeps the order of a sequential assignment.
-    """
-    wanted = targets.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    n = referees.count()  # a dimension; the join below is by number
-    slot = ((F.col("ord") * min(k, n) + F.col("j")) % n).alias("slot")
-    wanted = wanted.where(F.col("j") < min(k, n)).select("report_id", slot)
-    return wanted.join(referees.select("referee_id", F.col("ord").alias("slot")), "slot").select("report_id", "referee_id")
-
-
-def assign_greedy(targets: DataFrame, referees: DataFrame, existing: DataFrame, k: int) -> DataFrame:
-    """Sequential balanced assignment per competition: each target, in order, takes the least-loaded referees (ties: input
-    order) it does not have yet, until it has `k`; loads count as they grow.
-
-    Competitions are independent and run in parallel. Each is one group: its targets (report_id, competition_id, ord) come
-    one by one, but only numbers are held.
+    targets: report_id, competition_id, ord; referees: competition_id, referee_id, ord, load; existing: report_id,
+    referee_id. Each choice depends on all before it, so a competition is one group, but competitions run in parallel and
+    a group holds numbers only, in the order in which Spark has sorted them.
     """
     have = existing.groupBy("report_id").agg(F.collect_set("referee_id").alias("have"))
-    t = targets.join(have, "report_id", "left")
-    load = existing.groupBy("referee_id").agg(F.count(F.lit(1)).alias("load"))
-    r = referees.join(load, "referee_id", "left").fillna(0, ["load"])
+    t = targets.join(have, "report_id", "left").select("competition_id", "report_id", "ord", "have")
 
     def run(t, r):
         import heapq
@@ -229,23 +215,23 @@ def assign_greedy(targets: DataFrame, referees: DataFrame, existing: DataFrame,
 
         heap = [(int(n), int(o), int(i)) for n, o, i in zip(r["load"], r["ord"], r["referee_id"], strict=True)]
         heapq.heapify(heap)
-        size, out = len(heap), []
+        each, out = min(max(k, 1), max(1, len(heap))), []
         for report, have in t.sort_values("ord")[["report_id", "have"]].itertuples(index=False):
             taken = set() if have is None or not hasattr(have, "__len__") else set(have)
-            passed, need = [], max(0, min(k, size) - len(taken))
-            while need and heap:
-                x = heapq.heappop(heap)
-                if x[2] in taken:
-                    passed.append(x)
-                    continue
-                out.append((report, x[2]))
-                passed.append((x[0] + 1, x[1], x[2]))
-                need -= 1
+            passed, chosen = [], 0
+            while heap and chosen < each:
+                load, order, referee = heapq.heappop(heap)
+                if referee not in taken:
+                    out.append((report, referee))
+                    load, chosen = load + 1, chosen + 1
+                passed.append((load, order, referee))
             for x in passed:
                 heapq.heappush(heap, x)
-        return pd.DataFrame(out, columns=["report_id", "referee_id"])
+            if not chosen:
+                out.append((report, None))
+        return pd.DataFrame({"report_id": [x[0] for x in out], "referee_id": pd.array([x[1] for x in out], "Int64")})
 
-    return t.groupBy("competition_id").cogroup(r.groupBy("competition_id")).applyInPandas(run, "report_id long, referee_id long")
+    return t.groupBy("competition_id").cogroup(referees.groupBy("competition_id")).applyInPandas(run, "report_id long, referee_id long")
 
 
 def stage_state(calendar: DataFrame, today: Column) -> DataFrame:

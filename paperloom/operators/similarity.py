@@ -16,23 +16,25 @@ BANDS = [(i * 9, 9) for i in range(6)] + [(54, 10)]
 
 
 def shingles(key: Column, size: int = SHINGLE) -> Column:
-    """Distinct runs of `size` words of a comparison key."""
-    w = F.split(key, " ")
-    # The array is bound once; each run is then a slice of it.
-    runs = F.transform(F.array(w), lambda x: F.when(F.size(x) >= size, F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.array_join(F.slice(x, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.element_at(runs, 1))
+    """64-bit hashes of the distinct runs of `size` words of a comparison key."""
+    runs = lambda w: F.when(
+        F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
+    ).otherwise(F.array().cast("array<long>"))
+    # The array of words is bound once.
+    return F.array_distinct(F.element_at(F.transform(F.array(F.split(key, " ")), runs), 1))
 
 
 def overlap_with(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """item_id, doc_id, shared, containment, jaccard of every passage and document that share a shingle.
 
-    docs: doc_id, key; passages: item_id, key. The join is on shingles; a document gives each at most once, and pairs
-    are counted with a pre-aggregation. Passages are a stated query set; pairs grow with true overlaps only.
+    docs: doc_id, key; passages: item_id, key. Shingles are numbers before they are dealt out; of a document's only those
+    travel that some passage has. Pairs are counted with a pre-aggregation. Passages are a stated query set; pairs grow
+    with true overlaps only.
     """
-    d = docs.select("doc_id", shingles(F.col("key")).alias("s"))
-    p = passages.select("item_id", shingles(F.col("key")).alias("s"))
-    left = d.select("doc_id", F.size("s").alias("nd"), F.explode("s").alias("g"))
-    right = p.select("item_id", F.size("s").alias("np"), F.explode("s").alias("g"))
+    d = docs.select("doc_id", shingles(F.col("key")).alias("s")).select("doc_id", "s", F.size("s").alias("nd"))
+    p = passages.select("item_id", shingles(F.col("key")).alias("s")).select("item_id", "s", F.size("s").alias("np"))
+    left, right = d.select("doc_id", "nd", F.explode("s").alias("g")), p.select("item_id", "np", F.explode("s").alias("g"))
+    left = left.join(right.select("g").distinct(), "g", "left_semi")
     both = left.join(right, "g").groupBy("item_id", "doc_id", "np", "nd").agg(F.count(F.lit(1)).alias("shared"))
     return both.select("item_id", "doc_id", "shared", (F.col("shared") / F.least("np", "nd")).alias("containment"), (F.col("shared") / (F.col("np") + F.col("nd") - F.col("shared"))).alias("jaccard"))
 
@@ -42,35 +44,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Written once: pairs and thresholds read fingerprints several times, and none of them may sign texts again.
     """
-    s = docs.select("doc_id", "category", shingles(F.col("key")).alias("s")).where(F.size("s") > 0)
-    hashed = s.select("doc_id", "category", F.size("s").alias("n_shingles"), F.transform("s", lambda x: F.xxhash64(x).bitwiseAND(F.lit(H.MASK))).alias("h"))
-    return materialize(H.sign(hashed, "h"), "fingerprints")
+    return materialize(H.sign(docs.select("doc_id", "category", "key"), "key", SHINGLE).where("n_shingles > 0"), "fingerprints")
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """doc_id, category, class_id (the smallest doc_id of the category with the same signature), copies (of the class)."""
+    c = prints.groupBy("category", "signature").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    return prints.join(c, ["category", "signature"]).select("doc_id", "category", "class_id", "copies")
 
 
 def signature_pairs(prints: DataFrame, at_least: int = 1) -> DataFrame:
-    """Pairs a < b of one category that agree in `at_least` slots: agree, jaccard, coverage (containment from it).
+    """Pairs a <= b of classes of one category that agree in `at_least` slots: agree, jaccard, coverage (containment from
+    it), and n_pairs, the pairs of documents that a row stands for.
 
-    Documents of equal signatures form a class, and classes meet in the slots they share; pairs are of classes, with
-    their sizes, and never of the copies within a class.
+    Documents of equal signatures form a class, see `classes`, which tells the members; a class of several documents is a
+    pair with itself. Classes meet in the slots they share, never the copies within a class.
     """
     c = prints.groupBy("category", "signature").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    c = materialize(c, "classes")
     slots = c.select("category", "doc_id", F.posexplode("signature").alias("slot", "value"))
     pairs = slots.alias("x").join(slots.alias("y"), ["category", "slot", "value"]).where(F.col("x.doc_id") < F.col("y.doc_id"))
     n = pairs.groupBy("category", F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("agree")).where(F.col("agree") >= at_least)
-    size = c.select("doc_id", "n_shingles")
-    n = n.join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")), "b")
+    own = c.where("copies > 1").select("category", F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(H.SLOTS).cast("long").alias("agree"))
+    size = c.select("doc_id", "n_shingles", "copies")
+    n = n.unionByName(own).join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("copies").alias("ca")), "a")
+    n = n.join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("copies").alias("cb")), "b")
     j = F.col("agree") / H.SLOTS
-    return n.select("category", "a", "b", "agree", j.alias("jaccard"), H.containment(j, F.col("na"), F.col("nb")).alias("coverage"))
+    weight = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca") * F.col("cb")).cast("long")
+    return n.select("category", "a", "b", "agree", j.alias("jaccard"), H.containment(j, F.col("na"), F.col("nb")).alias("coverage"), weight.alias("n_pairs"))
+
+
+def nearest(pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The `k` nearest other classes of each class (thresholds don't count): doc_id, place, other, score."""
+    both = pairs.where("a <> b").select(F.greatest("coverage", "jaccard").alias("score"), F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("p"))
+    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other")
+    return both.select("p.*", "score").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def thresholds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per category: n_pairs, median and MAD of coverage over all pairs, and the threshold max(.22, median + max(3 MAD, .08)).
 
-    pairs holds only the pairs above zero; sizes (category, n) tells how many there are in all. Zeros are never made:
+    pairs (n_pairs: how many pairs of documents a row stands for) holds only those above zero; sizes (category, n
+    documents) tells how many there are in all. Zeros are never made:
     ranks are shifted by their number. For the MAD, each zero stands for one deviation of the size of the median.
     """
     total = sizes.select("category", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"))
-    some = pairs.groupBy("category").agg(F.count(F.lit(1)).alias("nz"))
+    some = pairs.groupBy("category").agg(F.sum("n_pairs").alias("nz"))
     t = total.join(some, "category", "left").fillna(0, ["nz"]).withColumn("zeros", F.col("n_pairs") - F.col("nz"))
 
     def middle(values: DataFrame, zero_at: Column | None) -> DataFrame:
@@ -83,7 +102,7 @@ def thresholds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         return at.groupBy("category").agg(((pick("lo") + pick("hi")) / 2).alias("m"))
 
     zeros = t.select("category", F.lit(0.0).alias("v"), F.col("zeros").alias("w")).where("w > 0")
-    values = pairs.select("category", F.col("coverage").alias("v"), F.lit(1).cast("long").alias("w")).unionByName(zeros)
+    values = pairs.select("category", F.col("coverage").alias("v"), F.col("n_pairs").alias("w")).unionByName(zeros)
     med = middle(values, None).withColumnRenamed("m", "median")
     gaps = values.join(med, "category").select("category", F.abs(F.col("v") - F.col("median")).alias("v"), "w")
     mad = middle(gaps, None).withColumnRenamed("m", "mad")
@@ -104,17 +123,20 @@ def sentence_matches(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def image_matches(images: DataFrame) -> DataFrame:
-    """Pairs a < b of hashes (image_id, hash) within 6 of 64 bits: a, b, distance. Hashes that say nothing are left out.
+    """Pairs of hashes (image_id, hash) within 6 of 64 bits: a, b, distance. Hashes that say nothing are left out.
 
-    Equal hashes form a class first. Seven bands leave no pair out: six changed bits can't touch all of them.
+    Equal hashes form a class, named by its smallest image: each other member is linked to it at distance 0, and classes
+    a < b meet each other. Seven bands leave no pair out: six changed bits can't touch all of them.
     """
-    c = images.where(H.informative(F.col("hash"))).groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies"))
+    good = images.where(H.informative(F.col("hash")))
+    c = good.groupBy("hash").agg(F.min("image_id").alias("image_id"))
+    copies = good.join(c.select("hash", F.col("image_id").alias("a")), "hash").where("image_id <> a").select("a", F.col("image_id").alias("b"), F.lit(0).alias("distance"))
     band = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", at).bitwiseAND(F.lit((1 << n) - 1)).alias("bits")) for i, (at, n) in enumerate(BANDS)]
     e = c.select("image_id", "hash", F.explode(F.array(*band)).alias("k")).select("image_id", "hash", "k.band", "k.bits")
     x = e.select(F.col("image_id").alias("a"), F.col("hash").alias("ha"), "band", "bits")
     y = e.select(F.col("image_id").alias("b"), F.col("hash").alias("hb"), "band", "bits")
     near = (F.col("a") < F.col("b")) & (H.hamming(F.col("ha"), F.col("hb")) <= IMAGE_BITS)
-    return x.join(y, ["band", "bits"]).where(near).select("a", "b", H.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct()
+    return x.join(y, ["band", "bits"]).where(near).select("a", "b", H.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct().unionByName(copies)
 
 
 def flag(pairs: DataFrame, limits: DataFrame) -> DataFrame:
@@ -138,11 +160,27 @@ def comment(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("remark", remark)
 
 
-def best_titles(titles: DataFrame, index: DataFrame, block: int, least: float = 0.55) -> DataFrame:
-    """For each title the most similar other title of the index (of `least` similarity) with the same first characters."""
-    x = titles.withColumn("_b", F.substring("title", 1, block))
-    y = index.withColumn("_b", F.substring("match", 1, block))
-    s = x.join(y, "_b").where("title <> match").withColumn("similarity", T.similarity(F.col("title"), F.col("match"))).where(F.col("similarity") >= least)
+#: Length from which on titles of .55 similarity share two neighbouring characters: an edit spoils two at most.
+LONG_TITLE = 20
+
+
+def best_titles(titles: DataFrame, index: DataFrame, least: float = 0.55) -> DataFrame:
+    """For each title the most similar other title of the index, of `least` similarity (.55 or more).
+
+    Candidates share two neighbouring characters if one of them is long, one character if both are short, and their
+    lengths allow the similarity: no pair that is similar enough is left out.
+    """
+
+    def grams(df: DataFrame, column: str) -> DataFrame:
+        n = F.length(column)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.substring(column, i, F.lit(2)))
+        ones = F.when(n < LONG_TITLE, F.transform(F.split(column, ""), lambda c: F.concat(F.lit("="), c))).otherwise(F.array().cast("array<string>"))
+        return df.select(column, F.explode(F.array_distinct(F.concat(pairs, ones))).alias("_g"))
+
+    longest = F.greatest(F.length("title"), F.length("match"))
+    fits = (F.col("title") != F.col("match")) & (F.abs(F.length("title") - F.length("match")) <= longest * (1 - least))
+    pairs = grams(titles, "title").join(grams(index, "match"), "_g").where(fits).select("title", "match").distinct()
+    s = pairs.withColumn("similarity", T.similarity(F.col("title"), F.col("match"))).where(F.col("similarity") >= least)
     w = Window.partitionBy("title").orderBy(F.col("similarity").desc(), "match")
     top = s.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     return top.select("title", "match", (F.floor(F.col("similarity") * 1000 + 0.5) / 1000).alias("similarity"))

@@ -160,9 +160,9 @@ def category_tfidf(spark, d):
 @query("category_verdict", f"""WITH {_CATEGORY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS k FROM scores), b AS (
   SELECT doc_id, max(category) FILTER (k = 1) AS best, max(score) FILTER (k = 1) AS s1, max(n_terms) FILTER (k = 1) AS n_terms,
          max(category) FILTER (k = 2) AS second, max(score) FILTER (k = 2) AS s2 FROM k GROUP BY doc_id)
-SELECT d.doc_id, lang AS category, best, second, b.n_terms, CASE WHEN b.n_terms < 3 OR coalesce(s1 < 1.4 * s2, false) THEN 'unclear'
+SELECT d.doc_id, lang AS category, best, second, coalesce(b.n_terms, 0) AS n_terms, CASE WHEN coalesce(b.n_terms, 0) < 3 OR coalesce(s1 < 1.4 * s2, false) THEN 'unclear'
        WHEN best <> lang AND coalesce(s1 >= 2 * s.score, true) THEN 'misfit' ELSE 'fits' END AS verdict
-FROM documents d JOIN b ON b.doc_id = d.doc_id LEFT JOIN scores s ON s.doc_id = d.doc_id AND s.category = d.lang""")
+FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN scores s ON s.doc_id = d.doc_id AND s.category = d.lang""")
 def category_verdict(spark, d):
     declared = table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"))
     return checks.category_verdict(_category_scores(spark, d), declared)
@@ -170,14 +170,20 @@ def category_verdict(spark, d):
 
 @query("sentence_commonness")
 def sentence_commonness(spark, d):
-    """Sentences (comparison keys of five words or more) that two documents or more hold: hash and number of documents.
+    """Sentences (comparison keys of eight words or more) that two documents or more hold: hash, number of documents, and
+    the first eight of them.
 
-    One count per document and sentence is pre-aggregated, so that a boilerplate sentence is no hot group.
+    One count per document and sentence is pre-aggregated, so that a boilerplate sentence is no hot group, and the window
+    for the first eight keeps no more than eight rows of a sentence in any task.
     """
+    from pyspark.sql import Window
+
     s = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(T.sentences(F.col("text")), lambda x: T.fold(x)))).alias("s"))
-    s = s.where(F.size(F.split("s", " ")) >= 5)
-    n = s.groupBy(F.md5(F.col("s").cast("binary")).alias("sentence")).agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_document"))
-    return n.where("n_documents >= 2")
+    s = s.where(F.size(F.split("s", " ")) >= 8).select(F.md5(F.col("s").cast("binary")).alias("sentence"), "doc_id").distinct()
+    n = s.groupBy("sentence").agg(F.count(F.lit(1)).alias("n_documents")).where("n_documents >= 2")
+    first = s.withColumn("_k", F.row_number().over(Window.partitionBy("sentence").orderBy("doc_id"))).where("_k <= 8")
+    ids = first.groupBy("sentence").agg(F.array_sort(F.collect_list("doc_id")).alias("first_documents"))
+    return n.join(ids, "sentence").select("sentence", "n_documents", F.array_join(F.col("first_documents").cast("array<string>"), ",").alias("first_documents"))
 
 
 @query("heading_numbers", """SELECT p_partkey, CASE WHEN regexp_matches(h, p) THEN regexp_replace(regexp_extract(h, p, 1), '[.)]+$', '') END AS number,
@@ -192,15 +198,18 @@ def heading_numbers(spark, d):
 
 
 @query("fuzzy_titles", """WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT p_name AS y FROM part),
-s AS (SELECT x, y, 1 - levenshtein(x, y) / greatest(length(x), length(y)) AS s FROM a, b WHERE x <> y AND left(x, 2) = left(y, 2))
+s AS (SELECT x, y, 1 - levenshtein(x, y) / greatest(length(x), length(y)) AS s FROM a, b WHERE x <> y)
 SELECT x AS title, y AS match, floor(s * 1000 + 0.5) / 1000 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM s WHERE s >= 0.55) WHERE k = 1""")
 def fuzzy_titles(spark, d):
     from paperloom.operators.similarity import best_titles
 
     names = table(spark, d, "part").select(F.col("p_name").alias("title")).distinct()
-    return best_titles(names, names.withColumnRenamed("title", "match"), 2)
+    return best_titles(names, names.withColumnRenamed("title", "match"))
 
 
-@query("pseudonyms", None)
+@query("pseudonyms", """WITH c AS (SELECT s_suppkey, [ascii(x) FOR x IN string_split(s_name, '')] AS codes FROM supplier),
+h AS (SELECT s_suppkey, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), [CAST(x AS HUGEINT) FOR x IN codes]), lambda a, x:
+  ((CAST(CAST(CASE WHEN xor(a, x) >= 2147483648 THEN xor(a, x) - 4294967296 ELSE xor(a, x) END AS DOUBLE) * 16777619 AS HUGEINT) % 4294967296) + 4294967296) % 4294967296) AS h FROM c)
+SELECT s_suppkey, array_to_string([substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(h // p % 36 AS BIGINT) + 1, 1) FOR p IN [46656, 1296, 36, 1]], '') AS pseudonym FROM h""")
 def pseudonyms(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", hashing.pseudonym(F.col("s_name")).alias("pseudonym"))

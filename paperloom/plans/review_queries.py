@@ -142,11 +142,18 @@ def inbox(spark, d):
 
 
 @query("referee_alias", f"""WITH {ASSIGNMENTS_SQL}, k AS (
-  SELECT report_id, referee_id, row_number() OVER (PARTITION BY report_id ORDER BY assigned, referee_id) - 1 AS k FROM assignments)
-SELECT report_id, referee_id, substr('{review.ALIASES}', CAST(k % {len(review.ALIASES)} + 1 AS BIGINT), 1)
-       || CASE WHEN k >= {len(review.ALIASES)} THEN CAST(k // {len(review.ALIASES)} + 1 AS VARCHAR) ELSE '' END AS alias FROM k""")
+  SELECT report_id, referee_id, row_number() OVER (PARTITION BY report_id ORDER BY assigned, referee_id) - 1 AS k FROM assignments
+), s AS (
+  SELECT l_suppkey AS report_id, l_orderkey AS referee_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY min(l_shipdate), l_orderkey) - 1 AS k
+  FROM lineitem GROUP BY l_suppkey, l_orderkey
+)
+SELECT report_id, referee_id, substr('ABCDEFGHJKLMNOPRSTUVYZ', CAST(k % 22 + 1 AS BIGINT), 1) || CASE WHEN k >= 22 THEN CAST(k // 22 + 1 AS VARCHAR) ELSE '' END AS alias
+FROM (SELECT * FROM k UNION ALL SELECT report_id + 1000000000, referee_id, k FROM s)""")
 def referee_alias(spark, d):
-    return review.referee_alias(assignments(spark, d))
+    """Referees of orders, and (under numbers of their own) orders of suppliers, which are many enough for a second round of letters."""
+    many = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") + 1_000_000_000).alias("report_id"), F.col("l_orderkey").alias("referee_id"))
+    many = many.agg(F.min("l_shipdate").alias("assigned"))
+    return review.referee_alias(assignments(spark, d).select("report_id", "referee_id", "assigned").unionByName(many))
 
 
 @query("board_open", f"""WITH {ASSIGNMENTS_SQL}
@@ -291,16 +298,38 @@ def referee_work_list(spark, d):
     return a.select("report_id", "referee_id", "competition_id", "category", F.coalesce("state", F.lit("new")).alias("work"), F.row_number().over(w).alias("place"))
 
 
-@query("balanced_assignment", f"""WITH {REPORTS_SQL}, t AS (
-  SELECT report_id, row_number() OVER (ORDER BY report_id) - 1 AS ord FROM reports WHERE report_id NOT IN (SELECT l_orderkey FROM lineitem)
+@query("balanced_assignment", f"""WITH RECURSIVE {REPORTS_SQL}, p AS (
+  SELECT DISTINCT l_orderkey AS report_id, l_suppkey AS referee_id FROM lineitem
 ), r AS (
-  SELECT s_suppkey AS referee_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS slot, count(*) OVER () AS n FROM supplier)
-SELECT report_id, referee_id FROM t, (VALUES (0), (1)) j(j), r WHERE slot = (ord * 2 + j) % n""")
+  SELECT n_nationkey AS competition_id, s_suppkey AS referee_id, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS ord,
+         (SELECT count(*) FROM p JOIN reports o USING (report_id) WHERE o.competition_id = n_nationkey AND p.referee_id = s_suppkey) AS load
+  FROM supplier JOIN nation ON s_suppkey % 5 = n_regionkey
+), l AS (
+  SELECT competition_id, list(load ORDER BY ord) AS loads, list(referee_id ORDER BY ord) AS ids FROM r GROUP BY competition_id
+), t AS (
+  SELECT o.competition_id, o.report_id, row_number() OVER (PARTITION BY o.competition_id ORDER BY o.report_id) AS ord,
+         coalesce(list_filter(ids, lambda x: list_contains(coalesce(h.have, []), x)), []) AS have
+  FROM reports o JOIN l USING (competition_id) LEFT JOIN (SELECT report_id, list(referee_id) AS have FROM p GROUP BY report_id) h USING (report_id)
+  WHERE o.report_id % 5 = 0
+), g AS (
+  SELECT competition_id, CAST(0 AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS report_id, loads, ids, CAST([] AS BIGINT[]) AS picks FROM l
+  UNION ALL
+  SELECT competition_id, ord, report_id, [loads[i] + CASE WHEN list_contains(picks, i) THEN 1 ELSE 0 END FOR i IN range(1, len(ids) + 1)], ids, picks
+  FROM (SELECT g.competition_id, t.ord, t.report_id, g.loads, g.ids,
+               [x.i FOR x IN list_sort([{{'l': g.loads[i], 'i': i}} FOR i IN range(1, len(g.ids) + 1) IF NOT list_contains(t.have, g.ids[i])])[1:2]] AS picks
+        FROM g JOIN t ON t.competition_id = g.competition_id AND t.ord = g.ord + 1)
+)
+SELECT report_id, ids[unnest(CASE WHEN len(picks) = 0 THEN [CAST(NULL AS BIGINT)] ELSE picks END)] AS referee_id FROM g WHERE report_id IS NOT NULL""")
 def balanced_assignment(spark, d):
-    r = reports(spark, d).select("report_id")
-    free = r.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id")), "report_id", "left_anti")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("referee_id"))
-    return review.assign(audit.numbered(free, "report_id"), audit.numbered(s, "referee_id"), 2)
+    """Two more referees of the region for every fifth report; loads are the assignments that they have in the competition."""
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_suppkey").alias("referee_id")).distinct()
+    r = reports(spark, d).select("report_id", "competition_id")
+    load = pairs.join(r, "report_id").groupBy("competition_id", "referee_id").agg(F.count(F.lit(1)).alias("load"))
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    referees = s.join(n, F.col("s_suppkey") % 5 == F.col("n_regionkey")).select(F.col("n_nationkey").alias("competition_id"), F.col("s_suppkey").alias("referee_id"), F.col("s_suppkey").alias("ord"))
+    referees = referees.join(load, ["competition_id", "referee_id"], "left").fillna(0, ["load"])
+    targets = r.where(F.col("report_id") % 5 == 0).withColumn("ord", F.col("report_id"))
+    return review.assign(targets, referees, pairs, 2)
 
 
 @query("stage_calendar", f"""WITH c AS (

@@ -45,19 +45,66 @@ def boilerplate_overlap(spark, d):
     return o.select("item_id", "doc_id", "shared", round_up_half(F.col("containment"), 3).alias("containment"), round_up_half(F.col("jaccard"), 3).alias("jaccard"))
 
 
-@query("signature_pairs")
+def _prints_sql() -> str:
+    """fingerprints() as SQL: FNV-1a of every run of four words, then the least of each permutation."""
+    key = fold_sql(repair_sql("text"))
+    slots = ", ".join(f"({a}, {b})" for a, b in zip(*(x.tolist() for x in H.permutations()), strict=True))
+    return f"""w AS MATERIALIZED (SELECT doc_id, source AS category, string_split({key}, ' ') AS w FROM documents),
+s AS (SELECT doc_id, category, unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) AS s FROM w),
+f AS MATERIALIZED (SELECT DISTINCT doc_id, category, list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), [CAST(ascii(c) AS UBIGINT) FOR c IN string_split(s, '')]),
+  lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM s),
+p(slot, a, b) AS (SELECT row_number() OVER () - 1, CAST(a AS UBIGINT), CAST(b AS UBIGINT) FROM (VALUES {slots}) t(a, b)),
+m AS (SELECT doc_id, category, slot, min(((h * a + b) & 4294967295) >> 1) AS v FROM f, p GROUP BY ALL),
+prints AS MATERIALIZED (SELECT doc_id, category, n_shingles, list(v ORDER BY slot) AS signature
+  FROM m JOIN (SELECT doc_id, count(*) AS n_shingles FROM f GROUP BY doc_id) USING (doc_id) GROUP BY ALL)"""
+
+
+_PAIRS_SQL = f"""{_prints_sql()},
+c AS (SELECT category, signature, min(doc_id) AS doc_id, count(*) AS copies, max(n_shingles) AS n FROM prints GROUP BY category, signature),
+q AS (SELECT category, x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, x.copies AS ca, y.copies AS cb,
+  CAST(list_sum([CASE WHEN x.signature[i] = y.signature[i] THEN 1 ELSE 0 END FOR i IN range(1, 129)]) AS BIGINT) AS agree
+  FROM c x JOIN c y USING (category) WHERE x.doc_id < y.doc_id OR (x.doc_id = y.doc_id AND x.copies > 1)),
+pairs AS MATERIALIZED (SELECT category, a, b, agree, agree / 128 AS jaccard, least(1.0, agree / 128 * (na + nb) / (1 + agree / 128) / least(na, nb)) AS coverage,
+  CAST(CASE WHEN a = b THEN ca * (ca - 1) / 2 ELSE ca * cb END AS BIGINT) AS n_pairs FROM q WHERE agree > 0)"""
+_LIMITS_SQL = """every AS (SELECT category, count(*) * (count(*) - 1) // 2 AS n FROM prints GROUP BY category),
+v AS (SELECT category, unnest(list_concat(flatten(list([coverage FOR i IN range(n_pairs)])), [0.0 FOR i IN range(CAST(any_value(e.n) - sum(n_pairs) AS BIGINT))])) AS v
+  FROM pairs JOIN every e USING (category) GROUP BY category),
+med AS (SELECT category, median(v) AS m FROM v GROUP BY category),
+limits AS (SELECT category, greatest(0.22, m + greatest(3 * median(abs(v - m)), 0.08)) AS threshold FROM v JOIN med USING (category) GROUP BY category, m)"""
+
+
+@query("signature_pairs", f"WITH {_PAIRS_SQL} SELECT category, a, b, agree, floor(coverage * 1000 + 0.5) / 1000 AS coverage, n_pairs FROM pairs WHERE agree >= 16")
 def signature_pairs(spark, d):
-    return S.signature_pairs(S.fingerprints(_docs(spark, d)), 16)
+    p = S.signature_pairs(S.fingerprints(_docs(spark, d)), 16)
+    return p.select("category", "a", "b", "agree", round_up_half(F.col("coverage"), 3).alias("coverage"), "n_pairs")
+
+
+@query("similarity_classes", f"""WITH {_prints_sql()}
+SELECT doc_id, category, min(doc_id) OVER (PARTITION BY category, signature) AS class_id, count(*) OVER (PARTITION BY category, signature) AS copies FROM prints""")
+def similarity_classes(spark, d):
+    return S.classes(S.fingerprints(_docs(spark, d)))
+
+
+@query("nearest_reports", f"""WITH {_PAIRS_SQL}, e AS (SELECT a AS doc_id, b AS other, greatest(coverage, jaccard) AS s FROM pairs WHERE a <> b
+  UNION ALL SELECT b, a, greatest(coverage, jaccard) FROM pairs WHERE a <> b)
+SELECT doc_id, other, CAST(place AS INTEGER) AS place, floor(s * 1000 + 0.5) / 1000 AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, other) AS place FROM e) WHERE place <= 5""")
+def nearest_reports(spark, d):
+    n = S.nearest(S.signature_pairs(S.fingerprints(_docs(spark, d))))
+    return n.select("doc_id", "other", "place", round_up_half(F.col("score"), 3).alias("score"))
 
 
-@query("flagged_pairs")
+@query("flagged_pairs", f"""WITH {_PAIRS_SQL}, {_LIMITS_SQL}
+SELECT category, a, b, floor(coverage * 1000 + 0.5) / 1000 AS coverage, n_pairs, floor(threshold * 1000 + 0.5) / 1000 AS threshold,
+       CASE WHEN coverage >= 0.55 THEN 'text' ELSE 'little' END AS remark FROM pairs JOIN limits USING (category) WHERE coverage >= threshold""")
 def flagged_pairs(spark, d):
-    """Pairs over the threshold of their category; thresholds come from all pairs of the category, zeros included."""
-    prints = S.fingerprints(_docs(spark, d)).dropDuplicates(["category", "signature"])
+    """Classes over the threshold of their category, largest first; thresholds come from all pairs of documents, zeros included."""
+    prints = S.fingerprints(_docs(spark, d))
     pairs = S.signature_pairs(prints)
     limits = S.thresholds(pairs, prints.groupBy("category").agg(F.count(F.lit(1)).alias("n")))
     plain = pairs.withColumn("n_images", F.lit(0)).withColumn("n_sentences", F.lit(0)).withColumn("same_team", F.lit(False))
-    return S.comment(S.flag(plain, limits)).select("category", "a", "b", "jaccard", "coverage", "threshold", "remark")
+    out = S.comment(S.flag(plain, limits)).orderBy(F.greatest("coverage", "jaccard").desc(), "a", "b")
+    return out.select("category", "a", "b", round_up_half(F.col("coverage"), 3).alias("coverage"), "n_pairs", round_up_half(F.col("threshold"), 3).alias("threshold"), "remark")
 
 
 def _images(spark, d):
@@ -75,11 +122,16 @@ def image_hash(spark, d):
     return _images(spark, d).withColumn("ones", F.bit_count("hash"))
 
 
-@query("hamming_pairs", f"""WITH {_HASH_SQL}, c AS (SELECT hash, min(image_id) AS image_id FROM h WHERE bit_count(hash) BETWEEN 16 AND 48 GROUP BY hash)
+@query("hamming_pairs", f"""WITH {_HASH_SQL}, v AS (SELECT image_id * 10 + v AS image_id, xor(hash, m) AS hash FROM h, (VALUES (0, 0), (1, 0), (2, 3), (3, 4095)) x(v, m)),
+g AS (SELECT * FROM v WHERE bit_count(hash) BETWEEN 16 AND 48), c AS (SELECT hash, min(image_id) AS image_id FROM g GROUP BY hash)
 SELECT x.image_id AS a, y.image_id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM c x JOIN c y ON x.image_id < y.image_id
-WHERE bit_count(xor(x.hash, y.hash)) <= 6""")
+WHERE bit_count(xor(x.hash, y.hash)) <= 6
+UNION ALL SELECT c.image_id, g.image_id, 0 FROM g JOIN c USING (hash) WHERE g.image_id <> c.image_id""")
 def hamming_pairs(spark, d):
-    return S.image_matches(_images(spark, d))
+    """Four versions of every image: as it is, an equal copy, two bits changed, twelve bits changed."""
+    versions = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(m).cast("long").alias("m")) for v, m in ((0, 0), (1, 0), (2, 3), (3, 4095))])).alias("x")
+    images = _images(spark, d).select("image_id", "hash", versions)
+    return S.image_matches(images.select((F.col("image_id") * 10 + F.col("x.v")).alias("image_id"), F.col("hash").bitwiseXOR(F.col("x.m")).alias("hash")))
 
 
 @query("asof_price", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, m.mark AS last_event FROM
