@@ -50,6 +50,17 @@ ABBREVIATIONS = "dr doç prof öğr gör arş yrd av sn vb vs bkz şek tab no nu
 PLACEHOLDERS = [
     r"\[\s*[^\]]{2,40}\s*\]", r"<[^>]{2,40}>", r"\bXX+\b", r"\.{4,}", r"(?i)\blorem ipsum\b", "(?i)\\bör(?:nek)?\\s*:",
 ]
+# Titles of persons, without their stops.
+TITLES = "prof doç dr öğr gör arş müh uzm av op".split()
+# Patterns of sources that no academic index holds, and of local venues that few hold.
+UNINDEXED = (
+    r"(?iu)wikipedia|github\.com|kaggle|medium\.com|stackoverflow|\bblog\b|documentation|dokümantasyon|docs\b|tutorial|roboflow|ultralytics"
+    r"|pytorch\.org|tensorflow\.org|opencv\.org|teknofest|\bveri seti\b|\bdataset\b|şartname|kılavuz|\bTÜİK\b|\bTUIK\b|bakanlığı|genel müdürlüğü"
+)
+LOCAL_VENUE = (
+    r"(?iu)dergipark|tr\s*dizin|ulakbim|üniversitesi|university|institute of technology|enstitüsü|sempozyum|kurultay|kongresi"
+    r"|teknik rapor|technical report|tech\.?\s*rep"
+)
 CAPITAL, SMALL = "A-ZÇĞİÖŞÜ", "a-zçğıöşü"
 
 
@@ -198,6 +209,51 @@ def reference_entry(line: Column) -> Column:
     )
 
 
+def source_fields(line: Column) -> Column:
+    """Struct of a bibliography entry: title, author (first surname or organisation), doi, unindexed, local_venue.
+
+    The title is what stands in quotation marks, else the longest part between commas of four words or more.
+    """
+    quoted = F.regexp_extract(line, "[«\"“]([^»\"”]{10,300})[»\"”]", 1)
+    parts = F.filter(F.transform(F.split(line, r",\s*"), lambda p: F.trim(p)), lambda p: (F.size(F.split(p, r"\s+")) >= 4) & ~p.rlike(r"^\(?\d{4}\)?$") & ~p.rlike(r"^pp?\.\s"))
+    # Of parts of one length the first counts.
+    ranked = F.array_sort(F.transform(parts, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))))
+    longest = F.trim(F.regexp_replace(F.get(ranked, F.lit(0))["p"], "[.;]$", ""))
+    title = F.when(quoted != "", F.trim(F.regexp_replace(quoted, r"[,.;]\s*$", ""))).otherwise(longest)
+    head = F.element_at(F.split(line, "[«\"“]"), 1)
+    found = [
+        F.regexp_extract(head, rf"(?:[{CAPITAL}]\.\s*){{1,3}}([{CAPITAL}][{SMALL}]{{2,}})", 1), F.regexp_extract(head, rf"^([{CAPITAL}][{SMALL}]{{2,}}),\s*[{CAPITAL}]\.", 1),
+        F.regexp_extract(head, rf"^([{CAPITAL}][\w{CAPITAL}{SMALL}]+(?:\s+[{CAPITAL}][\w{CAPITAL}{SMALL}]+)?)", 1),
+    ]
+    doi = F.regexp_replace(F.regexp_extract(line, r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1), "[.,;]$", "")
+    return F.struct(
+        title.alias("title"),
+        F.coalesce(*[F.nullif(x, F.lit("")) for x in found]).alias("author"),
+        F.nullif(doi, F.lit("")).alias("doi"),
+        line.rlike(UNINDEXED).alias("unindexed"),
+        line.rlike(LOCAL_VENUE).alias("local_venue"),
+    )
+
+
+def source_flags(line: Column, year: Column, doi: Column, link: Column, bare_link: Column, this_year: int) -> Column:
+    """Codes of what can be said of an entry without looking it up."""
+    encyclopaedia = line.rlike("(?i)wikipedia")
+    rules = [
+        (year > this_year, "FUTURE_YEAR"), (encyclopaedia & (year >= this_year), "DATED_ENCYCLOPAEDIA"), (encyclopaedia & ~line.rlike("(?iu)erişim|accessed"), "NO_ACCESS_DATE"),
+        (bare_link, "BARE_LINK"), (year.isNull() & ~doi & ~link, "NO_IDENTIFIER"),
+    ]
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in rules]))
+
+
+def short_name(name: Column, length: int = 14) -> Column:
+    """The last word of a name without titles and what stands in parentheses; what is left without parentheses, or the name itself, if there is none; cut to
+    `length` with an ellipsis."""
+    bare = F.trim(F.regexp_replace(name, r"\s*\([^)]*\)", ""))
+    words = F.filter(F.split(bare, r"\s+"), lambda w: (w != "") & ~lower_tr(F.replace(w, F.lit("."), F.lit(""))).isin(TITLES))
+    one = F.coalesce(F.get(words, F.size(words) - 1), F.when(F.length(bare) > 0, bare).otherwise(F.trim(name)))
+    return F.when(F.length(one) > length, F.concat(F.substring(one, 1, length - 1), F.lit("…"))).otherwise(one)
+
+
 def excerpt(text: Column, length: int) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(flat) > length, F.concat(F.rtrim(F.substring(flat, 1, length)), F.lit("…"))).otherwise(flat)

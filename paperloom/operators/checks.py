@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +155,28 @@ def worst(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return findings.groupBy(key).agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("status"), F.count(F.lit(1)).alias("n_findings"))
 
 
+def overall(docs: DataFrame, *findings: DataFrame) -> DataFrame:
+    """Per document of `docs` (doc_id): the worst severity of all checks' findings, clean without any, and their number."""
+    every = reduce(DataFrame.unionByName, (f.select("doc_id", "severity") for f in findings))
+    return docs.join(worst(every), "doc_id", "left").fillna({"status": "clean", "n_findings": 0})
+
+
+def bibliography_patterns(entries: DataFrame, this_year: int) -> DataFrame:
+    """Per document: n entries, no_doi (four academic ones or more, none with a DOI), all_recent (five dated or more, all of
+    the last three years), many_lost (two or more, and .4 of the academic ones, not found where they should be).
+
+    entries: doc_id, doi, year, academic, lost. Under three entries nothing is said.
+    """
+    n, academic = F.count(F.lit(1)), F.count_if("academic")
+    some, lost, dated = n >= 3, F.count_if("lost"), F.count("year")
+    return entries.groupBy("doc_id").agg(
+        n.alias("n"),
+        (some & ~F.bool_or("doi") & (academic >= 4)).alias("no_doi"),
+        (some & (dated >= 5) & F.coalesce(F.min("year") >= this_year - 3, F.lit(False))).alias("all_recent"),
+        (some & (lost >= 2) & (lost / F.greatest(academic, F.lit(1)) >= 0.4)).alias("many_lost"),
+    )
+
+
 def histogram(findings: DataFrame) -> DataFrame:
     return findings.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -100,17 +100,32 @@ def latest_versions(spark, d):
     return C.latest_version(table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
-@query("pasted_list", """WITH l AS (SELECT c_custkey AS row, c_name AS team, c_mktsegment AS project FROM customer)
-SELECT row, 'TF-' || row AS application_no, team, 'T' || row AS team_id, CASE WHEN row % 3 = 0 THEN NULL ELSE project || ' arm' END AS project,
-       CASE WHEN row % 2 = 0 THEN 'a@b.org' END AS email FROM l""")
+_LIST_SQL = """l AS (SELECT c_custkey AS k, c_custkey + 1 AS row, c_name AS n, c_mktsegment AS seg, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS z FROM customer)"""
+
+
+def _pasted(spark, d):
+    """A header, then lines with tabs, with semicolons and no number, with commas and quotes, of a number alone, without a team."""
+    k, z = F.col("c_custkey"), F.lpad(F.col("c_custkey").cast("string"), 5, "0")
+    text = (
+        F.when(k == 0, "Basvuru no;Takim adi")
+        .when(k % 5 == 0, F.concat(F.lit("TF-2026-"), z, F.lit("\t"), "c_name", F.lit("\tT"), k.cast("string"), F.lit("\t"), "c_mktsegment", F.lit(" arm\ta@b.org")))
+        .when(k % 5 == 1, F.concat(F.lit("  "), "c_name", F.lit(";"), "c_mktsegment", F.lit(" arm;x@y.org")))
+        .when(k % 5 == 2, F.concat(F.lit("2026-"), z, F.lit(',"'), "c_name", F.lit('"')))
+        .when(k % 5 == 3, F.concat(F.lit("TF-"), z))
+        .otherwise(F.concat(z, F.lit(";;"), "c_mktsegment"))
+    )
+    return parse_list(table(spark, d, "customer").select((k + 1).alias("row"), text.alias("text")))
+
+
+@query("pasted_list", f"""WITH {_LIST_SQL} SELECT row, CASE k % 5 WHEN 0 THEN 'TF-2026-' || z WHEN 2 THEN '2026-' || z END AS application_no, n AS team,
+CASE WHEN k % 5 = 0 THEN 'T' || k END AS team_id, CASE WHEN k % 5 < 2 THEN seg || ' arm' END AS project, CASE k % 5 WHEN 0 THEN 'a@b.org' WHEN 1 THEN 'x@y.org' END AS email FROM l WHERE k > 0 AND k % 5 < 3""")
 def pasted_list(spark, d):
-    c = table(spark, d, "customer")
-    line = F.concat(
-        F.lit("TF-"), "c_custkey", F.lit("\t"), "c_name", F.lit("\tT"), "c_custkey",
-        F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("\t"), "c_mktsegment", F.lit(" arm"))), F.when(F.col("c_custkey") % 2 == 0, "\ta@b.org").otherwise(""),
-    )
-    good, _ = parse_list(c.select(F.col("c_custkey").alias("row"), line.alias("text")))
-    return good
+    return _pasted(spark, d)[0]
+
+
+@query("pasted_rejects", f"""WITH {_LIST_SQL} SELECT row, CASE k % 5 WHEN 3 THEN 'TF-' || z ELSE z || ';;' || seg END AS text, CASE k % 5 WHEN 3 THEN 'no team' ELSE 'unreadable team' END AS reason FROM l WHERE k % 5 >= 3""")
+def pasted_rejects(spark, d):
+    return _pasted(spark, d)[1]
 
 
 @query("label_dates", """SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' → ' || strftime(o_orderdate, '%Y-%m-28') ELSE '' END END AS found

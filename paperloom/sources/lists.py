@@ -5,37 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Words that only a header holds, as comparison keys.
-HEADER = "basvuru no|takim adi|takim|proje|e posta|eposta|application|team|project"
+from paperloom.functions.text import repair
+
+# Words that only a header holds, and what looks like an application number.
+HEADER = "(?i)basvuru|takim|proje|eposta|e-posta|mail"
+NUMBER = r"^[A-Za-z]{0,4}-?\d{2,}[-\d]*$"
 
 
 def parse_list(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and rejects of a pasted list (row from 1, text).
 
-    Cells are parted by tabs, else semicolons, else commas; a leading number of its own is dropped; then come application
-    number and team, a team id (no blank, 16 characters at most), a project, an e-mail address. A header (the first line,
-    with such words and no three digits in a row) and blank lines are passed over; lines of under two cells are rejected.
+    Cells are parted by tabs, else semicolons, else commas, and repaired one by one. A first cell that looks like an
+    application number is one; lists without numbers begin with the team. Then come a team id (no blank, 16 characters at
+    most) and a project; an e-mail address may stand anywhere. A header (the first line, with such words and no three
+    digits in a row) and blank lines are passed over; lines without a team are rejected with the reason.
     """
-    t = F.col("text")
+    t = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
     mark = F.when(F.contains(t, F.lit("\t")), "\t").when(F.contains(t, F.lit(";")), ";").otherwise(",")
-    cells = F.transform(F.split(t, mark), lambda x: F.trim(x))
-    n = lines.where(F.trim(t) != "").withColumn("_c", cells)
-    head = (F.col("row") == 1) & F.lower(t).rlike(HEADER) & ~t.rlike(r"\d{3}")
-    n = n.where(~head)
-    led = F.get("_c", F.lit(0)).rlike(r"^\d{1,3}[.)]?$") & (F.size("_c") > 2)
-    n = n.withColumn("_c", F.when(led, F.slice("_c", 2, 100)).otherwise(F.col("_c")))
-    mail = lambda x: x.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
-    rest = F.filter(F.slice("_c", 3, 100), lambda x: ~mail(x) & (x != ""))
-    n = n.withColumn("_rest", rest)
-    short = ~F.contains(F.get("_rest", F.lit(0)), F.lit(" ")) & (F.length(F.get("_rest", F.lit(0))) <= 16)
-    team_id = F.when(short, F.get("_rest", F.lit(0)))
-    project = F.when(short, F.get("_rest", F.lit(1))).otherwise(F.get("_rest", F.lit(0)))
-    good = F.coalesce((F.size("_c") >= 2) & (F.get("_c", F.lit(0)) != "") & (F.get("_c", F.lit(1)) != ""), F.lit(False))
-    rows = n.where(good).select(
-        "row", F.get("_c", F.lit(0)).alias("application_no"), F.get("_c", F.lit(1)).alias("team"), team_id.alias("team_id"),
-        project.alias("project"), F.get(F.filter("_c", mail), F.lit(0)).alias("email"),
+    head = (F.col("row") == 1) & t.rlike(HEADER) & ~t.rlike(r"\d{3}")
+    n = lines.where((t != "") & ~head).withColumn("_t", t)
+    # A cell has no tab of its own left, so the whole line is repaired at once with its cells on lines of their own.
+    cells = F.transform(F.split(F.col("_t"), mark), lambda x: F.regexp_replace(F.trim(x), r'^"|"$', ""))
+    n = n.withColumn("_c", F.transform(F.split(repair(F.array_join(cells, "\n")), "\n"), lambda x: F.trim(x)))
+    first = F.get("_c", F.lit(0))
+    numbered = first.rlike(NUMBER)
+    n = n.withColumn("_no", F.when(numbered, first)).withColumn("_k", F.when(numbered, F.slice("_c", 2, F.greatest(F.lit(1), F.size("_c")))).otherwise(F.col("_c")))
+    at = lambda i: F.nullif(F.get("_k", F.lit(i)), F.lit(""))
+    n = n.withColumns({"_team": at(0), "_third": at(1), "_fourth": at(2), "_mail": F.get(F.filter("_c", lambda x: F.contains(x, F.lit("@")) & F.contains(x, F.lit("."))), F.lit(0))})
+    short = F.coalesce(~F.contains("_third", F.lit(" ")) & (F.length("_third") <= 16), F.lit(False))
+    project = F.when(short, F.col("_fourth")).otherwise(F.col("_third"))
+    rows = n.where(F.col("_team").isNotNull()).select(
+        "row", F.col("_no").alias("application_no"), F.col("_team").alias("team"), F.when(short, F.col("_third")).alias("team_id"),
+        F.nullif(project, F.coalesce("_mail", F.lit(""))).alias("project"), F.col("_mail").alias("email"),
     )
-    return rows, n.where(~good).select("row", "text", F.lit("too few cells").alias("reason"))
+    reason = F.when(numbered & (F.size("_c") == 1), "no team").otherwise("unreadable team")
+    return rows, n.where(F.col("_team").isNull()).select("row", F.col("_t").alias("text"), reason.alias("reason"))
 
 
 def text_format(content: Column) -> Column:
