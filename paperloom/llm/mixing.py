@@ -113,8 +113,7 @@ def _taken(sized: DataFrame, budget_percent: int, passes: int) -> DataFrame:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    kept = ["_row"] if "_row" in docs.columns else []
-    return docs.select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size"), shuffled(F.col("doc_id"), F.col("text")).alias("place"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled(F.col("doc_id"), F.col("text")).alias("place"))
 
 
 def taken(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = PASSES) -> DataFrame:
@@ -124,8 +123,7 @@ def taken(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, passes: int = P
     documents of their own; an empty table gives an empty result; other columns play no part. What a source takes is
     within about a PIECE of its target.
     """
-    slim = docs.select("doc_id", "source", "text")
-    return _taken(keyed(_sized(slim)), budget_percent, passes).drop("_row")
+    return _taken(keyed(_sized(docs)), budget_percent, passes).drop("_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +133,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document once for every pass that takes words of it, whole.
 
-    Rows are told apart by a number of their own, so rows of a null or repeated doc_id are each taken PASSES times at
-    most. Documents without words are never taken; an empty table gives an empty one.
+    Documents are named by source and place in the shuffle (an MD5 of doc_id and text), so rows of a null or repeated doc_id
+    are told apart, and no copy of the texts is written. Rows that are equal in these share what is taken of them: each
+    comes equally often, but for a remainder that one of them gives. Documents without words are never taken; an empty
+    table gives an empty one; other columns pass through.
     """
-    rows = keyed(docs)
-    t = _taken(materialize(_sized(rows), "mixing"), BUDGET_PERCENT, PASSES).where(F.col("taken") > 0)
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    t = t.select(F.col("_row").alias("_id"), F.explode(F.array_repeat(F.lit(0), times)).alias("_n"))
-    return rows.join(t, F.col("_row") == F.col("_id")).drop("_row", "_id", "_n")
+    place = shuffled(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumns({"_place": place, "_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
+    sized = keyed(_sized(docs).withColumn("name", F.col("place")))
+    t = _taken(sized, BUDGET_PERCENT, PASSES).withColumn("times", F.ceil(F.col("taken") / F.nullif("size", F.lit(0))))
+    t = t.groupBy(F.col("name").alias("_place"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"))
+    t = t.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("_c"), F.count(F.lit(1)).alias("_m")).where("_c > 0")
+    t = materialize(t.select("_place", "_source", F.floor(F.col("_c") / F.col("_m")).cast("int").alias("_each"), (F.col("_c") % F.col("_m")).cast("int").alias("_more")), "copies")
+    times = lambda df, n: df.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)
+    out = times(rows.join(t, ["_place", "_source"]), "_each")
+    more = t.where("_more > 0")
+    if more.isEmpty():
+        return out
+    # Picked where the rows are before anything travels.
+    one = rows.join(more, ["_place", "_source"]).groupBy("_place", "_source", "_more").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
+    return out.unionByName(times(one.select("_r.*", "_more"), "_more"))
 
 
 SQL = r"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
 from paperloom.llm.components import components
-from paperloom.session import keyed, materialize
+from paperloom.session import materialize
 
 SHINGLE_WORDS, MIN_PERCENT = 5, 85
 #: Bands of 4 minima by the least percentage: sets that similar share no band with probability (1 - (percent / 100)^4)^bands < 1e-10.
@@ -216,12 +216,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates, the document of the smallest doc_id stays (null: last).
 
-    Rows are told apart by a number of their own, so rows of a null or repeated doc_id go only as near copies of another.
+    Documents are named by a 64-bit hash of doc_id and text, so rows of a null or repeated doc_id go only as near copies of
+    another, and no copy of the texts is written. Of rows that are equal in both, one stays. Null and empty texts stay; an
+    empty table gives an empty one; other columns pass through.
     """
-    rows = keyed(docs)
-    near = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), STAGE_PERCENT, STAGE_ESTIMATE)
-    near = near.select(F.col("doc_id").alias("_near"), "component_id")
-    ids = rows.select("_row", "doc_id").join(near, F.col("_row") == F.col("_near"))
-    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_kept")
-    kept = ids.groupBy("component_id").agg(first).select("_kept")
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    near = near_duplicates(rows.select(F.col("_h").alias("doc_id"), "text"), STAGE_PERCENT, STAGE_ESTIMATE)
+    near = near.select(F.col("doc_id").alias("_near"), "component_id").distinct()
+    ids = materialize(rows.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "names")
+    first = F.min_by("_h", F.struct(F.col("doc_id").isNull(), "doc_id", "_h")).alias("_h")
+    kept = ids.join(near, F.col("_h") == F.col("_near")).groupBy("component_id").agg(first).select("_h")
+    kept = materialize(kept, "kept")
+    again = ids.where("n > 1").select("_h").join(kept, "_h", "left_semi")
+    if again.isEmpty():
+        return rows.join(kept, "_h", "left_semi").select(*docs.columns)
+    # Equal rows, one for each name, are picked where they are before anything travels.
+    one = rows.join(again, "_h", "left_semi").groupBy("_h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
+    single = rows.join(kept, "_h", "left_semi").join(again, "_h", "left_anti").select(*docs.columns)
+    return single.unionByName(one.select("_r.*"))

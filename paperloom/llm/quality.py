@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import SPACES, WORD_CHAR, let, words
-from paperloom.session import keyed, materialize
+from paperloom.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -115,12 +115,13 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", extra: tupl
     both the hosts' rates and the documents' verdicts need them. The join on the host carries no texts, and a hot host
     only makes one side of it large, which adaptive execution splits.
     """
-    slim = docs.select(*[F.col(c) for c in extra], F.col(host).alias("_host"), F.col(text).alias("_text"))
+    # The extra columns keep out of the way of the measures' names.
+    slim = docs.select(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)], F.col(host).alias("_host"), F.col(text).alias("_text"))
     m = measures(slim, "_text")
     m = materialize(m.withColumn("base_failed", RULES["few_words"]() | RULES["repeats"]()), "quality")
     rates = host_rates(m, "_host").select(F.col("_host").alias("_h"), F.col("rejected").alias("host_rejected"))
     return m.join(rates, F.col("_host").eqNullSafe(F.col("_h")), "left").select(
-        *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected",
+        *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected",
         (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
     )
 
@@ -132,11 +133,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents that the rules keep, each row by its own verdict, whatever its doc_id.
 
-    Rows of null or empty text go; an empty table gives an empty one; other columns pass through.
+    A verdict follows from text and source, so rows are named by 128 bits of hashes of these: no copy of the texts is
+    written, and rows of one name share their fate. Rows of null or empty text go; an empty table gives an empty one;
+    other columns pass through.
     """
-    rows = keyed(docs)
-    bad = judge(rows, extra=("_row",)).where(~F.col("kept")).select(F.col("_row").alias("_bad"))
-    return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
+    names = {"_h": F.xxhash64("source", "text"), "_g": F.xxhash64("text", F.lit(1), "source")}
+    rows = docs.withColumns(names)
+    bad = judge(rows, extra=("_h", "_g")).where(~F.col("kept")).select("_h", "_g").distinct()
+    return rows.join(bad, ["_h", "_g"], "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -49,3 +49,25 @@ def test_stages_tell_rows_apart(spark):
     assert sorted((str(r.doc_id), r.text) for r in one.collect()) == want
     taken = mixing.taken(one).collect()
     assert mixing.stage(spark, one, "").count() == sum(-(-r.taken // r["size"]) for r in taken if r.taken)
+
+
+def test_stages_of_odd_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(1, long, "en", None, 9, "a"), (1, long, "en", None, 9, "b"), (None, None, None, None, None, None), (None, "", "en", "s", 0, "x"), (2, "too few", "en", "s", 7, "y")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, "").count() == 0 and stage(spark, none, "").columns == docs.columns
+        out = stage(spark, docs, "").collect()
+        assert {r.text for r in out} <= {r[1] for r in rows} and out[0].asDict().keys() == set(docs.columns)
+    assert corpus_pipeline.STAGES[-1][1](spark, none, "").count() == 0
+    assert [r.text for r in quality.stage(spark, docs, "").collect()] == [long] * 2
+    assert sorted(str(r.text)[:3] for r in near_dup.stage(spark, docs, "").collect()) == ["", "None"[:3], "too", "v0 "]
+
+
+def test_mixing_of_equal_rows(spark):
+    rows = [(7, "a b c d", "en", "s", 1, str(i)) for i in range(3)] + [(8, "e f g h i", "en", "t", 1, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    times = sum(-(-r.taken // r["size"]) for r in mixing.taken(docs).collect() if r.doc_id == 7)
+    out = [r for r in mixing.stage(spark, docs, "").collect() if r.doc_id == 7]
+    assert len(out) == times and max(sum(r.kept == str(i) for r in out) for i in range(3)) <= times
