@@ -44,6 +44,18 @@ def keyed(df: DataFrame) -> DataFrame:
     return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+#: Intermediate tables that this process has written and not removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, keep: str | None = None) -> None:
+    """Remove the intermediate tables written so far, but `keep`; for when what was built from them is itself written."""
+    for path in [p for p in _WRITTEN if p != keep]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _WRITTEN.remove(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back, so that its lineage ends there.
 
@@ -51,4 +63,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
