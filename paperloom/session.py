@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,10 @@ def keyed(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession, keep: str | None = None) -> None:
-    """Remove the intermediate tables written so far, but `keep`; for when what was built from them is itself written."""
-    for path in [p for p in _WRITTEN if p != keep]:
+def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Remove the intermediate tables written so far, but those that hold a file of `keep`; for when what was built from
+    them is itself written."""
+    for path in [p for p in _WRITTEN if not any(p.rsplit("/", 1)[1] in file for file in keep)]:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         _WRITTEN.remove(path)
