@@ -13,6 +13,7 @@ HEADLINE = [
     "final_score", "flow_summary", "referee_load", "dashboard", "counts_two_levels", "latest_per_group", "awaiting_reply", "referee_alias",
     "score_sheet", "having_audit", "referee_work_list", "doc_key", "token_stats", "language_id", "term_profile", "category_verdict",
     "sentence_commonness", "boilerplate_overlap", "hamming_pairs", "html_links", "event_sessions",
+    "balanced_assignment", "evaluation_gate", "reports_by_number", "document_status", "similarity_classes",
 ]
 
 
