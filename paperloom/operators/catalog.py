@@ -18,6 +18,12 @@ LEVELS = [
 ]
 # What a document is, by its label and file name.
 ATTACHMENT, INSTRUCTION = r"attachment|\bek[\s-]?\d|checklist|kontrol listesi", "yonerge|video|sunum|poster|afis"
+#: Words that name a document, not a category, and what names all categories.
+DOCUMENT_WORDS = (
+    "yarışması yarismasi yarısması yarışmaları yarislari yarışları TEKNOFEST şablonu sablonu şablon raporu rapor"
+    " şartnamesi sartnamesi şartname sartname formu kitapçığı kitapcigi bölüm bolum"
+).split()
+ALL_CATEGORIES = "tum kategori"
 NO_TEMPLATE = r"\b(form|formu|dilekce|taahhut|muvafakat|tutanak|tutanagi|kilavuz|yonerge|talimat)\b"
 
 
@@ -45,6 +51,17 @@ def document_type(key: Column, extension: Column) -> Column:
     )
 
 
+def category_name(label: Column) -> Column:
+    """The category that a document's label names: what stands before "kategori" and behind the last word for a document
+    or year, without leading marks and ordinal. Null without that word, for all categories, and without a letter."""
+    flat = T.repair(label)
+    before = F.substring(flat, F.lit(1), F.locate("kategori", F.lower(F.translate(flat, *T.FOLDED))) - 1)
+    name = F.regexp_replace(before, r"(?isu)^.*(?:" + "|".join(DOCUMENT_WORDS) + r"|\d{4})", "")
+    name = F.regexp_replace(F.regexp_replace(name, r"^[\s\-–—/,:.]+", ""), r"^\d+[\s\-–—.)]+", "")
+    name = F.substring(F.trim(F.regexp_replace(name, r"\s+", " ")), 1, 90)
+    return F.when(~F.contains(T.fold(flat), F.lit(ALL_CATEGORIES)) & (F.length(name) >= 2) & name.rlike(r"\p{L}"), name)
+
+
 def title(html: Column, slug: Column, plain: bool = False) -> Column:
     """First heading, else the page title, of five characters or more; else the slug in words. What follows a bar or long
     dash at the end (the site's name) is cut."""
