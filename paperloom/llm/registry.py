@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import html_text, lm, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
+from paperloom.llm import html_text, importance, lm, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_lm_score": lm.query,
     "op10_url_filter": url_filter.query,
+    "op11_importance": importance.query,
 }
 ORACLES = {
     "op3_quality_rules": quality.SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_mixing": mixing.SQL,
     "op8_warc": warc.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op11_importance": importance.SQL,
 }

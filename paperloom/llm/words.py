@@ -73,9 +73,9 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word."""
-    solid = ~_IS_SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word; `gaps` tells of each of the 256 bytes whether it parts words."""
+    solid = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = solid.copy()
