@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import html_text, importance, lm, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
+from paperloom.llm import html_text, importance, lm, merkle, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_score": lm.query,
     "op10_url_filter": url_filter.query,
     "op11_importance": importance.query,
+    "op12_merkle": merkle.query,
 }
 ORACLES = {
     "op3_quality_rules": quality.SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_warc": warc.SQL,
     "op10_url_filter": url_filter.SQL,
     "op11_importance": importance.SQL,
+    "op12_merkle": merkle.SQL,
 }
