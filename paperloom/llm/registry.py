@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import html_text, importance, lm, merkle, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
+from paperloom.llm import html_text, importance, jaccard, lm, merkle, mixing, near_dup, packing, quality, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": url_filter.query,
     "op11_importance": importance.query,
     "op12_merkle": merkle.query,
+    "op13_jaccard": jaccard.query,
 }
 ORACLES = {
     "op3_quality_rules": quality.SQL,
