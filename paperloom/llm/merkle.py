@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import pyarrow as pa
@@ -125,7 +126,7 @@ def climb(leaves: DataFrame, arity: int = ARITY) -> DataFrame:
         F.lit(None).cast("array<string>").alias("children"), F.lit(False).alias("top"),
     ).sortWithinPartitions("tree", "place")
     found = materialize(nodes.mapInArrow(lambda t: _climb(t, arity), _NODES), "runs")
-    runs, reach = found.where(F.col("children").isNotNull()), ROUND_LEVELS
+    runs, reach = [found.where(F.col("children").isNotNull())], ROUND_LEVELS
     frontier = found.where(F.col("children").isNull())
     while not frontier.isEmpty():
         power = lambda n: F.pow(F.lit(float(arity)), n).cast("long")
@@ -133,9 +134,10 @@ def climb(leaves: DataFrame, arity: int = ARITY) -> DataFrame:
         dealt = frontier.withColumn("_step", power(F.greatest(F.lit(0), reach - F.col("level")))).repartition("tree", ancestor).drop("_step")
         dealt = dealt.sortWithinPartitions("tree", F.col("place") * power(F.col("level")), "level")
         found = materialize(dealt.mapInArrow(lambda t: _climb(t, arity), _NODES), "runs")
-        runs, frontier = runs.unionByName(found.where(F.col("children").isNotNull())), found.where(F.col("children").isNull())
+        runs.append(found.where(F.col("children").isNotNull()))
+        frontier = found.where(F.col("children").isNull())
         reach += ROUND_LEVELS
-    return runs
+    return runs[0] if len(runs) == 1 else materialize(reduce(DataFrame.unionByName, runs), "runs")
 
 
 def descend(runs: DataFrame, bases: DataFrame, arity: int = ARITY) -> DataFrame:
@@ -143,7 +145,8 @@ def descend(runs: DataFrame, bases: DataFrame, arity: int = ARITY) -> DataFrame:
     and the place `at` among them; and the other columns of `bases` (tree, ups above the tree's top, others).
 
     Reverse links are computed, not stored: a run's parent is the run of its place divided by the arity, a level up. Paths
-    are joined from the top down, so only the lowest join is as large as the runs of leaves.
+    are joined from the top down and written level by level, so only the lowest join, which is not, is as large as the runs
+    of leaves.
     """
     most = runs.agg(F.max("level")).first()[0] or 0
     extra = [c for c in bases.columns if c != "tree"]
@@ -151,14 +154,15 @@ def descend(runs: DataFrame, bases: DataFrame, arity: int = ARITY) -> DataFrame:
     for level in range(most, -1, -1):
         here = runs.where(F.col("level") == level).drop("digest")
         now = here.where("top").join(bases, "tree")
-        if above is not None:
+        if above is not None and level:
             up = above.select(F.col("tree").alias("_t"), F.col("place").alias("_p"), F.col("children").alias("_c"), *extra)
             mine = here.where("NOT top").join(up, (F.col("tree") == F.col("_t")) & (F.expr(f"place div {arity}") == F.col("_p")))
             step = F.struct(F.col("_c").alias("children"), (F.col("place") % arity).cast("int").alias("at"))
             now = now.unionByName(mine.withColumn("ups", F.concat(F.array(step), "ups")).drop("_t", "_p", "_c"))
-        above = now
         if level <= 1:
             found.append(now)
+        else:
+            above = materialize(now, "paths")
     # Level 0 holds lone leaves only, which are tops.
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
