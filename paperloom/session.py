@@ -58,6 +58,12 @@ def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
         _WRITTEN.remove(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that `materialize` wrote, once nothing reads it any more."""
+    files = table.inputFiles()
+    release(table.sparkSession, keep=[p for p in _WRITTEN if not any(p.rsplit("/", 1)[1] in f for f in files)])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back, so that its lineage ends there.
 
