@@ -12,17 +12,27 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
 from paperloom.llm.components import components
-from paperloom.session import materialize
+from paperloom.session import discard, materialize
 
 NGRAM_WORDS, MIN_PERCENT = 4, 85
-#: Counters, by hash, of how many sets hold an n-gram. They only give the order of n-grams, rarest first; a wrong count costs time.
-COUNTERS = 1 << 18
+#: Slots, by hash, of the levels of frequent n-grams: these bytes are sent to all tasks, whatever the input. At most an eighth
+#: is taken, so what counts as frequent rises with the input, from MIN_FREQUENT texts on. Levels only give the order of
+#: n-grams, rarest first; a clash of hashes costs time, never a link.
+SLOTS, SLOT_BLOCK, MIN_FREQUENT = 1 << 23, 1 << 13, 4
+#: Documents a part of the n-grams' hashes, in which these are counted, and hashes that a task gathers before it parts them.
+PART_DOCS, GATHERED = 1000, 1 << 21
 #: Size classes of sets in an octave, between which the boundary of small and large sets is chosen.
 PER_OCTAVE = 8
+#: Rows of a pair that a place in a list costs as much as.
+LIST_ROWS = 2
+#: Keys of up to this many members have no pivots.
+SMALL_KEY = 16
 #: Pairs that one node's set meets in one task.
 SHARE = 2000
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, counter int, n long"
+_SIGNED = "doc_id long, n_shingles long, digest binary, part long, grams binary"
+_FREQUENT = "slot long, n long"
+_LEVELS = "block long, levels binary"
 _PREFIX = "doc_id long, digest binary, size long, prefix array<long>"
 _SETS = "node long, shingles binary"
 
@@ -43,21 +53,74 @@ def _digests(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [both[k].tobytes() if first[k + 1] > first[k] else None for k in range(len(both))]
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (W.mix(h) % np.uint64(COUNTERS)).astype(np.int64)
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document; then one for each counter that is not 0."""
-    total, names = np.zeros(COUNTERS, np.int64), [f.split(" ")[0] for f in _SIGNED.split(", ")]
+def _slot(part, h: np.ndarray) -> np.ndarray:
+    """The slot of n-grams by part and low 32 bits of hashes, all that is known of them where they are counted."""
+    return (W.mix((part << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _sign(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and now and then one for each part of the hashes of n-grams, with the hashes seen in it."""
+    names, kept = [f.split(" ")[0] for f in _SIGNED.split(", ")], []
+
+    def parted() -> pa.RecordBatch:
+        h = np.sort(np.concatenate([np.zeros(0, np.uint64), *kept]))
+        part = _part(h, parts)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(h)])
+        some = part[first].astype(np.int64)
+        blobs = [b.tobytes() for b in np.split(h.astype(np.uint32), first[1:])][: len(some)]
+        none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(some), pa.array(blobs, pa.binary())], names=names)
+
     for batch in batches:
         for i, n, h, _, first in _sets(batch.column("text")):
-            total += np.bincount(_counter(h), minlength=COUNTERS)
-            none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+            none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(np.diff(first)), pa.array(_digests(h, first), pa.binary()), *none], names=names)
-    some = np.flatnonzero(total)
-    none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-    yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(total[some])], names=names)
+            kept.append(h)
+            if sum(map(len, kept)) > GATHERED:
+                yield parted()
+                kept.clear()
+    yield parted()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots and counts of the n-grams of one part that lie in MIN_FREQUENT texts or more."""
+    blobs, part = [], 0
+    for batch in batches:
+        part = batch.column("part")[0].as_py()
+        blobs += [np.frombuffer(b.as_buffer(), np.uint32) for b in batch.column("grams")]
+    h, n = np.unique(np.concatenate(blobs), return_counts=True)
+    often = n >= MIN_FREQUENT
+    yield pa.RecordBatch.from_arrays([pa.array(_slot(np.uint64(part), h[often].astype(np.uint64))), pa.array(n[often])], names=["slot", "n"])
+
+
+def _level_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, block = np.zeros(SLOT_BLOCK, np.uint8), 0
+    for batch in batches:
+        slot = batch.column("slot").to_numpy()
+        block = int(slot[0]) // SLOT_BLOCK
+        out[slot % SLOT_BLOCK] = batch.column("level").to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([out.tobytes()], pa.binary())], names=["block", "levels"])
+
+
+def levels(signed: DataFrame) -> np.ndarray:
+    """For each slot, 0 or the binary logarithm of how many texts hold the most frequent n-gram in it, where it is frequent."""
+    parts = signed.where(F.col("part").isNotNull()).select("part", "grams")
+    found = materialize(parts.groupBy("part").applyInArrow(_frequent, _FREQUENT), "frequent")
+    log = F.floor(F.log2("n"))
+    least, room = 64, SLOTS // 8
+    for r in sorted(found.groupBy(log.alias("log")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        least = r["log"] if room >= 0 else least
+    top = found.where(log >= least).groupBy("slot").agg(F.max(log).cast("int").alias("level"))
+    blocks = top.groupBy(F.expr(f"slot div {SLOT_BLOCK}").alias("block")).applyInArrow(_level_block, _LEVELS)
+    out = np.zeros(SLOTS, np.uint8)
+    for r in blocks.collect():
+        out[r["block"] * SLOT_BLOCK :][:SLOT_BLOCK] = np.frombuffer(r["levels"], np.uint8)
+    return out
 
 
 def need(n, percent: int):
@@ -65,11 +128,11 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts: Broadcast, percent: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], level: Broadcast, parts: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The n-grams of each set, rarest first, up to the one that must be its second common one with a similar set."""
     for batch in batches:
         for i, n, h, r, first in _sets(batch.column("text")):
-            order = np.lexsort((h, counts.value[_counter(h)], r))
+            order = np.lexsort((h, level.value[_slot(_part(h, parts), h)], r))
             size = np.diff(first)
             length = np.minimum(size, size - need(size, percent) + 2)
             taken = h[order][np.arange(len(h)) - first[r] < length[r]].view(np.int64)
@@ -103,6 +166,8 @@ def joined(pairs: DataFrame, end: str, values: DataFrame) -> DataFrame:
     """
     hot = pairs.groupBy(F.col(end).alias("_n")).agg(F.expr(f"count(*) div {SHARE} + 1").alias("_k")).where("_k > 1")
     hot = materialize(hot, "hot")
+    if hot.isEmpty():
+        return pairs.join(values, F.col(end) == F.col("node")).drop("node")
     p = pairs.join(hot, F.col(end) == F.col("_n"), "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64("a", "b"), "_k"), F.lit(0))).drop("_n", "_k")
     v = values.join(hot, F.col("node") == F.col("_n"), "left").withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_k", F.lit(1)) - 1)))
     v = v.drop("_n", "_k").withColumnRenamed("node", "_m")
@@ -124,11 +189,12 @@ def possible(x: Column, y: Column, percent: int) -> Column:
 def boundary(postings: DataFrame, percent: int) -> int:
     """The greatest size of a small set: where pairs of prefix n-grams cost no more than reading lists, over all sets.
 
-    `postings`: node, size, at (place in the prefix), n (length of the list). Costs are summed by classes of sizes, of
-    which there are PER_OCTAVE for each doubling, so these few rows may pass through the driver.
+    `postings`: node, size, at (place in the prefix). A pair costs a row; a place in a list costs LIST_ROWS, as lists hold
+    more sets that turn out unlike. Costs are summed by classes of sizes, of which there are PER_OCTAVE for each doubling,
+    so these few rows may pass through the driver.
     """
     last = F.col("at") == F.col("size") - need_column(percent) + 1
-    per = postings.groupBy("node", "size").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(~last, F.col("n"))).alias("scan"))
+    per = postings.groupBy("node", "size").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(~last, F.lit(LIST_ROWS))).alias("scan"))
     kind = F.floor(F.log2("size") * PER_OCTAVE)
     rows = per.groupBy(kind.alias("kind")).agg(F.max("size").alias("most"), F.sum(F.expr("m * (m - 1) div 2")).alias("pairs"), F.sum("scan").alias("scan"))
     found = sorted((r["kind"], r["most"], r["pairs"] or 0, r["scan"] or 0) for r in rows.collect())
@@ -142,21 +208,30 @@ def need_column(percent: int) -> Column:
 
 
 def keys(prefixes: DataFrame, percent: int) -> DataFrame:
-    """key, node: every two sets (node, size, prefix) that can be similar enough share a key.
+    """key, node, size, left: every two sets (node, size, prefix) that can be similar enough share a key that `fits` them.
 
     Similar sets share two n-grams at least within their prefixes (one, if the last place is left out). Small sets give a
     key for each pair of prefix n-grams, large ones read the list of each single n-gram; small ones that are large enough
-    to be similar to a large one enter these lists too. N-grams that lie in one prefix only are left out before.
+    to be similar to a large one enter these lists too. N-grams that lie in one prefix only are left out before. `left` is
+    the most that the set can share with another whose first common n-grams are the key's.
     """
     posted = prefixes.select("node", "size", F.posexplode("prefix").alias("at", "gram"))
     lists = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     postings = materialize(posted.join(lists, "gram"), "postings")
     most = boundary(postings, percent)
     large = postings.where((100 * F.col("size") >= percent * (most + 1)) & (F.col("at") <= F.col("size") - need_column(percent)))
-    small = postings.where(F.col("size") <= most).groupBy("node").agg(F.array_sort(F.collect_list("gram")).alias("g"))
-    both = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.xxhash64(x, y))))
-    small = small.where(F.size("g") > 1).select("node", F.explode(both).alias("key"))
-    return small.select("key", "node").unionByName(large.select(F.col("gram").alias("key"), "node")).distinct()
+    large = large.select(F.col("gram").alias("key"), "node", "size", (F.col("size") - F.col("at")).alias("left"))
+    small = postings.where(F.col("size") <= most).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("gram", "at"))).alias("g"))
+    pair = lambda x, y: F.struct(F.xxhash64(x["gram"], y["gram"]).alias("key"), F.greatest(x["at"], y["at"]).alias("at"))
+    both = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: pair(x, y))))
+    small = small.where(F.size("g") > 1).select("node", "size", F.explode(both).alias("p"))
+    return small.select("p.key", "node", "size", (F.col("size") - F.col("p.at") + 1).alias("left")).unionByName(large)
+
+
+def fits(percent: int) -> Column:
+    """Whether two members of a key, of columns size, left and size_b, left_b, can be similar if it holds their first common n-grams."""
+    sizes = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
+    return sizes & ((100 + percent) * F.least("left", "left_b") >= percent * (F.col("size") + F.col("size_b")))
 
 
 def _labelled(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -173,61 +248,66 @@ def similar(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     repeat a doc_id are one document, so the classes of their sets meet; null doc_ids link with nothing, and have no
     component. An empty table gives an empty result. Sets are compared by 64-bit hashes of their n-grams, classes by 128 bits.
 
-    All that can be linked shares a key (see `keys`). A key's members first meet one pivot only, then, where they still
-    lie in several components, a second one; pairs of what is left in different components come last, so no link between
-    components is lost and pairs of a group of copies do not grow with its square. A pair goes on only where sizes and
-    prefixes allow a link, and counts only once the full sets are compared.
+    All that can be linked shares a key (see `keys`). Each set first meets one pivot of its largest key only; then, in keys
+    of many members that still lie in several components, these meet a second one; pairs of what is left in different
+    components come last, so no link between components is lost and pairs of a group of copies do not grow with its square.
+    A pair goes on only where sizes and prefixes allow a link, and counts only once the full sets are compared.
     """
     if percent <= 50:
         raise ValueError("sets that are half equal or less need share no two n-grams")
     spark = docs.sparkSession
     W.bound_batches(spark)
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInArrow(_sign, _SIGNED), "signed")
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in signed.where(F.col("counter").isNotNull()).groupBy("counter").agg(F.sum("n").alias("n")).collect():
-        counts[r["counter"]] = r["n"]
-    signed = signed.where(F.col("counter").isNull()).select("doc_id", "n_shingles", "digest")
+    parts = docs.count() // PART_DOCS + 1
+    both = materialize(docs.mapInArrow(lambda t: _sign(t, parts), _SIGNED), "grams")
+    sent = spark.sparkContext.broadcast(levels(both))
+    signed = materialize(both.where(F.col("part").isNull()).select("doc_id", "n_shingles", "digest"), "signed")
+    discard(both)
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    sent = spark.sparkContext.broadcast(counts)
-    prefixes = docs.where(F.col("doc_id").isNotNull()).mapInArrow(lambda t: _prefixes(t, sent, percent), _PREFIX)
+    prefixes = docs.where(F.col("doc_id").isNotNull()).mapInArrow(lambda t: _prefixes(t, sent, parts, percent), _PREFIX)
     rep = classes.select(F.col("node").alias("doc_id"), "digest")
     prefixes = materialize(prefixes.where("size > 1").join(rep, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("node"), "size", "prefix"), "prefixes")
     found = keys(prefixes, percent)
     sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(found.join(sizes, "key").select("key", "node", "n"), "members")
-    nodes = materialize(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("meets")), "nodes")
-    sets = docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(_shingle_sets, _SETS)
-    sets = materialize(sets, "sets")
+    members = materialize(found.join(sizes, "key").select("key", "node", "size", "left", "n"), "members")
     sketch = prefixes.select("node", F.struct("size", "prefix").alias("p"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The linked ones of pairs (a, b)."""
+        """The linked ones of pairs (a, b); only texts of pairs that sizes and prefixes allow travel."""
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         pairs = joined(joined(pairs, "b", sketch.withColumnRenamed("p", "q")), "a", sketch)
         pairs = materialize(pairs.where(possible(F.col("p"), F.col("q"), percent)).select("a", "b").distinct(), "possible")
+        if pairs.isEmpty():
+            return pairs
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        sets = docs.join(ends, F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(_shingle_sets, _SETS)
+        sets = materialize(sets, "sets")
         pairs = joined(joined(pairs, "b", sets.withColumnRenamed("shingles", "y")), "a", sets.withColumnRenamed("shingles", "x"))
         return materialize(pairs.mapInArrow(lambda t: _linked(t, percent), "a long, b long").distinct(), "links")
 
-    rank = F.struct("meets", "node")
     # The pivot is the member that meets most others over all keys: the text that the others of a group are copies of.
-    pick = members.join(nodes, "node").groupBy("key").agg(F.max_by("node", rank).alias("a"))
-    links = confirmed(members.join(pick, "key").where("node != a").select("a", F.col("node").alias("b")))
+    many = members.where(F.col("n") > SMALL_KEY)
+    nodes = materialize(members.groupBy("node").agg(F.sum("n").alias("meets")), "nodes")
+    met = many.join(nodes, "node")
+    pick = met.groupBy("key").agg(F.max_by(F.struct("node", "size", "left"), F.struct("meets", "node")).alias("p"))
+    pick = pick.select("key", F.col("p.node").alias("a"), F.col("p.size").alias("size_b"), F.col("p.left").alias("left_b"))
+    largest = many.groupBy("node").agg(F.max_by(F.struct("key", "size", "left"), F.struct("n", "key")).alias("k")).select("node", "k.*")
+    links = confirmed(largest.join(pick, "key").where((F.col("node") != F.col("a")) & fits(percent)).select("a", F.col("node").alias("b")))
     for last in (False, True):
         label = materialize(_labelled(nodes, components(links)), "labels")
-        labelled = members.select("key", "node").join(label, "node")
+        labelled = (members if last else many).drop("n").join(label, "node")
         n = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         main = n.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
         apart = materialize(labelled.join(main.where("labels > 1"), "key"), "apart")
-        x = apart.where("label != main").select("key", F.col("node").alias("a"), F.col("label").alias("la"), "meets")
-        y = apart.select(F.col("key").alias("_k"), F.col("node").alias("b"), F.col("label").alias("lb"), "main")
-        if not last:
-            x = x.groupBy("key").agg(F.max_by(F.struct("a", "la"), F.struct("meets", "a")).alias("p")).select("key", "p.*")
-            pairs = x.join(y, F.col("key") == F.col("_k")).where("la != lb")
-        else:
+        x = apart.where("label != main").select("key", F.col("node").alias("a"), F.col("label").alias("la"), "meets", "size", "left")
+        y = apart.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "main", F.col("size").alias("size_b"), F.col("left").alias("left_b"))
+        if last:
             # Of two nodes outside of the main component, the lesser comes from this side.
-            pairs = x.join(y, F.col("key") == F.col("_k")).where("la != lb AND (lb = main OR a < b)")
+            pairs = x.join(y, "key").where(F.expr("la != lb AND (lb = main OR a < b)") & fits(percent))
+        else:
+            x = x.groupBy("key").agg(F.max_by(F.struct("a", "la", "size", "left"), F.struct("meets", "a")).alias("p")).select("key", "p.*")
+            pairs = x.join(y, "key").where((F.col("la") != F.col("lb")) & fits(percent))
         links = links.unionByName(confirmed(pairs.select("a", "b")))
     named = materialize(usable.join(classes, "digest").select("doc_id", "node").distinct(), "named")
     least = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m")).where("a != m")
