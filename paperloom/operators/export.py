@@ -1,16 +1,23 @@
-"""Semicolon-separated exports with a byte-order mark, one column per criterion."""
+"""Semicolon-separated exports, one column per criterion."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOM = "﻿"
+from paperloom.functions.numbers import round_up_half
+from paperloom.operators.review import final_scores
 
+#: Labels of a category's sheet: fixed values, before and after the columns of its criteria.
+FRONT = ["Başvuru No", "Takım", "Takım ID", "Proje", "Durum", "Sayfa", "Kelime"]
+BACK = [
+    "Nihai Puan", "Azami Puan", "Yapay Zekâ Önerisi", "Fark", "Hakem Puanları", "Hakem Sayısı", "Hakemler Arası Ayrışma", "Hakem Notları",
+    "Otomatik Bulgular", "Kaynak Doğrulama", "Benzerlik", "Tamamlanma",
+]
 
 def cell(x: Column) -> Column:
-    """A cell: line breaks become blanks; quoted only if it holds a quote or a semicolon."""
-    t = F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"[\r\n]+", " ")
+    """A cell: line breaks become blanks, trimmed; quoted only if it holds a quote or a semicolon."""
+    t = F.trim(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"[\r\n]+", " "))
     return F.when(t.rlike('[";]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
 
 
@@ -31,10 +38,48 @@ def score_sheet(scores: DataFrame, means: DataFrame, assignments: DataFrame, cri
     return all_.select("report_id", line([F.col("report_id"), F.col("final"), *[F.col(c) for c in criteria], F.col("names")]).alias("line"))
 
 
-def write_sheet(lines: DataFrame, header: list[str], path: str) -> None:
-    """Lines as text files, each beginning with the mark and the header, as spreadsheet programs expect of each file."""
-    head = BOM + ";".join(header)
-    numbered = lines.select("line", F.spark_partition_id().alias("p"))
-    first = numbered.groupBy("p").agg(F.min("line").alias("m"))
-    marked = numbered.join(first, "p").withColumn("text", F.when(F.col("line") == F.col("m"), F.concat(F.lit(head + "\n"), "line")).otherwise(F.col("line")))
-    marked.repartition("p").sortWithinPartitions("line").select("text").write.text(path)
+def plain(x: Column) -> Column:
+    """A number without the point of whole ones."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def category_sheets(reports: DataFrame, rubric: DataFrame, means: DataFrame, assignments: DataFrame) -> DataFrame:
+    """sheet (the category), head, ord (the report), line: a row for each report, with a column for each criterion of its category.
+
+    reports: report_id, category, number, team, team_code, project, state, pages, words, model_total, findings, sources,
+    similarity, done_on. rubric: category, ord, criterion, name, points. means: report_id, criterion, mean.
+    assignments: report_id, referee, state, total, note. Nulls are empty cells: a criterion that nobody scored is not 0.
+    Only those who have finished are scorers, notes are those of all who have begun; "k/n" tells how many of the assigned they are. Categories without a rubric have
+    no criteria columns; an empty table of reports gives no sheets. A rubric is a few rows; nothing else is gathered by
+    category, so one that holds most reports is no hot group.
+    """
+    criterion = F.struct("ord", "criterion", "name", "points")
+    rubrics = rubric.groupBy("category").agg(F.array_sort(F.collect_list(criterion)).alias("criteria"), F.sum("points").alias("most"))
+    of = means.where("mean IS NOT NULL").groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("criterion", "mean"))).alias("means"))
+    done = F.col("state") == "completed"
+    said = lambda c, who: F.when(who & (F.trim(c.cast("string")) != ""), F.struct("referee", F.concat("referee", F.lit(": "), plain(c)).alias("t")))
+    joined = lambda c, who: F.array_join(F.transform(F.array_sort(F.collect_list(said(c, who))), lambda x: x["t"]), " | ")
+    who = assignments.groupBy("report_id").agg(
+        joined(F.col("total"), done).alias("names"), joined(F.col("note"), F.col("state").isNotNull()).alias("notes"), F.concat(F.count_if(done), F.lit("/"), F.count(F.lit(1))).alias("scorers")
+    )
+    r = reports.join(rubrics, "category", "left").join(of, "report_id", "left").join(who, "report_id", "left").join(final_scores(assignments), "report_id", "left")
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.transform("criteria", lambda c: cell(plain(F.try_element_at("means", c["criterion"])))), none)
+    titles = F.coalesce(F.transform("criteria", lambda c: cell(F.concat(c["name"], F.lit(" ("), plain(c["points"]), F.lit(")")))), none)
+    front = [F.col(c) for c in ("number", "team", "team_code", "project", "state", "pages", "words")]
+    gap = round_up_half(F.col("final") - F.col("model_total"))
+    back = [plain(F.col("final")), plain(F.col("most")), plain(F.col("model_total")), plain(gap), *[F.col(c) for c in ("names", "scorers")], plain(F.col("spread"))]
+    back += [F.col(c) for c in ("notes", "findings", "sources", "similarity", "done_on")]
+    head = F.concat(F.array(*[F.lit(x) for x in FRONT]), titles, F.array(*[F.lit(x) for x in BACK]))
+    cells = F.concat(F.array(*[cell(c) for c in front]), own, F.array(*[cell(c) for c in back]))
+    return r.select(F.col("category").alias("sheet"), F.array_join(head, ";").alias("head"), F.col("report_id").alias("ord"), F.array_join(cells, ";").alias("line"))
+
+
+def titled(sheets: DataFrame) -> DataFrame:
+    """Sheets whose head begins with a line of their name (semicolons as commas) and number of rows, if there are several."""
+    n = sheets.groupBy(F.col("sheet").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    several = n.agg((F.count(F.lit(1)) > 1).alias("_several"))
+    title = F.concat(F.translate(F.coalesce("sheet", F.lit("")), ";", ","), F.lit(" — "), F.col("_n"), F.lit(" rapor\n"), F.col("head"))
+    # `several` is the one row of a global aggregate.
+    all_ = sheets.join(n, F.col("sheet").eqNullSafe(F.col("_s"))).join(F.broadcast(several))
+    return all_.withColumn("head", F.when(F.col("_several"), title).otherwise(F.col("head"))).drop("_s", "_n", "_several")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import audit, review
-from paperloom.operators.export import score_sheet
+from paperloom.operators.export import BACK, FRONT, category_sheets, score_sheet, titled
 from paperloom.sources.tables import ASSIGNMENTS_SQL, MESSAGES_SQL, REPORTS_SQL, assignments, messages, reports, table
 
 TODAY = "2000-01-01"
@@ -237,6 +237,45 @@ def score_sheet_query(spark, d):
     return score_sheet(review.final_scores(a), means, a, ["C1", "C2", "C3"])
 
 
+_HEAD_SQL = [";".join(x) for x in (FRONT, BACK)]
+
+
+@query("category_sheets", f"""WITH {REPORTS_SQL}, {ASSIGNMENTS_SQL}, {_SCORES_SQL}, {_CRITERIA_SQL}, m AS (
+  SELECT report_id, criterion, floor(avg(score) * 10 + 0.5) / 10 AS mean FROM lines GROUP BY report_id, criterion
+), rubric AS (
+  SELECT DISTINCT category, criterion, CAST(substr(criterion, 2) AS INT) AS ord, 10.0e0 * CAST(substr(criterion, 2) AS INT) AS points
+  FROM lines JOIN reports USING (report_id) WHERE CAST(substr(criterion, 2) AS INT) <= CAST(substr(category, 1, 1) AS INT) + 1
+), heads AS (
+  SELECT category, sum(points) AS most, string_agg('Kriter ' || ord || ' (' || regexp_replace(CAST(points AS VARCHAR), '[.]0$', '') || ')', ';' ORDER BY ord) AS titles FROM rubric GROUP BY category
+), own AS (
+  SELECT report_id, string_agg(coalesce(regexp_replace(CAST(mean AS VARCHAR), '[.]0$', ''), ''), ';' ORDER BY ord) AS cells
+  FROM reports JOIN rubric USING (category) LEFT JOIN m USING (report_id, criterion) GROUP BY report_id
+), who AS (
+  SELECT report_id, string_agg('R' || referee_id || ': ' || regexp_replace(CAST(total AS VARCHAR), '[.]0$', ''), ' | ' ORDER BY 'R' || referee_id) FILTER (state = 'completed') AS names,
+         string_agg('R' || referee_id || ': ' || CAST(deadline AS VARCHAR), ' | ' ORDER BY 'R' || referee_id) FILTER (state IS NOT NULL) AS notes,
+         count(*) FILTER (state = 'completed') || '/' || count(*) AS scorers FROM assignments GROUP BY report_id
+), size AS (SELECT category, count(*) AS n FROM reports GROUP BY category)
+SELECT category AS sheet, CASE WHEN (SELECT count(*) FROM size) > 1 THEN category || ' — ' || n || ' rapor' || chr(10) ELSE '' END || '{_HEAD_SQL[0]};' || titles || ';{_HEAD_SQL[1]}' AS head,
+       report_id AS ord, concat_ws(';', 'TF-' || report_id, 'T' || team_id, team_id, 'Project ' || report_id, state, '', '', cells,
+         coalesce(regexp_replace(CAST(final AS VARCHAR), '[.]0$', ''), ''), regexp_replace(CAST(most AS VARCHAR), '[.]0$', ''), regexp_replace(CAST(model_score AS VARCHAR), '[.]0$', ''),
+         coalesce(regexp_replace(CAST(floor((final - model_score) * 10 + 0.5) / 10 AS VARCHAR), '[.]0$', ''), ''), coalesce(names, ''), coalesce(scorers, ''),
+         coalesce(regexp_replace(CAST(spread AS VARCHAR), '[.]0$', ''), ''), coalesce(notes, ''), '', '', '', CAST(CAST(uploaded AS DATE) AS VARCHAR)) AS line
+FROM reports JOIN heads USING (category) JOIN own USING (report_id) JOIN size USING (category) LEFT JOIN who USING (report_id) LEFT JOIN scores USING (report_id)""")
+def category_sheets_query(spark, d):
+    r, a, scores = reports(spark, d), assignments(spark, d), _criteria(spark, d)
+    no = F.substring("criterion", 2, 9).cast("int")
+    rubric = scores.join(r.select("report_id", "category"), "report_id").where(no <= F.substring("category", 1, 1).cast("int") + 1)
+    rubric = rubric.select("category", "criterion", no.alias("ord"), F.concat(F.lit("Kriter "), no).alias("name"), (no * 10.0).alias("points")).distinct()
+    nothing = F.lit(None).cast("string")
+    full = r.select(
+        "report_id", "category", F.concat(F.lit("TF-"), "report_id").alias("number"), F.concat(F.lit("T"), "team_id").alias("team"), F.col("team_id").alias("team_code"),
+        F.concat(F.lit("Project "), "report_id").alias("project"), "state", nothing.alias("pages"), nothing.alias("words"), F.col("model_score").alias("model_total"),
+        nothing.alias("findings"), nothing.alias("sources"), nothing.alias("similarity"), F.to_date("uploaded").alias("done_on"),
+    )
+    given = a.select("report_id", F.concat(F.lit("R"), "referee_id").alias("referee"), "state", "total", F.col("deadline").cast("string").alias("note"))
+    return titled(category_sheets(full, rubric, review.criterion_average(scores), given))
+
+
 @query("orphan_audit", """
 SELECT 'order_without_customer' AS rule, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
 UNION ALL SELECT 'line_without_order', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
