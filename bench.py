@@ -14,6 +14,7 @@ HEADLINE = [
     "score_sheet", "having_audit", "referee_work_list", "doc_key", "token_stats", "language_id", "term_profile", "category_verdict",
     "sentence_commonness", "boilerplate_overlap", "hamming_pairs", "html_links", "event_sessions",
     "balanced_assignment", "evaluation_gate", "reports_by_number", "document_status", "similarity_classes",
+    "document_sections", "category_sheets",
 ]
 
 
