@@ -118,17 +118,24 @@ def headings(of: DataFrame) -> DataFrame:
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line")))
 
 
-def sections(items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """doc_id, section (from 1), number, title, level, page, body, n_words of every heading of the documents that items make.
+def outline(items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The lines of `headings` that items make, with section: how many headings there are up to the line, 0 before the first.
 
-    pages: doc_id, pages; where not given, the last page that has an item. A section's body is the lines up to the next
-    heading; what comes before the first heading is in none. Documents without headings have no sections.
+    pages: doc_id, pages; where not given, the last page that has an item.
     """
     if pages is None:
         pages = items.groupBy("doc_id").agg(F.max("page").alias("pages"))
-    found = headings(furniture(lines(items), pages))
     begun = F.sum(F.col("heading").cast("int")).over(Window.partitionBy("doc_id").orderBy("ord"))
-    found = found.withColumn("section", begun).where("section > 0")
+    return headings(furniture(lines(items), pages)).withColumn("section", begun)
+
+
+def sections(items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """doc_id, section (from 1), number, title, level, page, body, n_words of every heading of the documents that items make.
+
+    pages as in `outline`. A section's body is the lines up to the next heading; what comes before the first heading is in
+    none. Documents without headings have no sections.
+    """
+    found = outline(items, pages).where("section > 0")
     body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("ord", "text"))))
     of = lambda c: F.max(F.when(F.col("heading"), F.col(c))).alias(c)
     out = found.groupBy("doc_id", "section").agg(of("number"), of("title"), of("page"), F.array_join(F.transform(body, lambda x: x["text"]), "\n").alias("body"))

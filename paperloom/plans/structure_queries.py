@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import structure
+from paperloom.operators import originals, structure
 from paperloom.plans.document_queries import _quoted, fold_sql, repair_sql
 from paperloom.sources.tables import table
 
@@ -123,3 +123,54 @@ def document_sections(spark, d):
     s = structure.sections(items(table(spark, d, "documents").where("text IS NOT NULL")))
     long = {c: F.col(c).cast("long") for c in ("section", "level", "page", "n_words")}
     return s.withColumns(long | {"body_md5": F.md5(F.col("body").cast("binary"))}).drop("body")
+
+
+#: Guidance of a template: runs of a line's words, every few words, as a layout may break a passage anywhere.
+STEP = 3
+#: Beginnings of titles that count as a bibliography's; the generated titles hold no such word as "References".
+LISTED = ("References", "is", "et")
+
+
+def guidance(spark, d):
+    w = table(spark, d, "benchmark").where("text IS NOT NULL").select(T.tokens(F.col("text")).alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - WORDS), F.lit(STEP))
+    return w.select("w", F.explode(starts).alias("k")).select(F.array_join(F.slice("w", F.col("k") + 1, WORDS), " ").alias("text"))
+
+
+_OWN_SQL = rf"""{STRUCTURE_SQL}, passages AS (
+  SELECT list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}''’-]+'), lambda w: length(w) > 1) AS w FROM benchmark WHERE text IS NOT NULL
+), guide AS MATERIALIZED (
+  SELECT DISTINCT {fold_sql(repair_sql("run"))} AS g FROM (SELECT array_to_string(w[k + 1:k + {WORDS}], ' ') AS run FROM (SELECT w, unnest(range(0, greatest(0, len(w) - {WORDS}) + 1, {STEP})) AS k FROM passages))
+), line AS MATERIALIZED (
+  SELECT doc_id, ord, text, heading, section, {fold_sql("text")} AS k, max(title) FILTER (heading) OVER (PARTITION BY doc_id, section) AS over FROM begun
+), alike AS MATERIALIZED (
+  SELECT DISTINCT k FROM (SELECT DISTINCT k FROM line), guide
+  WHERE length(k) * 5 <= length(g) * 7 AND length(g) * 5 <= length(k) * 7 AND 1 - levenshtein(k, g) / greatest(length(k), length(g), 1) >= 0.8
+), told AS (
+  SELECT l.*, a.k IS NOT NULL AS guided, section > 0 AND ({" OR ".join(f"starts_with({fold_sql('over')}, '{b.lower()}')" for b in LISTED)}) AS listed
+  FROM line l LEFT JOIN alike a USING (k)
+)"""
+
+
+@query("original_texts", f"""WITH RECURSIVE {_OWN_SQL}, own AS (
+  SELECT doc_id, ord, text, length(text) >= 12 AND NOT guided AS kept, length(text) >= 12 AND NOT guided AND section > 0 AND NOT heading AND NOT coalesce(listed, false) AS own FROM told
+), n AS (
+  SELECT doc_id, count(*) FILTER (own) < 3 AND count(*) FILTER (kept) > count(*) FILTER (own) AS whole FROM own GROUP BY doc_id
+)
+SELECT doc_id, count(*) FILTER (own OR whole AND kept) AS n_pieces, whole, md5(coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER (own OR whole AND kept), '')) AS text_md5
+FROM own JOIN n USING (doc_id) GROUP BY doc_id, whole""")
+def original_texts(spark, d):
+    of = structure.outline(items(table(spark, d, "documents").where("text IS NOT NULL")))
+    own = originals.original_texts(of, guidance(spark, d), LISTED)
+    return own.select("doc_id", F.col("n_pieces").cast("long").alias("n_pieces"), "whole", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("guidance_residue", rf"""WITH RECURSIVE {_OWN_SQL}, words AS (
+  SELECT doc_id, section, guided, CASE WHEN heading THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}''’-]+'), lambda w: length(w) > 1)) END AS n FROM told WHERE section > 0
+), sums AS (
+  SELECT doc_id, section, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(n) FILTER (guided), 0) AS BIGINT) AS guidance_words FROM words GROUP BY doc_id, section
+)
+SELECT doc_id, CAST(section AS BIGINT) AS section, n_words, guidance_words, guidance_words > 0 AND n_words - guidance_words < 20 AS residue FROM sums""")
+def guidance_residue(spark, d):
+    r = originals.residue(structure.outline(items(table(spark, d, "documents").where("text IS NOT NULL"))), guidance(spark, d))
+    return r.withColumns({c: F.col(c).cast("long") for c in ("section", "n_words", "guidance_words")})
