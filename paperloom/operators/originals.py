@@ -16,7 +16,7 @@ EDITS = 5
 #: Shortest line of an original text, and the pieces from which on the sections are trusted.
 MIN_LINE, MIN_PIECES = 12, 3
 #: Trigrams that a pair shares at least before its distance is taken, where its texts are long enough for so many.
-SHARED = 6
+SHARED = 14
 #: Words a section has beside its guidance if it is filled in.
 OWN_WORDS = 20
 BIBLIOGRAPHY = ("Kaynakça", "Kaynaklar", "References")
@@ -64,20 +64,25 @@ def alike(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
     keys: key; dictionary: match; both as `text.fold` leaves them. Empty keys are like empty entries only; nulls are like
     nothing. Pairs meet by rare trigrams at nearly one place and by their length's band; those that share too few are not
     compared, and none that is similar is left out. Where the dictionary is small, Spark broadcasts its index and
-    what is shuffled are counts of pairs.
+    what is shuffled are distinct keys and counts of pairs.
     """
     dictionary = dictionary.select("match").where("match IS NOT NULL").distinct()
     common = _commonness(dictionary)
     # Lengths that differ by a quarter at most are in one band or in neighbouring ones.
     band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / math.log(1.3)).cast("int")
-    x = _index(keys.select("key").where("key IS NOT NULL"), "key", common).withColumn("_band", band("key"))
-    y = _index(dictionary, "match", common).withColumnRenamed("_at", "_to")
+    # Copies of a key are one; the comparisons of few keys are many, so these are dealt to all tasks.
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.select("key").where("key IS NOT NULL").distinct().repartition(tasks, "key")
+    x = _index(keys.withColumn("_n", F.length("key")), "key", common).withColumn("_band", band("key"))
+    y = _index(dictionary.withColumn("_m", F.length("match")), "match", common).withColumnRenamed("_at", "_to")
     y = y.withColumn("_band", F.explode(F.array(*(band("match") + i for i in (-1, 0, 1)))))
-    most = f"(greatest(length(key), length(match)) div {EDITS})"
-    near = (F.abs(F.length("key") - F.length("match")) <= F.expr(most)) & (F.abs(F.col("_at") - F.col("_to")) <= F.expr(most))
-    met = x.join(y, ["_code", "_band"]).where(near).groupBy("key", "match").agg(F.count(F.lit(1)).alias("n"))
-    need = F.least(F.lit(SHARED), 2 + F.ceil(F.least(F.length("key"), F.length("match")) * 2 / EDITS))
-    return met.where(F.col("n") >= need).where(F.expr(f"levenshtein(key, match, cast({most} as int)) >= 0")).select("key", "match")
+    most = f"cast(greatest(_n, _m) div {EDITS} AS int)"
+    near = (F.abs(F.col("_n") - F.col("_m")) <= F.expr(most)) & (F.abs(F.col("_at") - F.col("_to")) <= F.expr(most))
+    met = x.join(y, ["_code", "_band"]).where(near).groupBy("key", "match", "_n", "_m").agg(F.count(F.lit(1)).alias("_shared"))
+    need = F.least(F.lit(SHARED), 2 + F.ceil(F.least("_n", "_m") * 2 / EDITS))
+    # One predicate: as two, the distance would be moved below the count, to every trigram that meets.
+    near = F.when(F.col("_shared") >= need, F.expr(f"levenshtein(key, match, {most})")).otherwise(-1) >= 0
+    return met.where(near).select("key", "match")
 
 
 def original_texts(of: DataFrame, guidance: DataFrame, bibliography: tuple[str, ...] = BIBLIOGRAPHY) -> DataFrame:
