@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -74,13 +75,38 @@ def nfc(s: pd.Series) -> pd.Series:
 STEADY = "\\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
 
 
-def normal_form(text: Column) -> Column:
-    """`text` in normal form C. Only texts with a character that may be out of it are sent to Python at all."""
-    return F.coalesce(nfc(F.when(text.rlike(f"[^{STEADY}]"), text)), text)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` applied to `value`, which is computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), rules, text)
+def _where(pattern: str, text: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` applied to texts in which `pattern` occurs; others are only looked at, once.
+
+    The pattern may find more than `use` changes: a few wide ranges are tested faster than many letters.
+    """
+    return let(text, lambda t: F.when(t.rlike(pattern), use(t)).otherwise(t))
+
+
+def _in_turn(text: Column, rules: list[tuple[str, str]], replace: Callable[..., Column]) -> Column:
+    """The rules applied one after another; the plan names the replacement once, whatever their number."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("found"), F.lit(b).alias("put")) for a, b in rules])
+    return F.aggregate(pairs, text, lambda t, r: replace(t, r["found"], r["put"]))
+
+
+def _spelled(text: Column) -> Column:
+    """Text with encoding damage, ligatures and typographic characters put right."""
+    t = _where("[\u00c3-\u00c5]", text, lambda x: _in_turn(x, MOJIBAKE, F.replace))
+    t = let(t, lambda x: F.when(x.rlike(f"[{CP1254[0]}]") & ~x.rlike(INTACT), F.translate(x, *CP1254)).otherwise(x))
+    return _where("[\u00a0\u02bc-\uffff]", t, lambda x: F.translate(_in_turn(x, LIGATURES, F.replace), *TYPOGRAPHY))
+
+
+def _repaired(text: Column, normal: bool) -> Column:
+    t = _spelled(text)
+    if not normal:
+        # No replacement makes a character that may be out of normal form, so the text as it came tells whether one can occur.
+        t = F.coalesce(nfc(F.when(text.rlike(f"[^{STEADY}]"), t)), t)
+    return _where("[\u00a8\u00b8\u02d8-\u036f]", t, lambda x: F.regexp_replace(_in_turn(x, DETACHED, F.regexp_replace), "[\u0300-\u036f]", ""))
 
 
 def repair(text: Column, normal: bool = False) -> Column:
@@ -88,14 +114,7 @@ def repair(text: Column, normal: bool = False) -> Column:
 
     `normal`: the text is known to be in normal form C, so that no Python runs.
     """
-    t = _replace_all(text, MOJIBAKE)
-    damaged = t.rlike(f"[{CP1254[0]}]") & ~t.rlike(INTACT)
-    t = F.when(damaged, F.translate(t, *CP1254)).otherwise(t)
-    t = F.translate(_replace_all(t, LIGATURES), *TYPOGRAPHY)
-    t = t if normal else normal_form(t)
-    for pattern, letter in DETACHED:
-        t = F.regexp_replace(t, pattern, letter)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[\u0300-\u036f]", ""), "[ \t]+", " "))
+    return F.trim(F.regexp_replace(_repaired(text, normal), "[ \t]+", " "))
 
 
 def damage(text: Column) -> Column:
@@ -106,12 +125,13 @@ def damage(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Comparison key of text that is repaired already: folded, lower-case, only a-z, 0-9 and single blanks."""
-    t = F.lower(F.translate(text, *FOLDED))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    t = _where("[\u00c2-\u015f]", text, lambda x: F.translate(x, *FOLDED))
+    return F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
 
 
 def key(text: Column, normal: bool = False) -> Column:
-    return fold(repair(text, normal))
+    """Comparison key of text as it came; folding collapses blanks, so repair need not."""
+    return fold(_repaired(text, normal))
 
 
 def similarity(x: Column, y: Column) -> Column:
