@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import word_count
+from paperloom.llm.words import free, word_count
 from paperloom.session import keyed, materialize
 
 #: Weights of the sources in code-point order, repeating.
@@ -136,23 +136,24 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents are named by source and place in the shuffle (an MD5 of doc_id and text), so rows of a null or repeated doc_id
     are told apart, and no copy of the texts is written. Rows that are equal in these share what is taken of them: each
     comes equally often, but for a remainder that one of them gives. Documents without words are never taken; an empty
-    table gives an empty one; other columns pass through.
+    table gives an empty one; other columns pass through, whatever their names.
     """
-    place = shuffled(F.col("doc_id"), F.col("text"))
-    rows = docs.withColumns({"_place": place, "_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
+    place, source, each, rest, copy = free(docs.columns, "_place", "_source", "_each", "_more", "_n")
+    name = shuffled(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumns({place: name, source: F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
     sized = keyed(_sized(docs).withColumn("name", F.col("place")))
     t = _taken(sized, BUDGET_PERCENT, PASSES).withColumn("times", F.ceil(F.col("taken") / F.nullif("size", F.lit(0))))
-    t = t.groupBy(F.col("name").alias("_place"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"))
+    t = t.groupBy(F.col("name").alias(place), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(source))
     t = t.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("_c"), F.count(F.lit(1)).alias("_m")).where("_c > 0")
-    t = materialize(t.select("_place", "_source", F.floor(F.col("_c") / F.col("_m")).cast("int").alias("_each"), (F.col("_c") % F.col("_m")).cast("int").alias("_more")), "copies")
-    times = lambda df, n: df.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)
-    out = times(rows.join(t, ["_place", "_source"]), "_each")
-    more = t.where("_more > 0")
+    t = materialize(t.select(place, source, F.floor(F.col("_c") / F.col("_m")).cast("int").alias(each), (F.col("_c") % F.col("_m")).cast("int").alias(rest)), "copies")
+    times = lambda df, n: df.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)
+    out = times(rows.join(t, [place, source]), each)
+    more = t.where(F.col(rest) > 0)
     if more.isEmpty():
         return out
     # Picked where the rows are before anything travels.
-    one = rows.join(more, ["_place", "_source"]).groupBy("_place", "_source", "_more").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
-    return out.unionByName(times(one.select("_r.*", "_more"), "_more"))
+    one = rows.join(more, [place, source]).groupBy(place, source, rest).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
+    return out.unionByName(times(one.select("_r.*", rest), rest))
 
 
 SQL = r"""

@@ -218,19 +218,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents are named by a 64-bit hash of doc_id and text, so rows of a null or repeated doc_id go only as near copies of
     another, and no copy of the texts is written. Of rows that are equal in both, one stays. Null and empty texts stay; an
-    empty table gives an empty one; other columns pass through.
+    empty table gives an empty one; other columns pass through, whatever their names.
     """
-    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    near = near_duplicates(rows.select(F.col("_h").alias("doc_id"), "text"), STAGE_PERCENT, STAGE_ESTIMATE)
+    (h,) = W.free(docs.columns, "_h")
+    rows = docs.withColumn(h, F.xxhash64("doc_id", "text"))
+    near = near_duplicates(rows.select(F.col(h).alias("doc_id"), "text"), STAGE_PERCENT, STAGE_ESTIMATE)
     near = near.select(F.col("doc_id").alias("_near"), "component_id").distinct()
-    ids = materialize(rows.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "names")
-    first = F.min_by("_h", F.struct(F.col("doc_id").isNull(), "doc_id", "_h")).alias("_h")
-    kept = ids.join(near, F.col("_h") == F.col("_near")).groupBy("component_id").agg(first).select("_h")
+    ids = materialize(rows.groupBy(h).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "names")
+    first = F.min_by(h, F.struct(F.col("doc_id").isNull(), "doc_id", h)).alias(h)
+    kept = ids.join(near, F.col(h) == F.col("_near")).groupBy("component_id").agg(first).select(h)
     kept = materialize(kept, "kept")
-    again = ids.where("n > 1").select("_h").join(kept, "_h", "left_semi")
+    again = ids.where("n > 1").select(h).join(kept, h, "left_semi")
     if again.isEmpty():
-        return rows.join(kept, "_h", "left_semi").select(*docs.columns)
+        return rows.join(kept, h, "left_semi").select(*docs.columns)
     # Equal rows, one for each name, are picked where they are before anything travels.
-    one = rows.join(again, "_h", "left_semi").groupBy("_h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
-    single = rows.join(kept, "_h", "left_semi").join(again, "_h", "left_anti").select(*docs.columns)
+    one = rows.join(again, h, "left_semi").groupBy(h).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
+    single = rows.join(kept, h, "left_semi").join(again, h, "left_anti").select(*docs.columns)
     return single.unionByName(one.select("_r.*"))

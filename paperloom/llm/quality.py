@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import SPACES, WORD_CHAR, let, words
+from paperloom.llm.words import SPACES, WORD_CHAR, free, let, words
 from paperloom.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -135,12 +135,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A verdict follows from text and source, so rows are named by 128 bits of hashes of these: no copy of the texts is
     written, and rows of one name share their fate. Rows of null or empty text go; an empty table gives an empty one;
-    other columns pass through.
+    other columns pass through, whatever their names.
     """
-    names = {"_h": F.xxhash64("source", "text"), "_g": F.xxhash64("text", F.lit(1), "source")}
-    rows = docs.withColumns(names)
-    bad = judge(rows, extra=("_h", "_g")).where(~F.col("kept")).select("_h", "_g").distinct()
-    return rows.join(bad, ["_h", "_g"], "left_anti").select(*docs.columns)
+    h, g = free(docs.columns, "_h", "_g")
+    rows = docs.withColumns({h: F.xxhash64("source", "text"), g: F.xxhash64("text", F.lit(1), "source")})
+    bad = judge(rows, extra=(h, g)).where(~F.col("kept")).select(h, g).distinct()
+    return rows.join(bad, [h, g], "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -31,6 +31,14 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """`names` with as many underscores in front as it takes for none to be one of `columns`, in any case of letters."""
+    taken, prefix = {c.lower() for c in columns}, ""
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def words(text: Column) -> Column:
     """Array of the words of `text`; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != F.lit(""))

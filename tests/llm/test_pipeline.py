@@ -71,3 +71,14 @@ def test_mixing_of_equal_rows(spark):
     times = sum(-(-r.taken // r["size"]) for r in mixing.taken(docs).collect() if r.doc_id == 7)
     out = [r for r in mixing.stage(spark, docs, "").collect() if r.doc_id == 7]
     assert len(out) == times and max(sum(r.kept == str(i) for r in out) for i in range(3)) <= times
+
+
+def test_stages_leave_columns_of_any_name(spark):
+    names = ["_h", "_g", "_place", "_source", "_N", "_each", "_more", "__h", "kept", "name"]
+    text = [" ".join(f"t{i % 3}w{k}" for k in range(80)) for i in range(4)]
+    rows = [(i, text[i], "en", f"s{i % 2}", 9, *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for stage in (quality.stage, near_dup.stage, mixing.stage):
+        out = stage(spark, docs, "")
+        assert out.schema == docs.schema
+        assert {tuple(r) for r in out.collect()} <= set(rows) and out.count() > 0
