@@ -37,8 +37,11 @@ LAYOUT = set("area bar block bottom box btn button buttons col column container
 ABOUT = set("has hide is no not show with without".split())
 
 #: A text is template where it lies right below one element of the reference in this share of the aligned pages, on MIN_CELLS of
-#: 64 cells, by a hash of the whole page (eight different pages fill about seven): copies of one page fill one.
-MIN_SHARE, MIN_CELLS = 0.5, 7
+#: 64 cells, by a hash of the whole page (eight different pages fill about seven): copies of one page fill one. On hosts of
+#: fewer different pages it takes all of the aligned pages, and four cells.
+MIN_SHARE, MIN_CELLS, FEW_CELLS = 0.5, 7, 4
+#: Where more than this share of what a host's pages say would be template, the pages are near copies of one, which is their content.
+MOST_TEMPLATE = 0.9
 #: Products of child counts up to which all rows of a matching are kept; longer lists are halved, in linear memory.
 WHOLE = 1 << 20
 
@@ -378,8 +381,8 @@ def induce(pages: DataFrame) -> DataFrame:
 
     The references are the host's pages, not empty, of the smallest and the largest hash. Every page is aligned with the
     one that fits it best, where the page is read; what is gathered are counts per host, element and text, pre-aggregated,
-    so that a large host is no hot group. A host where template would be half of what its pages say has none: its pages
-    are near copies of one.
+    so that a large host is no hot group. A host where template would be more than nine tenths of what its pages say has
+    none: its pages are near copies of one.
     """
     order = F.struct(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), "html")
     some = pages.where(F.length("html") > 0)
@@ -390,8 +393,9 @@ def induce(pages: DataFrame) -> DataFrame:
     per = materialize(per.agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.bit_or("cells").alias("cells")), "texts")
     whole = per.where("node = -1").select(F.col("host").alias("_h"), F.col("ref").alias("_r"), F.col("pages").alias("all"), F.col("chars").alias("total"))
     same = per.where("node <> -1").join(whole, (F.col("host") == F.col("_h")) & (F.col("ref") == F.col("_r")))
-    same = same.where((F.col("pages") >= F.col("all") * MIN_SHARE) & (F.bit_count("cells") >= MIN_CELLS))
-    found = same.groupBy(F.col("host").alias("_h"), "ref").agg(F.collect_list(F.struct("ref", "node", "hash")).alias("one"), (2 * F.sum("chars") < F.first("total")).alias("ok"))
+    usual = (F.col("pages") >= F.col("all") * MIN_SHARE) & (F.bit_count("cells") >= MIN_CELLS)
+    same = same.where(usual | (F.col("pages") >= F.col("all")) & (F.bit_count("cells") >= FEW_CELLS))
+    found = same.groupBy(F.col("host").alias("_h"), "ref").agg(F.collect_list(F.struct("ref", "node", "hash")).alias("one"), (F.sum("chars") <= F.first("total") * MOST_TEMPLATE).alias("ok"))
     found = found.where("ok").groupBy("_h").agg(F.flatten(F.collect_list("one")).alias("template"))
     return materialize(refs.join(found, F.col("host") == F.col("_h"), "left").drop("_h"), "wrappers")
 

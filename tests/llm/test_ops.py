@@ -523,6 +523,21 @@ def test_html_articles_in_many_copies_keep_their_text(spark):
     assert all(got[i].count("\n") == 6 for i in range(20)) and all(got[100 + i] == f"Short {i}\nText {i}" for i in range(12))
 
 
+def test_html_template_of_any_length_and_on_small_hosts(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, own = [], {}
+    for h, (n_pages, n_words) in enumerate([(40, 30), (40, 60), (40, 90), (5, 60)]):
+        around = [words(n_words // 2) for _ in range(2)]
+        for _ in range(n_pages):
+            text = f"{words(6)}\n{words(54)}"
+            body = "".join(f"<p>{x}</p>" for x in text.split("\n"))
+            own[len(rows)] = text
+            rows.append((len(rows), f"http://h{h}.org/a", f"<html><body><div class=x1><p>{around[0]}</p></div><div class=x2>{body}</div><div class=x3><p>{around[1]}</p></div>"))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == own
+
+
 def test_html_names():
     dropped = ("ad", "site-footer", "ad-box-2", "cookieBanner", "main_nav", "comments", "share-buttons")
     kept = ("related-work", "menu-of-the-day", "has-sidebar", "share-price", "adventure", "comment-on-law", "")
