@@ -111,12 +111,12 @@ def evaluation_gate(spark, d):
 
 
 @query("delete_guard", f"""WITH {ASSIGNMENTS_SQL}
-SELECT s_suppkey AS referee_id, count(report_id) AS n_assigned, CASE WHEN coalesce(bool_or(state IS NOT NULL AND report_id IS NOT NULL), false) THEN 'deactivate' ELSE 'delete' END AS action
-FROM supplier LEFT JOIN assignments ON referee_id = s_suppkey AND report_id % 500 = 0 GROUP BY s_suppkey""")
+SELECT c_custkey AS referee_id, count(report_id) AS n_assigned, CASE WHEN coalesce(bool_or(state IS NOT NULL AND report_id IS NOT NULL), false) THEN 'deactivate' ELSE 'delete' END AS action
+FROM customer LEFT JOIN assignments ON referee_id = c_custkey GROUP BY c_custkey""")
 def delete_guard(spark, d):
-    """Over the assignments of every 500th report, so that some referees have none."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("referee_id"))
-    return desk.delete_guard(s, assignments(spark, d).where("report_id % 500 = 0"))
+    """Referees have the numbers of customers; those beyond the suppliers were never assigned a report."""
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("referee_id"))
+    return desk.delete_guard(s, assignments(spark, d))
 
 
 @query("bulk_insert", """SELECT o_orderkey, o_custkey, CASE WHEN o_custkey IN (SELECT s_suppkey FROM supplier) THEN 'exists' WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN 'repeated' ELSE 'inserted' END AS outcome
@@ -270,7 +270,7 @@ TEMPLATES = {"new": ["small ring", "large gear", "blue bolt", "green plate"], "o
 _TEMPLATES_SQL = "h(template, rank, key) AS (VALUES " + ", ".join(f"('{t}', {i}, '{k}')" for i, (t, keys) in enumerate(TEMPLATES.items()) for k in keys) + ")"
 
 
-@query("template_findings", f"""WITH {_TEMPLATES_SQL}, t AS (SELECT DISTINCT p_partkey % 40 AS doc_id, p_name AS key FROM part WHERE p_partkey % 4 < 3 AND p_partkey < 400),
+@query("template_findings", f"""WITH {_TEMPLATES_SQL}, t AS (SELECT DISTINCT CAST(p_partkey // 10 AS BIGINT) AS doc_id, p_name AS key FROM part),
 f AS (SELECT doc_id, template, rank, count(DISTINCT h.key) AS found FROM t JOIN h ON 1 - levenshtein(t.key, h.key) / greatest(length(t.key), length(h.key)) >= 0.72 GROUP BY ALL),
 z AS (SELECT template, count(*) AS size FROM h GROUP BY template), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY found / size DESC, rank) AS k FROM f JOIN z USING (template)),
 d AS (SELECT DISTINCT doc_id, doc_id % 30 AS pages, doc_id % 11 = 0 AS scanned, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS holes FROM t),
@@ -279,7 +279,7 @@ SELECT doc_id, 'SCANNED' AS code, 'error' AS severity FROM x WHERE scanned UNION
 UNION ALL SELECT doc_id, 'TEMPLATE_UNKNOWN', 'error' FROM x WHERE NOT old AND share < 0.5 UNION ALL SELECT doc_id, 'PAGES_OVER', 'warning' FROM x WHERE pages > 20
 UNION ALL SELECT doc_id, 'PAGES_UNDER', 'warning' FROM x WHERE pages < 5 UNION ALL SELECT doc_id, 'PLACEHOLDERS_LEFT', 'warning' FROM x WHERE holes > 0""")
 def template_findings(spark, d):
-    s = table(spark, d, "part").where("p_partkey % 4 < 3 AND p_partkey < 400").select((F.col("p_partkey") % 40).alias("doc_id"), F.col("p_name").alias("key")).distinct()
+    s = table(spark, d, "part").select(F.expr("p_partkey div 10").alias("doc_id"), F.col("p_name").alias("key")).distinct()
     h = spark.createDataFrame([(t, i, k) for i, (t, keys) in enumerate(TEMPLATES.items()) for k in keys], "template string, rank int, key string")
     n = F.col("doc_id")
     docs = s.select("doc_id").distinct().select("doc_id", (n % 30).alias("pages"), (n % 11 == 0).alias("scanned"), F.when(n % 5 == 0, 2).otherwise(0).alias("n_placeholders"))

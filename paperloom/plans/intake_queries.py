@@ -93,15 +93,15 @@ def category_names(spark, d):
 
 
 @query("text_leaks", """WITH page AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS page FROM conversations WHERE role <> 'user' GROUP BY conv_id),
-t AS (SELECT conv_id, turn, trim(left(text, 20 + turn % 3 * 20)) AS text FROM conversations)
+t AS (SELECT conv_id, turn, trim(text) AS text FROM conversations)
 SELECT DISTINCT t.conv_id AS group_id, t.text FROM t JOIN page USING (conv_id) WHERE length(t.text) >= 25 AND contains(page.page, t.text)
   AND NOT EXISTS (SELECT 1 FROM t a WHERE a.conv_id = t.conv_id AND a.text = t.text AND a.turn % 4 = 1)""")
 def text_leaks(spark, d):
-    """What is not the user's is published; beginnings of all turns are looked for, those of every fourth are approved."""
+    """What is not the user's is published; the texts of all turns are looked for, whole, those of every fourth are approved."""
     c = table(spark, d, "conversations").withColumn("group_id", F.col("conv_id"))
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     page = c.where("role <> 'user'").groupBy("group_id").agg(F.array_join(F.transform(turns, lambda x: x["text"]), "\n").alias("page"))
-    t = c.select("group_id", "turn", F.expr("left(text, 20 + turn % 3 * 20)").alias("text"))
+    t = c.select("group_id", "turn", "text")
     return intake.leaks(page, t, t.where("turn % 4 = 1"))
 
 
