@@ -183,12 +183,12 @@ def phrase_count(text_key: Column, phrase_key: Column) -> Column:
     return F.when(phrase_key == "", 0).otherwise(F.floor((F.length(doubled) - rest) / F.length(phrase))).cast("long")
 
 
-def placeholders(text: Column) -> Column:
-    """Distinct places that a template left to be filled in, 21 at most; numeric citations are none."""
+def placeholders(text: Column, most: int | None = None) -> Column:
+    """Distinct places that a template left to be filled in, the first `most` of them where it is given; numeric citations are none."""
     found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.trim(x)) for p in PLACEHOLDERS])
     numeric = r"^\[\s*\d[\d\s,–-]*\]$"
     good = F.filter(found, lambda x: ~x.rlike(numeric) & (F.length(fold(x)) >= 2))
-    return F.slice(F.array_distinct(good), 1, 21)
+    return F.array_distinct(good) if most is None else F.slice(F.array_distinct(good), 1, most)
 
 
 def citations(text: Column) -> Column:

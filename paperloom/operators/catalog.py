@@ -62,21 +62,24 @@ def category_name(label: Column) -> Column:
     return F.when(~F.contains(T.fold(flat), F.lit(ALL_CATEGORIES)) & (F.length(name) >= 2) & name.rlike(r"\p{L}"), name)
 
 
-def title(html: Column, slug: Column, plain: bool = False) -> Column:
+def title(html: Column, slug: Column, plain: bool = False, longest: int | None = None) -> Column:
     """First heading, else the page title, of five characters or more; else the slug in words. What follows a bar or long
-    dash at the end (the site's name) is cut."""
+    dash at the end (the site's name) is cut. `longest`: characters, markup included, beyond which a heading is passed over."""
 
     def of(tag: str) -> Column:
-        raw = F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.{{3,900}}?)</{tag}>", 1)
+        raw = F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.{{3,{longest or ""}}}?)</{tag}>", 1)
         name = F.trim(F.regexp_replace(T.strip_tags(raw), r"\s*[|–—]\s*[^|–—]*$", ""))
         return F.when(F.length(name) >= 5, name)
 
     return F.coalesce(of("h1"), of("title"), slug if plain else F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """page_id, href, label: distinct links of each page; of one address the first label that is not blank wins."""
-    found = F.regexp_extract_all("html", F.lit(r'(?is)<a[^>]*href="[^"]+"[^>]*>.{0,500}?</a>'), F.lit(0))
+def links(pages: DataFrame, longest: int | None = None) -> DataFrame:
+    """page_id, href, label: distinct links of each page; of one address the first label that is not blank wins.
+
+    `longest`: characters, markup included, beyond which a label is passed over with its link.
+    """
+    found = F.regexp_extract_all("html", F.lit(rf'(?is)<a[^>]*href="[^"]+"[^>]*>.{{0,{longest or ""}}}?</a>'), F.lit(0))
     a = pages.select("page_id", F.posexplode(found).alias("ord", "tag"))
     a = a.select("page_id", "ord", F.regexp_extract("tag", '(?is)href="([^"]+)"', 1).alias("href"), T.strip_tags(F.col("tag")).alias("label"))
     best = F.min_by("label", F.struct(F.col("label") == "", "ord"))

@@ -27,15 +27,15 @@ _STRIP = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\\s+', '
 
 
 @query("html_titles", f"""WITH t AS (SELECT page_id, url,
-  trim(regexp_replace({_STRIP.format("regexp_extract(html, '(?is)<h1[^>]*>(.{3,900}?)</h1>', 1)")}, '\\s*[|–—]\\s*[^|–—]*$', '')) AS h,
-  trim(regexp_replace({_STRIP.format("regexp_extract(html, '(?is)<title[^>]*>(.{3,900}?)</title>', 1)")}, '\\s*[|–—]\\s*[^|–—]*$', '')) AS t FROM pages)
+  trim(regexp_replace({_STRIP.format("regexp_extract(html, '(?is)<h1[^>]*>(.{3,}?)</h1>', 1)")}, '\\s*[|–—]\\s*[^|–—]*$', '')) AS h,
+  trim(regexp_replace({_STRIP.format("regexp_extract(html, '(?is)<title[^>]*>(.{3,}?)</title>', 1)")}, '\\s*[|–—]\\s*[^|–—]*$', '')) AS t FROM pages)
 SELECT page_id, CASE WHEN length(h) >= 5 THEN h WHEN length(t) >= 5 THEN t ELSE url END AS title FROM t""")
 def html_titles(spark, d):
     return table(spark, d, "pages").select("page_id", C.title(F.col("html"), F.col("url"), plain=True).alias("title"))
 
 
 @query("html_links", f"""WITH a AS (SELECT page_id, unnest(l) AS tag, unnest(range(len(l))) AS ord FROM (
-  SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="[^"]+"[^>]*>.{{0,500}}?</a>') AS l FROM pages)),
+  SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="[^"]+"[^>]*>.*?</a>') AS l FROM pages)),
 b AS (SELECT page_id, ord, regexp_extract(tag, '(?is)href="([^"]+)"', 1) AS href, {_STRIP.format("tag")} AS label FROM a)
 SELECT page_id, href, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY label = '', ord) AS k FROM b) WHERE k = 1""")
 def html_links(spark, d):

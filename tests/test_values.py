@@ -169,3 +169,27 @@ def test_desk_ties(spark):
     g = spark.createDataFrame([(1, 5, 0, None), (2, 5, 2, "1999-12-31"), (3, 5, 2, "2000-01-02"), (4, 5, 3, "2000-01-02")], "group_id long, applications long, missing long, deadline string")
     board = desk.deadline_board(g.withColumn("deadline", F.col("deadline").cast("date")), F.lit("2000-01-01").cast("date")).collect()
     assert [r.group_id for r in board] == [4, 3, 2, 1]
+
+
+def test_long_titles_and_labels_are_whole(spark):
+    long = "word " * 400
+    html = f"<h1>{long}</h1><a href=\"/x\">{long}</a><a href=\"/y\">short</a>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert pages.select(catalog.title(F.col("html"), F.lit("some-slug"))).first()[0] == long.strip()
+    assert pages.select(catalog.title(F.col("html"), F.lit("some-slug"), longest=900)).first()[0] == "Some Slug"
+    assert {(r.href, r.label) for r in catalog.links(pages).collect()} == {("/x", long.strip()), ("/y", "short")}
+    assert {r.href for r in catalog.links(pages, longest=500).collect()} == {"/y"}
+
+
+def test_all_placeholders_are_found(spark):
+    text = " ".join(f"[fill in {chr(97 + i)}]" for i in range(26))
+    row = spark.createDataFrame([(text,)], "t string").select(T.placeholders(F.col("t")), T.placeholders(F.col("t"), 21)).first()
+    assert len(row[0]) == 26 and len(row[1]) == 21
+
+
+def test_repair_of_every_kind_of_damage(spark):
+    cases = {"Ã–ÄŸrenci": "Öğrenci", "Ýstanbul": "İstanbul", "o\ufb03ce \u201cx\u201d": 'office "x"', "su\u0308re": "süre", "g\u02d8u": "ğu", "e\u0301a": "éa", "a\u200bb": "a b", "a \t b": "a b"}
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    got = [tuple(r) for r in df.select("t", T.repair(F.col("t")), T.key(F.col("t"))).collect()]
+    assert {r[0]: r[1] for r in got} == cases | {None: None}
+    assert {r[0]: r[2] for r in got} == {"Ã–ÄŸrenci": "ogrenci", "Ýstanbul": "istanbul", "o\ufb03ce \u201cx\u201d": "office x", "su\u0308re": "sure", "g\u02d8u": "gu", "e\u0301a": "a", "a\u200bb": "a b", "a \t b": "a b", None: None}
