@@ -102,10 +102,20 @@ def language_findings(spark, d):
     return checks.histogram(checks.language_findings(judged, F.col("lang")))
 
 
-@query("placeholder_hits")
+_HITS_SQL = ", ".join(f"regexp_extract_all(text, {_quoted(p)})" for p in T.PLACEHOLDERS)
+_HIT_KEY_SQL = f"trim(regexp_replace(lower(translate(hit, {_quoted(T.FOLDED[0])}, {_quoted(T.FOLDED[1])})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("placeholder_hits", f"""WITH d AS (SELECT 'document' AS origin, doc_id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages),
+h AS (SELECT DISTINCT origin, doc_id, trim(unnest(flatten([{_HITS_SQL}]))) AS hit FROM d)
+SELECT origin, doc_id, count(*) AS n_hits, min(hit) AS first_hit FROM h
+WHERE NOT regexp_matches(hit, '^\\[\\s*\\d[\\d\\s,–-]*\\]$') AND length({_HIT_KEY_SQL}) >= 2 GROUP BY origin, doc_id""")
 def placeholder_hits(spark, d):
-    found = table(spark, d, "documents").select("doc_id", F.explode(T.placeholders(F.col("text"))).alias("hit"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("hit").alias("first_hit"))
+    """Over documents and over pages as they come, whose short tags look like <places to fill in>."""
+    texts = table(spark, d, "documents").select(F.lit("document").alias("origin"), "doc_id", "text")
+    texts = texts.unionByName(table(spark, d, "pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    found = texts.select("origin", "doc_id", F.explode(T.placeholders(F.col("text"))).alias("hit"))
+    return found.groupBy("origin", "doc_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("hit").alias("first_hit"))
 
 
 @query("citation_numbers", """WITH g AS (
