@@ -178,7 +178,18 @@ def category_verdict(spark, d):
     return checks.category_verdict(_category_scores(spark, d), declared)
 
 
-@query("sentence_commonness")
+# Ends of sentences are marked, marks behind abbreviations are taken away again, and what is left cuts: RE2 has no look-behind.
+_KEY_SQL = f"trim(regexp_replace(lower(translate(s, {_quoted(T.FOLDED[0])}, {_quoted(T.FOLDED[1])})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("sentence_commonness", f"""WITH m AS (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '\\n+', ' ', 'g'), '([.!?])(\\s+)([{T.CAPITAL}])', '\\1' || chr(1) || '\\2\\3', 'g') AS t FROM documents
+), c AS (
+  SELECT doc_id, trim(unnest(string_split_regex(
+    regexp_replace(t, '(^|[^\\p{{L}}])({"|".join(T.ABBREVIATIONS)})([.!?])\\x01', '\\1\\2\\3', 'gi'), '\\x01\\s+'))) AS s FROM m
+), k AS (SELECT DISTINCT doc_id, {_KEY_SQL} AS s FROM c WHERE length(s) > 20)
+SELECT md5(s) AS sentence, count(*) AS n_documents, array_to_string(list_sort(list(doc_id))[1:8], ',') AS first_documents
+FROM k WHERE len(string_split(s, ' ')) >= 8 GROUP BY s HAVING count(*) >= 2""")
 def sentence_commonness(spark, d):
     """Sentences (comparison keys of eight words or more) that two documents or more hold: hash, number of documents, and
     the first eight of them.
