@@ -2,67 +2,127 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.session import bound_batches
 
 #: Share of the pages on which furniture repeats, three pages at least, and share of a page's height at its edges.
 REPEATS, MIN_PAGES, EDGE = 0.6, 3, 0.12
 #: A heading's size against that of the body.
 LARGER = 1.12
-_PLACED = "doc_id long, page int, item long, x double, y double, width double, size double, font string, text string, line int"
-
-
-def _place(batches: Iterator) -> Iterator:
-    """Number the lines of each page; items come page by page, from the top down, then from the left.
-
-    What decides is the distance to the first item of the line, so this is a scan with a state of one page, one number and
-    one height, which goes on over batches.
+#: The items of a page, where a row is a page.
+ITEMS = "array<struct<item: bigint, x: double, y: double, width: double, size: double, font: string, text: string>>"
+_LINES = "doc_id long, page int, line int, raw string, x double, y double, size double, bold boolean"
+_FLAT = ("doc_id", "page", "item", "x", "y", "width", "size", "bold", "text")
+_BOLD = "bold|black|heavy|semib"
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The items of whole pages as rows, from the top down, then from the left; those without a place or size are left out."""
+    for batch in batches:
+        pages, items = batch.column("items"), batch.column("items").flatten()
+        part = dict(zip((f.name for f in items.type), items.flatten(), strict=True))
+        placed = reduce(pc.and_, (part[c].is_valid() for c in ("x", "y", "size")))
+        part = {c: v.filter(placed) for c, v in part.items()}
+        row = _numbers(pc.list_parent_indices(pages).filter(placed))
+        x, y, item = _numbers(part["x"]), _numbers(part["y"]), _numbers(part["item"].fill_null(np.iinfo(np.int64).min))
+        at = pa.array(np.lexsort((item, x, np.where(np.isnan(y), -np.inf, -y), row)))
+        font = part["font"].fill_null("").dictionary_encode()
+        bold = pa.array([bool(re.search(_BOLD, f, re.IGNORECASE | re.ASCII)) for f in font.dictionary.to_pylist()], pa.bool_()).take(font.indices)
+        own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "page")]
+        flat = [*own, pa.array(item), part["x"], part["y"], part["width"].fill_null(0.0), part["size"], bold, part["text"].fill_null("")]
+        yield pa.table([c.take(at) for c in flat], names=list(_FLAT))
+
+
+def _joined(t: pa.Table, first: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+    """The lines that begin at the rows `first` of `t`, numbered `line`, with their items from left to right."""
+    size, item = (_numbers(t[c]) for c in ("size", "item"))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+    at = np.lexsort((item, -_numbers(t["y"]), _numbers(t["x"]), of))
+    x, y, width, size = (_numbers(t[c])[at] for c in ("x", "y", "width", "size"))
+    text = t["text"].combine_chunks().take(pa.array(at))
+    said = np.concatenate([[0], np.cumsum(_numbers(pc.binary_length(text)) > 0)])
+    with np.errstate(invalid="ignore"):
+        gap = x - np.concatenate([[-np.inf], (x + width)[:-1]])
+        wide = (gap > size * 0.18) | np.isnan(gap)
+    blank = wide & (said[:-1] > said[first][of])
+    parts = pc.binary_join_element_wise(pc.if_else(pa.array(blank), " ", ""), text, "")
+    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(t)), pa.int32()), parts), "")
+    begin = t.select(["doc_id", "page"]).take(pa.array(first)).combine_chunks()
+    bold = np.logical_or.reduceat(_numbers(t["bold"]), first)
+    out = [begin["doc_id"].combine_chunks(), begin["page"].combine_chunks(), pa.array(line, pa.int32()), raw, np.fmin.reduceat(x, first), y[first], np.maximum.reduceat(size, first), bold]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in out], names=["doc_id", "page", "line", "raw", "x", "y", "size", "bold"])
+
+
+def _scan(tables: Iterator[pa.Table | pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of items that come page by page, from the top down, then from the left.
+
+    What decides is the distance to the first item of the line, so this is a scan; the items of the line that is open go on
+    to the next batch.
     """
-    page, anchor, line = None, 0.0, 0
-    for frame in batches:
-        lines = []
-        for doc_id, no, y, size in zip(frame["doc_id"], frame["page"], frame["y"], frame["size"], strict=True):
-            if (doc_id, no) != page:
-                page, anchor, line = (doc_id, no), y, 1
-            elif abs(anchor - y) > max(2.0, size * 0.5):
-                anchor, line = y, line + 1
-            lines.append(line)
-        yield frame.assign(line=lines)
+    rest, number = None, 1
+    for t in tables:
+        t = t if isinstance(t, pa.Table) else pa.Table.from_batches([t])
+        if not len(t):
+            continue
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        doc, page, y = (_numbers(t[c]) for c in ("doc_id", "page", "y"))
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])])
+        first, anchor = [], 0.0
+        for i, (begins, at, most) in enumerate(zip(new.tolist(), y.tolist(), np.fmax(2.0, _numbers(t["size"]) * 0.5).tolist(), strict=True)):
+            if begins or abs(anchor - at) > most:
+                anchor = at
+                first.append(i)
+        first = np.array(first)
+        k, begins = np.arange(len(first)), new[first]
+        line = k - np.maximum.accumulate(np.where(begins, k, 0)) + 1 + np.where(np.cumsum(begins) == 1, number - 1, 0)
+        rest, number = t.slice(first[-1]), int(line[-1])
+        if len(first) > 1:
+            yield _joined(t.slice(0, first[-1]), first[:-1], line[:-1])
+    if rest is not None:
+        yield _joined(rest, np.zeros(1, int), np.array([number]))
 
 
 def lines(items: DataFrame) -> DataFrame:
     """doc_id, page, line (from 1, top down), text, x, y, size, bold: the lines that the items of each page make.
 
     items: doc_id, page, item (tells items of a page apart, and orders those in one place), x, y (upwards), width, size,
-    font, text. An item begins a line if it is further from the line's first one than half its size, 2 at least. Inside
+    font, text; or a row a page, with doc_id, page and `items`, an array of the rest as in ITEMS, which no shuffle parts.
+    An item begins a line if it is further from the line's first one than half its size, 2 at least. Inside
     a line, items from left to right are parted by a blank where the gap is over .18 of the size. Lines of blanks only are
-    left out. Null texts are empty; items without a place or size are left out. Pages are scanned in sorted partitions, so no
-    page is gathered before its lines are known, and a line is a group of a few items.
+    left out. Null texts are empty; items without a place or size are left out. Items are scanned in sorted partitions and
+    leave the scan as lines, so no page is gathered before its lines are known, and items travel once at most.
     """
-    known = items.where("doc_id IS NOT NULL AND page IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND size IS NOT NULL")
-    slim = known.select(
-        F.col("doc_id").cast("long"), F.col("page").cast("int"), F.col("item").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"),
-        F.coalesce(F.col("width").cast("double"), F.lit(0.0)).alias("width"), F.col("size").cast("double"), F.coalesce("font", F.lit("")).alias("font"), F.coalesce("text", F.lit("")).alias("text"),
-    )
-    ordered = slim.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.desc("y"), "x", "item")
-    placed = ordered.mapInPandas(_place, _PLACED)
-    item = F.struct("x", F.negative("y").alias("down"), "item", "width", "size", "text")
-    out = placed.groupBy("doc_id", "page", "line").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.min("x").alias("x"), F.max("size").alias("size"), F.bool_or(F.col("font").rlike("(?i)bold|black|heavy|semib")).alias("bold")
-    )
-    gap = lambda a, i: (a["text"] != "") & (i["x"] - a["end"] > i["size"] * 0.18)
-    joined = F.aggregate(
-        "items",
-        F.struct(F.lit("").alias("text"), F.lit(float("-inf")).alias("end")),
-        lambda a, i: F.struct(F.concat(a["text"], F.when(gap(a, i), " ").otherwise(""), i["text"]).alias("text"), (i["x"] + i["width"]).alias("end")),
-        lambda a: a["text"],
-    )
-    out = out.select("doc_id", "page", "line", joined.alias("raw"), "x", F.negative(F.col("items")[0]["down"]).alias("y"), "size", "bold")
-    return out.withColumn("text", T.repair(F.col("raw"))).drop("raw").where(F.length("text") > 0)
+    bound_batches(items.sparkSession)
+    if "items" in items.columns:
+        pages = items.where("doc_id IS NOT NULL AND page IS NOT NULL")
+        pages = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), F.col("items").cast(ITEMS))
+        out = pages.mapInArrow(lambda batches: _scan(_spread(batches)), _LINES)
+    else:
+        known = items.where("doc_id IS NOT NULL AND page IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND size IS NOT NULL")
+        slim = known.select(
+            F.col("doc_id").cast("long"), F.col("page").cast("int"), F.coalesce(F.col("item").cast("long"), F.lit(-(1 << 63))).alias("item"), F.col("x").cast("double"), F.col("y").cast("double"),
+            F.coalesce(F.col("width").cast("double"), F.lit(0.0)).alias("width"), F.col("size").cast("double"), F.coalesce(F.col("font").rlike(f"(?i){_BOLD}"), F.lit(False)).alias("bold"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        )
+        out = slim.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.desc("y"), "x", "item").mapInArrow(_scan, _LINES)
+    # Asked of the text as it came: a condition on the repaired one would have it repaired twice.
+    said = F.col("raw").rlike("[!-~]") | (F.length(T.repair(F.col("raw"), normal=True)) > 0)
+    return out.where(said).select("doc_id", "page", "line", "x", "y", "size", "bold", T.repair(F.col("raw")).alias("text"))
 
 
 def mask(text: Column) -> Column:
@@ -76,23 +136,33 @@ def furniture(of: DataFrame, pages: DataFrame) -> DataFrame:
     pages: doc_id, pages. A line is furniture if, numbers masked, it lies in the upper or lower EDGE of REPEATS of the pages,
     MIN_PAGES at least; documents of fewer pages have none.
     """
-    page = Window.partitionBy("doc_id", "page")
+    page, line = Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id", "mask")
     top, span = F.max("y").over(page), F.max("y").over(page) - F.min("y").over(page)
     down = (top - F.col("y")) / F.when(span == 0, F.lit(1.0)).otherwise(span)
-    masked = of.withColumns({"mask": mask(F.col("text")), "down": down})
-    at = masked.where((F.col("down") <= EDGE) | (F.col("down") >= 1 - EDGE)).where(F.length("mask") >= 2)
-    often = at.groupBy("doc_id", "mask").agg(F.countDistinct("page").alias("n")).join(pages, "doc_id")
-    often = often.where((F.col("pages") >= MIN_PAGES) & (F.col("n") >= F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("pages") * REPEATS))))
-    often = often.select("doc_id", "mask", F.lit(True).alias("repeated"))
-    return masked.drop("down").join(often, ["doc_id", "mask"], "left").drop("mask").fillna({"repeated": False})
+    # Dealt by document once; all that follows stays there.
+    masked = of.repartition("doc_id").withColumns({"mask": mask(F.col("text")), "down": down})
+    masked = masked.join(pages.select("doc_id", F.col("pages").alias("_pages")), "doc_id", "left")
+    edge = ((F.col("down") <= EDGE) | (F.col("down") >= 1 - EDGE)) & (F.length("mask") >= 2)
+    # Of a page's equal lines at its edges one counts.
+    masked = masked.withColumn("_edge", F.coalesce(edge, F.lit(False)))
+    masked = masked.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "mask", "page").orderBy(F.desc("_edge"))))
+    n = F.count(F.when(F.col("_edge") & (F.col("_k") == 1), 1)).over(line)
+    often = (F.col("_pages") >= MIN_PAGES) & (n >= F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("_pages") * REPEATS)))
+    return masked.withColumn("repeated", F.coalesce(often, F.lit(False))).drop("mask", "down", "_pages", "_edge", "_k")
+
+
+def _bodies(of: DataFrame) -> DataFrame:
+    """`of` plus body, as in `body_sizes`; windows over documents, so that lines dealt by document stay where they are."""
+    s = of.withColumn("_size", F.floor(F.col("size") * 2 + 0.5) / 2)
+    w = Window.partitionBy("doc_id", "_size")
+    s = s.withColumns({"_n": F.sum(F.length("text")).over(w), "_at": F.min(F.struct("page", "line")).over(w)})
+    rank = F.struct("_n", F.negative("_at.page").alias("p"), F.negative("_at.line").alias("l"))
+    return s.withColumn("body", F.max_by("_size", rank).over(Window.partitionBy("doc_id"))).drop("_size", "_n", "_at")
 
 
 def body_sizes(of: DataFrame) -> DataFrame:
     """doc_id, body: the size, to halves, that most characters of a document's lines have; the first seen on a tie."""
-    s = of.select("doc_id", (F.floor(F.col("size") * 2 + 0.5) / 2).alias("body"), F.length("text").alias("n"), F.struct("page", "line").alias("at"))
-    s = s.groupBy("doc_id", "body").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
-    rank = F.struct("n", F.negative("at.page").alias("p"), F.negative("at.line").alias("l"))
-    return s.groupBy("doc_id").agg(F.max_by("body", rank).alias("body"))
+    return _bodies(of).groupBy("doc_id").agg(F.first("body").alias("body"))
 
 
 def is_heading(text: Column, number: Column, title: Column, size: Column, bold: Column, body: Column) -> Column:
@@ -113,18 +183,24 @@ def headings(of: DataFrame) -> DataFrame:
     """Lines that are not `repeated`, in order (`ord`, from 1 in each document), with number, title and heading."""
     kept = of.where(~F.col("repeated"))
     h = T.heading_number(F.col("text"))
-    kept = kept.join(body_sizes(kept), "doc_id").withColumns({"number": h["number"], "title": h["title"]})
+    kept = _bodies(kept).withColumns({"number": h["number"], "title": h["title"]})
     kept = kept.withColumn("heading", is_heading(F.col("text"), F.col("number"), F.col("title"), F.col("size"), F.col("bold"), F.col("body")))
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line")))
 
 
+def last_pages(items: DataFrame) -> DataFrame:
+    """doc_id, pages: the last page of each document that has an item."""
+    some = items.where(F.size("items") > 0) if "items" in items.columns else items
+    return some.groupBy("doc_id").agg(F.max("page").alias("pages"))
+
+
 def outline(items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """The lines of `headings` that items make, with section: how many headings there are up to the line, 0 before the first.
 
     pages: doc_id, pages; where not given, the last page that has an item.
     """
     if pages is None:
-        pages = items.groupBy("doc_id").agg(F.max("page").alias("pages"))
+        pages = last_pages(items)
     begun = F.sum(F.col("heading").cast("int")).over(Window.partitionBy("doc_id").orderBy("ord"))
     return headings(furniture(lines(items), pages)).withColumn("section", begun)
 

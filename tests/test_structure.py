@@ -120,3 +120,33 @@ def test_body_size_is_that_of_most_characters_and_the_first_on_a_tie(spark):
 
 def test_no_items(spark):
     assert structure.sections(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def packed(spark, rows):
+    names = ["item", "x", "y", "width", "size", "font", "text"]
+    return frame(spark, rows).groupBy("doc_id", "page").agg(F.collect_list(F.struct(*names)).alias("items"))
+
+
+def test_rows_of_pages_give_the_lines_of_their_items(spark):
+    rng = random.Random(6)
+    rows = [(d, p, k, rng.choice([None, *range(90)]), rng.randrange(60) / 2, rng.choice([None, 5.0]), rng.choice([3.0, 9.0]), rng.choice(["f", None, "a BOLD one"]), rng.choice(["", None, " ", "\u00a0", "w", "ö"])) for d in (1, 2, None) for p in range(1, 9) for k in range(50)]
+    rows = [(d, p, k, x if x is None else float(x), *r) for d, p, k, x, *r in rows] + report(7)
+    want, got = structure.lines(frame(spark, rows)).collect(), structure.lines(packed(spark, rows)).collect()
+    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert structure.last_pages(packed(spark, rows)).where("doc_id = 7").collect() == [(7, 4)]
+
+
+def test_a_line_goes_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    rows = [(1, 1, k, float(k), 9.0 if k < 12000 else 1.0, 1.0, 8.0, "f", "w") for k in range(12010)] + [(2, 1, 0, 1.0, 9.0, 1.0, 8.0, "f", "x")]
+    got = structure.lines(frame(spark, rows)).orderBy("doc_id", "line").collect()
+    assert [(r["doc_id"], r["line"], len(r["text"])) for r in got] == [(1, 1, 12000), (1, 2, 10), (2, 1, 1)]
+
+
+def test_words_never_travel_alone_and_lines_travel_once(spark):
+    from paperloom.plans.structure_queries import items
+
+    docs = spark.createDataFrame([(1, "s", "some words of a text"), (2, None, "")], "doc_id long, source string, text string")
+    plan = structure.sections(items(docs))._jdf.queryExecution().executedPlan().toString()
+    # The lines by document, and the number of pages of each document.
+    assert plan.count("Exchange hashpartitioning") <= 2
