@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -15,74 +18,108 @@ from paperloom.session import materialize
 EDITS = 5
 #: Shortest line of an original text, and the pieces from which on the sections are trusted.
 MIN_LINE, MIN_PIECES = 12, 3
-#: Trigrams that a pair shares at least before its distance is taken, where its texts are long enough for so many.
-SHARED = 14
+#: Keys that meet the dictionary in one group, entries that do, and entries and trigrams of these that are counted at once.
+KEYS, ENTRIES, BLOCK, BLOCK_GRAMS = 20_000, 8192, 1024, 75_000
+#: Tasks that groups are dealt to at most, where the session has no more.
+MOST_TASKS = 2000
 #: Words a section has beside its guidance if it is filled in.
 OWN_WORDS = 20
 BIBLIOGRAPHY = ("Kaynakça", "Kaynaklar", "References")
 _ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
 _BASE = len(_ALPHABET) + 1
+_CODES = np.zeros(256, np.int64)
+_CODES[np.frombuffer(_ALPHABET.encode(), np.uint8)] = np.arange(1, _BASE)
 
 
-def _grams(key: Column) -> Column:
-    """Trigrams of a comparison key with two marks at either end, as structs of code (from 1, below 38 ** 3 + 1) and place."""
-    codes = F.transform(F.split(F.concat(F.lit("##"), key, F.lit("##")), ""), lambda c: F.instr(F.lit(_ALPHABET), c))
-    code = lambda c, i: (F.get(c, i) * _BASE + F.get(c, i + 1)) * _BASE + F.get(c, i + 2) + 1
-    # The array of codes is bound once.
-    runs = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(0), F.length(key) + 1), lambda i: F.struct(code(c, i).alias("code"), i.alias("at"))))
-    return F.element_at(runs, 1)
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of texts with two marks at either end, and at which each text's begin (one more at the end).
 
-
-def _commonness(dictionary: DataFrame) -> bytes:
-    """A byte for each trigram there can be: 0 if no entry has it, else the larger the more entries do.
-
-    38 ** 3 trigrams at most come to the driver, whatever the dictionary.
+    The second of equal ones in a text is another than the first, and so on: what two texts share is then a count.
     """
-    counts = dictionary.select(F.explode(F.transform(_grams(F.col("match")), lambda g: g["code"])).alias("code")).groupBy("code").count()
-    table = bytearray(_BASE**3)
-    for code, n in counts.collect():
-        table[code - 1] = min(255, 1 + int(8 * math.log2(n)))
-    return bytes(table)
-
-
-def _index(keys: DataFrame, column: str, common: bytes) -> DataFrame:
-    """`keys` once for each of the rarest trigrams of `column`, as _code and _at; those that no entry has are not told.
-
-    d edits, some of which make up the difference in length, spoil 3 d less that difference of a text's trigrams: never more
-    than three fifths of its length where d is at most a fifth of the longer text's. So of that many and SHARED more, in an
-    order both sides share, the edits leave SHARED in place, or all that a short text has beyond three fifths.
+    data = _CODES[np.frombuffer(b"".join(b"##" + t + b"##" for t in texts), np.uint8)]
+    length = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 2
+    begin = np.concatenate([[0], np.cumsum(length)])
+    text = np.repeat(np.arange(len(texts)), length)
+    at = np.arange(begin[-1]) + 2 * text
+    code = (data[at] * _BASE + data[at + 1]) * _BASE + data[at + 2]
+    order = np.lexsort((code, text))
+    c, t, k = code[order], text[order], np.arange(len(order))
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])[: len(k)]
+    again = k - np.maximum.accumulate(np.where(new, k, 0))
+    return again * _BASE**3 + c, begin
+
+
+def _blocks(entries: list[bytes]) -> Iterator[list[bytes]]:
+    """Entries by length, in blocks that bound the table of their trigrams."""
+    block, size = [], 0
+    for e in sorted(entries, key=len):
+        if block and (len(block) == BLOCK or size + len(e) > BLOCK_GRAMS):
+            yield block
+            block, size = [], 0
+        block.append(e)
+        size += len(e) + 2
+    if block:
+        yield block
+
+
+def _near(keys: list[bytes], entries: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """For each block and key: the key's number, the entries that may be alike, and the block.
+
+    An edit spoils three trigrams at most, so texts within a fifth of the longer one's length share all others. For each
+    trigram of a block there is a row that tells which of its entries have it; the sum of a key's rows is what it shares.
     """
-    rare = lambda g: F.struct(F.substring(F.lit(common), g["code"], F.lit(1)).alias("common"), g["code"].alias("code"), g["at"].alias("at"))
-    first = F.slice(F.array_sort(F.transform(_grams(F.col(column)), rare)), F.lit(1), F.expr(f"(3 * length({column})) div {EDITS} + {SHARED}"))
-    shown = keys.withColumn("_g", F.explode(F.filter(first, lambda g: g["common"] != F.lit(b"\0"))))
-    return shown.select(*keys.columns, F.col("_g.code").alias("_code"), F.col("_g.at").alias("_at"))
-
-
-def alike(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
+    grams, begin = _grams(keys)
+    n = np.diff(begin) - 2
+    for block in _blocks(entries):
+        own, first = _grams(block)
+        m = np.diff(first) - 2
+        known, row = np.unique(own, return_inverse=True)
+        has = np.zeros((len(known) + 1, len(block)), np.uint8)
+        has[row, np.repeat(np.arange(len(block)), m + 2)] = 1
+        place = np.searchsorted(known, grams)
+        found = known[np.minimum(place, len(known) - 1)] == grams
+        # A key's length says which entries count: those of a length within a quarter.
+        low, high = np.searchsorted(m, n - n // EDITS), np.searchsorted(m, n + n // (EDITS - 1), "right")
+        for k in np.flatnonzero(low < high):
+            a, b = begin[k], begin[k + 1]
+            part = place[a:b][found[a:b]]
+            kind = np.uint8 if len(part) < 256 else np.uint32
+            shared = has[part, low[k] : high[k]].sum(0, dtype=kind)
+            longer = np.maximum(n[k], m[low[k] : high[k]])
+            near = np.flatnonzero(shared >= longer + 2 - 3 * (longer // EDITS))
+            if len(near):
+                yield k, near + low[k], block
+
+
+def _candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+    keys, entries = ([t.encode() for t in t[c].to_pylist()] for t, c in ((left, "key"), (right, "match")))
+    found = [(keys[k], block[i]) for k, near, block in (_near(keys, entries) if keys and entries else ()) for i in near]
+    return pa.table({c: pa.array([f[i] for f in found], pa.binary()).cast(pa.string()) for i, c in enumerate(("key", "match"))})
+
+
+def alike(keys: DataFrame, dictionary: DataFrame, about: int | None = None) -> DataFrame:
     """key, match: every pair of a comparison key and an entry of similarity .8 or more, each pair once.
 
-    keys: key; dictionary: match; both as `text.fold` leaves them. Empty keys are like empty entries only; nulls are like
-    nothing. Pairs meet by rare trigrams at nearly one place and by their length's band; those that share too few are not
-    compared, and none that is similar is left out. Where the dictionary is small, Spark broadcasts its index and
-    what is shuffled are distinct keys and counts of pairs.
+    keys: key; dictionary: match; both as `text.fold` leaves them; about: how many keys there may be, else they are counted.
+    Empty keys are like empty entries only; nulls are like nothing. Groups of about KEYS keys meet groups of about ENTRIES
+    entries; there trigrams are counted in one table, and only pairs that share as many as such similarity leaves go on
+    to have their distance taken: no other pair is made, and none that is similar is left out. What is shuffled are
+    distinct keys, once for each group of entries, and entries, once for each group of keys.
     """
+    keys = keys.select("key").where("key IS NOT NULL").distinct()
     dictionary = dictionary.select("match").where("match IS NOT NULL").distinct()
-    common = _commonness(dictionary)
-    # Lengths that differ by a quarter at most are in one band or in neighbouring ones.
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / math.log(1.3)).cast("int")
-    # Copies of a key are one; the comparisons of few keys are many, so these are dealt to all tasks.
-    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = keys.select("key").where("key IS NOT NULL").distinct().repartition(tasks, "key")
-    x = _index(keys.withColumn("_n", F.length("key")), "key", common).withColumn("_band", band("key"))
-    y = _index(dictionary.withColumn("_m", F.length("match")), "match", common).withColumnRenamed("_at", "_to")
-    y = y.withColumn("_band", F.explode(F.array(*(band("match") + i for i in (-1, 0, 1)))))
-    most = f"cast(greatest(_n, _m) div {EDITS} AS int)"
-    near = (F.abs(F.col("_n") - F.col("_m")) <= F.expr(most)) & (F.abs(F.col("_at") - F.col("_to")) <= F.expr(most))
-    met = x.join(y, ["_code", "_band"]).where(near).groupBy("key", "match", "_n", "_m").agg(F.count(F.lit(1)).alias("_shared"))
-    need = F.least(F.lit(SHARED), 2 + F.ceil(F.least("_n", "_m") * 2 / EDITS))
-    # One predicate: as two, the distance would be moved below the count, to every trigram that meets.
-    near = F.when(F.col("_shared") >= need, F.expr(f"levenshtein(key, match, {most})")).otherwise(-1) >= 0
-    return met.where(near).select("key", "match")
+    groups = lambda n, most: max(1, math.ceil(n / most))
+    x, y = groups(keys.count() if about is None else about, KEYS), groups(dictionary.count(), ENTRIES)
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = keys.withColumn("_x", hashed("key", x)).withColumn("_y", every(y))
+    right = dictionary.withColumn("_y", hashed("match", y)).withColumn("_x", every(x))
+    # The groups are small and their work is large, so their number decides over the tasks, not their bytes.
+    tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(x * y, MOST_TASKS))
+    left, right = (t.repartition(tasks, "_x", "_y").groupBy("_x", "_y") for t in (left, right))
+    met = left.cogroup(right).applyInArrow(_candidates, "key string, match string")
+    most = f"cast(greatest(length(key), length(match)) div {EDITS} AS int)"
+    return met.where(F.expr(f"levenshtein(key, match, {most}) >= 0"))
 
 
 def original_texts(of: DataFrame, guidance: DataFrame, bibliography: tuple[str, ...] = BIBLIOGRAPHY) -> DataFrame:
@@ -96,7 +133,7 @@ def original_texts(of: DataFrame, guidance: DataFrame, bibliography: tuple[str,
     """
     lines = of.where("text IS NOT NULL").select("doc_id", "ord", F.trim("text").alias("text"), "title", "heading", "section").withColumn("key", T.fold(F.col("text")))
     lines = materialize(lines, "lines")
-    known = alike(lines.where(F.length("text") >= MIN_LINE), guidance.select(T.key(F.col("text")).alias("match"))).select("key").distinct()
+    known = alike(lines.where(F.length("text") >= MIN_LINE), guidance.select(T.key(F.col("text")).alias("match")), lines.count()).select("key").distinct()
     lines = lines.join(known.withColumn("guided", F.lit(True)), "key", "left")
     over = F.max(F.when(F.col("heading"), F.col("title"))).over(Window.partitionBy("doc_id", "section"))
     named = F.coalesce(T.fold(F.col("over")), F.lit(""))
@@ -123,7 +160,7 @@ def residue(of: DataFrame, guidance: DataFrame, on: tuple[str, ...] = ()) -> Dat
     body = materialize(body.select("doc_id", "section", "text", "heading", "key", "n", *on), "lines")
     rules = guidance.select(*on, T.key(F.col("text")).alias("match"))
     line = ~F.col("heading") & (F.length(F.trim("text")) > 0)
-    pairs = alike(body.where(line), rules)
+    pairs = alike(body.where(line), rules, body.count())
     known = pairs.join(rules, "match").select("key", *on).distinct().withColumn("guided", F.lit(True))
     told = F.sum(F.when(line & F.col("guided"), F.col("n")).otherwise(0))
     out = body.join(known, ["key", *on], "left").groupBy("doc_id", "section").agg(F.sum("n").alias("n_words"), told.alias("guidance_words"))

@@ -112,3 +112,17 @@ def test_keys_hold_only_what_the_index_knows(spark):
     odd = "Ğ İ ı ß 漢字 \t á _-7"
     key = spark.createDataFrame([(odd,)], "t string").select(T.key(O.F.col("t"))).collect()[0][0]
     assert set(key) <= set(O._ALPHABET)
+
+
+def test_alike_in_many_groups_and_only_pairs_that_share_enough(spark, monkeypatch):
+    r = random.Random(8)
+    syllables = "the on er ing ti st an nd re ha".split()
+    line = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(12))
+    entries = sorted({line() for _ in range(30)})
+    keys = sorted({line() for _ in range(300)} | {edited(r, e, 4) for e in entries})
+    found = O._candidates(O.pa.table({"key": keys}), O.pa.table({"match": entries})).to_pylist()
+    want = {(k, e) for k in keys for e in entries if abs(len(k) - len(e)) <= max(len(k), len(e)) // 5 and like(k, e)}
+    assert len(want) >= 30 and want <= {(f["key"], f["match"]) for f in found} and len(found) < len(keys) * len(entries) // 20
+    monkeypatch.setattr(O, "KEYS", 40)
+    monkeypatch.setattr(O, "ENTRIES", 7)
+    assert {tuple(p) for p in O.alike(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(e,) for e in entries], "match string")).collect()} == want
