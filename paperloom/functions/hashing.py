@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import bound_batches
+
 #: FNV-1a, 32 bits.
 FNV_START, FNV_PRIME, MASK = 2166136261, 16777619, 0xFFFFFFFF
 #: Slots of a signature, and the seed and constants of the generator of its permutations.
@@ -76,6 +78,7 @@ def sign(df: DataFrame, key: str, size: int) -> DataFrame:
     """`df` with the column `key` replaced by n_shingles and signature of its runs of `size` words, in Arrow batches."""
     import pyarrow as pa
 
+    bound_batches(df.sparkSession)
     kept = [c for c in df.columns if c != key]
 
     def run(batches):
