@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from paperloom.session import bound_batches
+
 #: Side of the shrunk image and of the block of low frequencies, least side of an image that is hashed,
 #: weights of red, green and blue, mean deviation that an image with something on it exceeds.
 SIDE, BLOCK, MIN_SIDE, LUMA, MIN_DEVIATION = 32, 8, 48, (0.299, 0.587, 0.114), 6
@@ -76,6 +78,8 @@ def describe(images: DataFrame, to: tuple[int, int]) -> DataFrame:
     colour. All three are null where the pixels are missing or do not fill the stated size. An image never leaves its task.
     """
 
+    bound_batches(images.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("pixels", "width", "height", "channels")), strict=True))

@@ -150,3 +150,15 @@ def test_words_never_travel_alone_and_lines_travel_once(spark):
     plan = structure.sections(items(docs))._jdf.queryExecution().executedPlan().toString()
     # The lines by document, and the number of pages of each document.
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_batches_of_signatures_and_images_are_bounded(spark):
+    from paperloom.functions import hashing, images
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, key string")
+    pixels = spark.createDataFrame([], "image_id long, width int, height int, channels int, pixels binary")
+    for made in (lambda: hashing.sign(docs, "key", 4), lambda: images.describe(pixels, (2, 2))):
+        spark.conf.unset(key)
+        made()
+        assert int(spark.conf.get(key)) <= 4 << 20
