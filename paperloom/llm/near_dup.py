@@ -30,6 +30,8 @@ _WORDS = [f"s{i}" for i in range(SLOTS // 64 * BITS)]
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, small array<long>, " + ", ".join(f"{s} long" for s in _WORDS)
 _SETS = "node long, shingles binary"
+#: Parts, by hash, in which the shingles that a set shares with other components are counted.
+PARTS = 64
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,6 +105,31 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
+        row = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        grams = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(row), batch.column("label").take(row), grams], names=["node", "label", "gram"])
+
+
+def cores(sets: DataFrame) -> DataFrame:
+    """node, core: for each of `sets` (node, label, shingles), how many of its shingles other labels have too, in PARTS parts by hash.
+
+    Two sets of different labels share at most the sum of the lesser counts of each part; what only one label has counts for
+    none. Sets without such a shingle have no row.
+    """
+    grams = sets.select("node", "label", "shingles").mapInArrow(_spread, "node long, label long, gram long")
+    across = grams.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+    n = grams.join(across, "gram").groupBy("node", F.pmod("gram", F.lit(PARTS)).cast("int").alias("part")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    n = n.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))
+    return n.select("node", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(0))).alias("core"))
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda n, k: n + k)
+
+
 def estimate(x: str, y: str) -> Column:
     """Similarity from the kept bits of two signatures: equal slots by bit counts, less chance collisions."""
     n = SLOTS // 64
@@ -123,14 +150,14 @@ def possible(x: str, y: str, percent: int, min_estimate: float) -> Column:
     return (100 * least >= percent * most) & F.when(small, exact).otherwise(estimate(x, y) >= min_estimate)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough.
-
-    Only documents that occur in a pair are shingled again; each pair then carries two sets to one task, never a group.
-    """
-    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+def _full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """`nodes` (node, others) with the full sets of these documents, which only now are shingled again."""
     sets = docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(_shingle_sets, _SETS)
-    sets = materialize(sets, "sets")
+    return materialize(sets, "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough; each carries two sets to one task, never a group."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return materialize(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lambda t: _linked(t, percent), "a long, b long"), "links")
@@ -152,7 +179,8 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT, min_estimate: f
     2. In each bucket of a band, every class pairs with one pivot, so pairs grow with the bucket, not its square.
     3. Pairs that the signatures do not rule out are confirmed on the full sets; the links give first components.
     4. Buckets that still hold several components pair what is outside the largest with all the rest, so that no link
-       between components is lost; those pairs are confirmed as well.
+       between components is lost. Only pairs go on whose shingles in common with other components, counted exactly,
+       suffice for a link; those are confirmed as well.
     """
     W.bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -176,7 +204,8 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT, min_estimate: f
 
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(estimated(stars), "stars")
-    links = _confirm(stars, docs, percent)
+    ends = materialize(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    links = _confirm(stars, _full_sets(ends, docs), percent)
     comp = components(links)
     label = materialize(_labelled(members.select("node").distinct(), comp), "labels")
     with_label = members.select("key", "node").join(label, "node")
@@ -185,16 +214,22 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT, min_estimate: f
     open_ = materialize(with_label.join(main.where("labels > 1"), "key"), "open")
     outside = open_.where("label != main").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
     inside = open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "main")
-    carried = lambda t, c: t.join(sketch.withColumnRenamed("node", "_n"), F.col(c) == F.col("_n")).drop("_n")
-    x, y = carried(outside, "a").withColumnRenamed("sketch", "x"), carried(inside, "b").withColumnRenamed("sketch", "y")
+    sets = _full_sets(materialize(open_.select("node").distinct(), "nodes"), docs)
+    # A set that shares too little with all other components together has no link to any of them.
+    core = cores(sets.join(label, "node")).join(sketch, "node").withColumn("n", _total(F.col("core")))
+    core = materialize(core.where(100 * F.col("n") >= percent * F.col("sketch.n_shingles")), "cores")
+    carried = lambda t, c, s: t.join(core.select(F.col("node").alias("_n"), F.struct("sketch.*", "core", F.col("n").alias("total")).alias(s)), F.col(c) == F.col("_n")).drop("_n")
+    x, y = carried(outside, "a", "x"), carried(inside, "b", "y")
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     # A pair that shares several buckets comes from the first of them only.
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == x["key"]
-    late = x.join(y, (x["key"] == y["key"]) & apart & possible("x", "y", percent, min_estimate) & once).select("a", "b")
+    enough = lambda most: (100 + percent) * most >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    shared = _total(F.zip_with("x.core", "y.core", lambda i, j: F.least(i, j)))
+    late = x.join(y, (x["key"] == y["key"]) & apart & enough(F.least("x.total", "y.total")) & possible("x", "y", percent, min_estimate) & once & enough(shared)).select("a", "b")
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     late = materialize(late.join(seen, ["a", "b"], "left_anti"), "late")
-    links = links.unionByName(_confirm(late, docs, percent))
+    links = links.unionByName(_confirm(late, sets, percent))
     comp = components(links)
     named = classes.select(F.col("digest").alias("_d"), "node")
     named = _labelled(named, comp).withColumnsRenamed({"node": "class_id", "label": "component_id"})

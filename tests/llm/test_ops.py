@@ -255,6 +255,41 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_duplicates_of_a_group_of_unlike_texts_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(150)]
+    rows = []
+    for i in range(200):
+        t = list(base)
+        for k in range(2):
+            t[rng.randrange(10, 140)] = f"x{i}.{k}"
+        rows.append((i, " ".join(t)))
+    made, write = {}, near_dup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = out.count() if label == "late" else None
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows)
+    assert made["late"] < 1000  # of 19,900 pairs
+
+
+def test_cores_bound_what_sets_share(spark):
+    rng = random.Random(9)
+    sets = {n: (n % 3, set(rng.sample(range(-50, 50), rng.randrange(40)))) for n in range(30)}
+    rows = [(n, label, np.array(sorted(s), np.int64).tobytes()) for n, (label, s) in sets.items()]
+    core = {r.node: r.core for r in near_dup.cores(spark.createDataFrame(rows, "node long, label long, shingles binary")).collect()}
+    for n, (label, s) in sets.items():
+        others = set().union(*(t for k, t in sets.values() if k != label))
+        assert sum(core.get(n, [0])) == len(s & others)
+        for m, (k, t) in sets.items():
+            most = sum(map(min, core[n], core[m])) if n in core and m in core else 0
+            assert k == label or most >= len(s & t)
+
+
 def test_near_duplicates_of_short_documents(spark):
     rng = random.Random(11)
     rows = []
