@@ -131,21 +131,24 @@ def original_texts(of: DataFrame, guidance: DataFrame, bibliography: tuple[str,
     taken if they are more (`whole`): a document without headings must not end up with nothing to compare. A document with
     no line of its own has an empty text. Null texts are no lines; copies of a line all stay.
     """
-    lines = of.where("text IS NOT NULL").select("doc_id", "ord", F.trim("text").alias("text"), "title", "heading", "section").withColumn("key", T.fold(F.col("text")))
-    lines = materialize(lines, "lines")
-    known = alike(lines.where(F.length("text") >= MIN_LINE), guidance.select(T.key(F.col("text")).alias("match")), lines.count()).select("key").distinct()
-    lines = lines.join(known.withColumn("guided", F.lit(True)), "key", "left")
+    lines = of.where("text IS NOT NULL").select("doc_id", "ord", F.trim("text").alias("text"), "title", "heading", "section")
     over = F.max(F.when(F.col("heading"), F.col("title"))).over(Window.partitionBy("doc_id", "section"))
     named = F.coalesce(T.fold(F.col("over")), F.lit(""))
     listed = reduce(lambda a, b: a | F.startswith(named, T.fold(F.lit(b))), bibliography, F.lit(False))
-    lines = lines.withColumn("over", over).withColumn("listed", listed & (F.col("section") > 0))
-    kept = (F.length("text") >= MIN_LINE) & F.col("guided").isNull()
-    own = kept & (F.col("section") > 0) & ~F.col("heading") & ~F.col("listed")
-    n_own, n_kept = F.count(F.when(own, 1)), F.count(F.when(kept, 1))
-    sums = lines.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(kept, F.struct("ord", "text", own.alias("own"))))).alias("lines"), ((n_own < MIN_PIECES) & (n_kept > n_own)).alias("whole")
-    )
-    taken = sums.withColumn("lines", F.filter("lines", lambda r: F.col("whole") | r["own"]))
+    own = (F.col("section") > 0) & ~F.col("heading") & ~(listed & (F.col("section") > 0))
+    line = F.when(F.length("text") >= MIN_LINE, F.struct("ord", "text", F.coalesce(own, F.lit(False)).alias("own")))
+    # Texts are gathered by document where the outline has them, and travel no more but as distinct keys.
+    docs = materialize(lines.withColumn("over", over).groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines")), "originals")
+    keys = docs.select("doc_id", F.posexplode("lines").alias("at", "line")).select("doc_id", "at", T.fold(F.col("line.text")).alias("key"))
+    n = docs.agg(F.sum(F.size("lines"))).first()[0] or 0
+    known = materialize(alike(keys, guidance.select(T.key(F.col("text")).alias("match")), n).select("key").distinct(), "known")
+    guided = keys.join(known, "key", "left_semi").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("at").alias("guided"))
+    found = docs.join(guided, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    told = F.coalesce("guided", F.array().cast("array<int>"))
+    kept = found.select("doc_id", F.filter("lines", lambda r, i: ~F.array_contains(told, i)).alias("lines"))
+    n_own = F.size(F.filter("lines", lambda r: r["own"]))
+    kept = kept.withColumn("whole", (n_own < MIN_PIECES) & (F.size("lines") > n_own))
+    taken = kept.withColumn("lines", F.filter("lines", lambda r: F.col("whole") | r["own"]))
     return taken.select("doc_id", F.array_join(F.transform("lines", lambda r: r["text"]), "\n").alias("text"), F.size("lines").alias("n_pieces"), "whole")
 
 

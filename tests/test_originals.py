@@ -126,3 +126,18 @@ def test_alike_in_many_groups_and_only_pairs_that_share_enough(spark, monkeypatc
     monkeypatch.setattr(O, "KEYS", 40)
     monkeypatch.setattr(O, "ENTRIES", 7)
     assert {tuple(p) for p in O.alike(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(e,) for e in entries], "match string")).collect()} == want
+
+
+def test_original_texts_write_each_text_once(spark, monkeypatch):
+    written, write = [], O.materialize
+
+    def kept(df, label):
+        written.append(df.columns)
+        return write(df, label)
+
+    monkeypatch.setattr(O, "materialize", kept)
+    rows = [(1, k, f"line {k} of the report itself", None, False, 0) for k in range(4)] + [(None, 1, "a line of guidance here", None, False, 0), (2, 1, None, None, False, 0), (3, 1, "short", None, False, 0)]
+    found = texts(spark, rows, ["a line of guidance here", "line 2 of the report itself"])
+    # The lines of the first document are alike.
+    assert found == {1: ("", 0, False), None: ("", 0, False), 3: ("", 0, False)}
+    assert written == [["doc_id", "lines"], ["key"]]
