@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from paperloom.session import bound_batches
 SIDE, BLOCK, MIN_SIDE, LUMA, MIN_DEVIATION = 32, 8, 48, (0.299, 0.587, 0.114), 6
 
 
+@lru_cache(64)
 def boxes(size: int, n: int) -> np.ndarray:
     """The n x size matrix that averages `size` pixels into `n` boxes, of one pixel at least."""
     at = np.arange(n + 1) * size // n
@@ -29,6 +31,12 @@ def _waves() -> np.ndarray:
     return np.cos(np.outer(np.arange(BLOCK), 2 * np.arange(SIDE) + 1) * np.pi / (2 * SIDE))
 
 
+@lru_cache(64)
+def _low_waves(size: int) -> np.ndarray:
+    """The waves over the SIDE boxes of `size` pixels."""
+    return _waves() @ boxes(size, SIDE)
+
+
 def _grid(pixels: bytes | None, width: int | None, height: int | None, channels: int | None) -> np.ndarray | None:
     """height x width x channels; None where a part is missing or the sizes do not fit."""
     if not pixels or not width or not height or channels not in (1, 3, 4) or len(pixels) != width * height * channels:
@@ -45,8 +53,7 @@ def image_hash(pixels: bytes | None, width: int | None, height: int | None, chan
     if g is None or min(width, height) < MIN_SIDE:
         return None
     gray = g[:, :, 0] if channels == 1 else g[:, :, :3] @ np.array(LUMA)
-    waves = _waves()
-    low = ((waves @ boxes(height, SIDE)) @ gray @ (waves @ boxes(width, SIDE)).T).reshape(-1)[1:]
+    low = (_low_waves(height) @ gray @ _low_waves(width).T).reshape(-1)[1:]
     bits = np.append(low > np.sort(low)[len(low) // 2], False)
     return int(np.packbits(bits).view(">i8")[0])
 
@@ -90,3 +97,17 @@ def describe(images: DataFrame, to: tuple[int, int]) -> DataFrame:
 
     kind = dict(images.dtypes)["image_id"]
     return images.select("image_id", "width", "height", "channels", "pixels").mapInArrow(run, f"image_id {kind}, hash long, thumb binary, says_something boolean")
+
+
+def hashes(images: DataFrame) -> DataFrame:
+    """image_id, hash as in `describe`, which makes thumbnails as well."""
+    bound_batches(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("pixels", "width", "height", "channels")), strict=True)
+            found = pa.array([image_hash(*r) for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), found], names=["image_id", "hash"])
+
+    kind = dict(images.dtypes)["image_id"]
+    return images.select("image_id", "width", "height", "channels", "pixels").mapInArrow(run, f"image_id {kind}, hash long")

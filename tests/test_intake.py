@@ -47,6 +47,14 @@ def test_descriptions(spark):
     assert [(r["image_id"], r["thumb"] and bytes(r["thumb"])) for r in found[3:]] == [(4, None), (5, bytes([1] * 6)), (5, None)]
 
 
+def test_hashes_are_those_of_descriptions_without_thumbnails(spark):
+    rows = [(n, 48 + n % 3, 50, 1, bytes((n * x * x + x) % 251 for x in range((48 + n % 3) * 50))) for n in range(6)] + [(7, 4, 2, 1, b"short"), (8, None, 2, 3, None)]
+    pixels = spark.createDataFrame(rows, "image_id long, width int, height int, channels int, pixels binary")
+    found = I.hashes(pixels)
+    assert found.columns == ["image_id", "hash"]
+    assert {tuple(r) for r in found.collect()} == {(r["image_id"], r["hash"]) for r in I.describe(pixels, (2, 2)).collect()}
+
+
 def test_cover_fields(spark):
     lines = [
         (1, 1, 1, "Takım Adı:", False), (1, 2, 1, "Proje Adı:", False), (1, 3, 1, "Uçan  Araba", None), (1, 4, 1, "TAKIM ISMI: Göktürk", False),
