@@ -100,11 +100,15 @@ def containment(jaccard: Column, x: Column, y: Column) -> Column:
 
 def median_bits(vector: Column) -> Column:
     """64-bit image hash of 64 numbers: bit i is set where number i exceeds their median."""
-    middle = F.get(F.array_sort(vector), F.lit(32))
-    low = F.get(F.array_sort(vector), F.lit(31))
-    m = (middle.cast("double") + low.cast("double")) / 2
-    bits = F.transform(vector, lambda x, i: F.when(x.cast("double") > m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    # The sorted numbers and their median are bound once, not for each number.
+    let = lambda value, of: F.element_at(F.transform(F.array(value), of), 1)
+    middle = let(F.array_sort(vector), lambda s: (F.get(s, F.lit(32)).cast("double") + F.get(s, F.lit(31)).cast("double")) / 2)
+
+    def bits(m: Column) -> Column:
+        set_ = F.transform(vector, lambda x, i: F.when(x.cast("double") > m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(set_, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+
+    return let(middle, bits)
 
 
 def hamming(x: Column, y: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +14,8 @@ from paperloom.session import materialize
 
 SHINGLE = 4
 SENTENCE_JACCARD, IMAGE_BITS, BASE_THRESHOLD, MIN_SENTENCES, MIN_SPREAD = 0.55, 6, 0.22, 3, 0.08
-#: Start and width of the bands of a 64-bit hash: two hashes within 6 bits agree on one of the seven.
-BANDS = [(i * 9, 9) for i in range(6)] + [(54, 10)]
+#: Most blocks of a hash that make a key together.
+MOST_BLOCKS = 4
 
 
 def shingles(key: Column, size: int = SHINGLE) -> Column:
@@ -122,21 +125,38 @@ def sentence_matches(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
     return n.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") >= SENTENCE_JACCARD).drop("na", "nb", "both")
 
 
+def block_masks(n: int) -> list[int]:
+    """Parts of a 64-bit hash, as signed masks, one of which any two hashes within IMAGE_BITS bits have in common.
+
+    Of IMAGE_BITS + m blocks, as many changed bits leave m alone, so every m of them are a part. The more hashes there are
+    (`n`), the more bits a part has: m is what costs least, counting a row for each hash and part and one for each pair that
+    meets by chance.
+    """
+
+    def cost(m: int) -> float:
+        return math.comb(IMAGE_BITS + m, m) * (n + n * n / 2 ** (64 * m / (IMAGE_BITS + m)))
+
+    m = min(range(1, MOST_BLOCKS + 1), key=cost)
+    cut = [64 * i // (IMAGE_BITS + m) for i in range(IMAGE_BITS + m + 1)]
+    blocks = [(1 << end) - (1 << at) for at, end in zip(cut, cut[1:], strict=False)]
+    return [(mask ^ 1 << 63) - (1 << 63) for mask in map(sum, combinations(blocks, m))]
+
+
 def image_matches(images: DataFrame) -> DataFrame:
     """Pairs of hashes (image_id, hash) within 6 of 64 bits: a, b, distance. Hashes that say nothing are left out.
 
-    Equal hashes form a class, named by its smallest image: each other member is linked to it at distance 0, and classes
-    a < b meet each other. Seven bands leave no pair out: six changed bits can't touch all of them.
+    Equal hashes form a class, named by its smallest image; each other member is linked to it at distance 0, and classes
+    a < b meet each other in the parts they have in common, see `block_masks`: no pair is left out.
     """
-    good = images.where(H.informative(F.col("hash")))
+    good = materialize(images.select("image_id", "hash").where(H.informative(F.col("hash"))), "hashes")
     c = good.groupBy("hash").agg(F.min("image_id").alias("image_id"))
     copies = good.join(c.select("hash", F.col("image_id").alias("a")), "hash").where("image_id <> a").select("a", F.col("image_id").alias("b"), F.lit(0).alias("distance"))
-    band = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", at).bitwiseAND(F.lit((1 << n) - 1)).alias("bits")) for i, (at, n) in enumerate(BANDS)]
-    e = c.select("image_id", "hash", F.explode(F.array(*band)).alias("k")).select("image_id", "hash", "k.band", "k.bits")
-    x = e.select(F.col("image_id").alias("a"), F.col("hash").alias("ha"), "band", "bits")
-    y = e.select(F.col("image_id").alias("b"), F.col("hash").alias("hb"), "band", "bits")
+    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(c.count())])
+    e = c.select("image_id", "hash", F.posexplode(masks).alias("part", "mask")).select("image_id", "hash", "part", F.col("hash").bitwiseAND(F.col("mask")).alias("bits"))
+    x = e.select(F.col("image_id").alias("a"), F.col("hash").alias("ha"), "part", "bits")
+    y = e.select(F.col("image_id").alias("b"), F.col("hash").alias("hb"), "part", "bits")
     near = (F.col("a") < F.col("b")) & (H.hamming(F.col("ha"), F.col("hb")) <= IMAGE_BITS)
-    return x.join(y, ["band", "bits"]).where(near).select("a", "b", H.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct().unionByName(copies)
+    return x.join(y, ["part", "bits"]).where(near).select("a", "b", H.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct().unionByName(copies)
 
 
 def flag(pairs: DataFrame, limits: DataFrame) -> DataFrame:

@@ -193,3 +193,19 @@ def test_repair_of_every_kind_of_damage(spark):
     got = [tuple(r) for r in df.select("t", T.repair(F.col("t")), T.key(F.col("t"))).collect()]
     assert {r[0]: r[1] for r in got} == cases | {None: None}
     assert {r[0]: r[2] for r in got} == {"Ã–ÄŸrenci": "ogrenci", "Ýstanbul": "istanbul", "o\ufb03ce \u201cx\u201d": "office x", "su\u0308re": "sure", "g\u02d8u": "gu", "e\u0301a": "a", "a\u200bb": "a b", "a \t b": "a b", None: None}
+
+
+def test_parts_of_hashes_leave_no_pair_out_and_grow_with_their_number():
+    import random
+
+    from paperloom.operators.similarity import IMAGE_BITS, block_masks
+
+    draw, sizes = random.Random(4), []
+    for n in (0, 10, 3000, 300_000, 30_000_000):
+        masks = block_masks(n)
+        assert all(-(1 << 63) <= m < 1 << 63 for m in masks) and len(masks) < 300
+        for _ in range(2000):
+            changed = sum(1 << b for b in draw.sample(range(64), IMAGE_BITS))
+            assert any(changed & m & (1 << 64) - 1 == 0 for m in masks)
+        sizes.append(min((m & (1 << 64) - 1).bit_count() for m in masks))
+    assert sizes == sorted(sizes) and sizes[0] >= 9 and sizes[-1] >= 24
