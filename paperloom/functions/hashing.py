@@ -45,33 +45,62 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     return np.array(out[::2], np.uint64) | np.uint64(1), np.array(out[1::2], np.uint64)
 
 
-_MULTIPLIERS, _ADDENDS = permutations()
+#: 32 bits wrap around by themselves.
+_MULTIPLIERS, _ADDENDS = (x.astype(np.uint32) for x in permutations())
+#: Hashes of a signature's step, and runs of words hashed at once: what they need stays in a core's cache.
+_STEP, _RUNS = 512, 1 << 16
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """MinHash signature of 32-bit hashes: per slot the least of ((h * a + b) mod 2^32) / 2."""
-    least = np.full(SLOTS, MASK, np.uint64)
     if not len(hashes):
         return np.full(SLOTS, EMPTY_SLOT, np.int32)
-    h = np.asarray(hashes).astype(np.uint64)
-    for i in range(0, len(h), 4096):
-        least = np.minimum(least, ((h[i : i + 4096, None] * _MULTIPLIERS + _ADDENDS) & np.uint64(MASK)).min(axis=0))
-    return (least >> np.uint64(1)).astype(np.int32)
+    h, least = np.asarray(hashes).astype(np.uint32), np.full(SLOTS, MASK, np.uint32)
+    for i in range(0, len(h), _STEP):
+        least = np.minimum(least, (h[i : i + _STEP, None] * _MULTIPLIERS + _ADDENDS).min(axis=0))
+    return (least >> np.uint32(1)).astype(np.int32)
+
+
+def _hash_runs(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """FNV-1a of `length` bytes of `data` from `first` on, for many runs at once; the longest stand in front."""
+    out = np.empty(len(first), np.uint32)
+    for i in range(0, len(first), _RUNS):
+        left = -length[i : i + _RUNS]
+        order = np.argsort(left, kind="stable")
+        at, left = first[i : i + _RUNS][order], left[order]
+        h, still = np.full(len(at), FNV_START, np.uint32), len(at)
+        for k in range(-int(left[0])):
+            if left[still - 1] >= -k:
+                still = int(np.searchsorted(left, -k))
+            h[:still] ^= data[at[:still]]
+            h[:still] *= np.uint32(FNV_PRIME)
+            at[:still] += 1
+        out[i : i + _RUNS][order] = h
+    return out
 
 
 def run_hashes(key: str, size: int) -> np.ndarray:
     """FNV-1a of each distinct run of `size` words of a comparison key, which is ASCII with single blanks."""
-    data = np.frombuffer(key.encode(), np.uint8)
-    blanks = np.flatnonzero(data == 32)
-    starts, ends = np.concatenate([[0], blanks + 1]), np.append(blanks, len(data))
-    if not len(data) or len(starts) < size:
-        return np.zeros(0, np.uint64)
-    first, length = starts[: len(starts) - size + 1], ends[size - 1 :] - starts[: len(starts) - size + 1]
-    h = np.full(len(first), FNV_START, np.uint64)
-    for k in range(int(length.max())):
-        at = np.flatnonzero(length > k)
-        h[at] = ((h[at] ^ data[first[at] + k]) * np.uint64(FNV_PRIME)) & np.uint64(MASK)
-    return np.unique(h)
+    return batch_run_hashes([key], size)[0]
+
+
+def batch_run_hashes(keys: list[str | None], size: int) -> list[np.ndarray]:
+    """`run_hashes` of each of many keys, whose runs are hashed together, byte by byte."""
+    first, length, counts, at = [], [], [], 0
+    data = np.frombuffer("".join(k or "" for k in keys).encode(), np.uint8)
+    for key in keys:
+        n = len(key or "")
+        blanks = np.flatnonzero(data[at : at + n] == 32) + at
+        starts, ends = np.concatenate([[at], blanks + 1]), np.append(blanks, at + n)
+        runs = max(0, len(starts) - size + 1) if n else 0
+        first.append(starts[:runs])
+        length.append(ends[len(ends) - runs :] - starts[:runs])
+        counts.append(runs)
+        at += n
+    if not sum(counts):
+        return [np.zeros(0, np.uint32) for _ in keys]
+    h = _hash_runs(data, np.concatenate(first), np.concatenate(length))
+    return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])]
 
 
 def sign(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -83,7 +112,7 @@ def sign(df: DataFrame, key: str, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hashes = [run_hashes(x.as_py() or "", size) for x in batch.column(key)]
+            hashes = batch_run_hashes(batch.column(key).to_pylist(), size)
             signs = np.concatenate([signature(h) for h in hashes]) if hashes else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1) * SLOTS, pa.int32()), pa.array(signs))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([len(h) for h in hashes], pa.int32()), lists], names=[*kept, "n_shingles", "signature"])

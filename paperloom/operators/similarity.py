@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,22 +59,119 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.join(c, ["category", "signature"]).select("doc_id", "category", "class_id", "copies")
 
 
-def signature_pairs(prints: DataFrame, at_least: int = 1) -> DataFrame:
+#: Classes of a block at most, more or less, and pairs of equal slots that a task has in hand at once.
+BLOCK, IN_HAND = 1 << 15, 1 << 22
+_PAIR = "category string, a long, b long, agree long, na int, nb int, ca long, cb long"
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray, at_least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i of `x` and j of `y` (signatures) that agree in `at_least` slots, and in how many; rows i ascend, each in one part."""
+    first, many, order = (np.empty((len(z), H.SLOTS), np.int32) for z in (x, x, y))
+    for s in range(H.SLOTS):
+        order[:, s] = o = np.argsort(y[:, s])
+        first[:, s] = np.searchsorted(y[o, s], x[:, s])
+        many[:, s] = np.searchsorted(y[o, s], x[:, s], "right") - first[:, s]
+    rows = np.flatnonzero((many > 0).sum(axis=1) >= at_least)
+    cost = np.cumsum(many[rows].sum(axis=1, dtype=np.int64) + len(y) // 8)
+    begin = 0
+    while begin < len(rows):
+        end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + IN_HAND)))
+        row = rows[begin:end]
+        i, s = np.nonzero(many[row])
+        n, at = many[row][i, s], first[row][i, s]
+        up = np.cumsum(n, dtype=np.int64)
+        at = np.repeat(at - (up - n), n) + np.arange(up[-1])
+        key = np.repeat(i * len(y), n) + order[at, np.repeat(s, n)]
+        if len(key) * 32 > len(row) * len(y):
+            count = np.bincount(key, minlength=len(row) * len(y))
+            key = np.flatnonzero(count >= at_least)
+            count = count[key]
+        else:
+            key, count = np.unique(key, return_counts=True)
+            key, count = key[count >= at_least], count[count >= at_least]
+        yield row[key // len(y)], key % len(y), count
+        begin = end
+
+
+def _best(i: np.ndarray, score: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Places of the `k` highest scores of each i (which ascend), ties to the smaller `other`."""
+    left, keep = score.copy(), np.zeros(len(i), bool)
+    begin = np.flatnonzero(np.diff(i, prepend=-1))
+    n = np.diff(np.append(begin, len(i)))
+    for _ in range(k):
+        hit = (left == np.repeat(np.maximum.reduceat(left, begin), n)) & ~keep
+        keep |= hit
+        left[hit] = -1
+    at = np.flatnonzero(keep)
+    at = at[np.lexsort((other[at], -score[at], i[at]))]
+    begin = np.flatnonzero(np.diff(i[at], prepend=-1))
+    return at[np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at)))) < k]
+
+
+def _meet(group: pa.Table, at_least: int, best: int | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of classes of two blocks of one category, see `signature_pairs`."""
+    block, doc, n, copies = (group[c].combine_chunks().to_numpy() for c in ("block", "doc_id", "n_shingles", "copies"))
+    least = float(group["least"][0].as_py())
+    signs = group["signature"].combine_chunks().flatten().to_numpy().reshape(-1, H.SLOTS)
+    halves = [np.flatnonzero(block == v) for v in np.unique(block)]
+    one, other = halves[0], halves[-1]
+    if len(halves) == 1 and group["u"][0].as_py() != group["v"][0].as_py():
+        return  # The other block is empty.
+    found = []
+    for x, y in [(one, other)] if best is None or len(halves) == 1 else [(one, other), (other, one)]:
+        for i, j, agree in _agreeing(signs[x], signs[y], at_least):
+            i, j = x[i], y[j]
+            keep = doc[i] != doc[j] if best is not None else (doc[i] < doc[j] if len(halves) == 1 else np.ones(len(i), bool))
+            i, j, agree = i[keep], j[keep], agree[keep]
+            if len(i) and (best is not None or least > 0):
+                jaccard, small = agree / H.SLOTS, np.minimum(n[i], n[j])
+                coverage = np.minimum(1.0, jaccard * (n[i] + n[j]) / (1 + jaccard) / small)
+                keep = coverage >= least if best is None else _best(i, np.maximum(coverage, jaccard), doc[j], best)
+                i, j, agree = i[keep], j[keep], agree[keep]
+            i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+            if best is None:
+                yield _pairs(group, doc, n, copies, i, j, agree)
+            else:
+                found.append((i, j, agree))
+    if found:
+        i, j, agree = (np.concatenate(c) for c in zip(*found, strict=True))
+        _, once = np.unique(i * len(doc) + j, return_index=True)
+        yield _pairs(group, doc, n, copies, i[once], j[once], agree[once])
+
+
+def _pairs(group: pa.Table, doc: np.ndarray, n: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+    category = group["category"].combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(i), np.int32)))
+    columns = [category, *(pa.array(c) for c in (doc[i], doc[j], agree.astype(np.int64), n[i], n[j], copies[i], copies[j]))]
+    return pa.RecordBatch.from_arrays(columns, names=["category", "a", "b", "agree", "na", "nb", "ca", "cb"])
+
+
+def signature_pairs(prints: DataFrame, at_least: int = 1, least: DataFrame | None = None, best: int | None = None) -> DataFrame:
     """Pairs a <= b of classes of one category that agree in `at_least` slots: agree, jaccard, coverage (containment from
     it), and n_pairs, the pairs of documents that a row stands for.
 
     Documents of equal signatures form a class, see `classes`, which tells the members; a class of several documents is a
-    pair with itself. Classes meet in the slots they share, never the copies within a class.
+    pair with itself. The classes of a category are dealt to blocks of BLOCK, and every two blocks meet in one task, which
+    counts the slots that two classes share: no pair travels but those that are asked for.
+    least: category, threshold; of its categories alone, the pairs of that coverage. best: only pairs that are, by the
+    larger of coverage and jaccard, among the `best` of one of their classes in the other's block, so that `nearest` finds
+    all it looks for; classes are no pairs with themselves then.
     """
-    c = prints.groupBy("category", "signature").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    c = materialize(c, "classes")
-    slots = c.select("category", "doc_id", F.posexplode("signature").alias("slot", "value"))
-    pairs = slots.alias("x").join(slots.alias("y"), ["category", "slot", "value"]).where(F.col("x.doc_id") < F.col("y.doc_id"))
-    n = pairs.groupBy("category", F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("agree")).where(F.col("agree") >= at_least)
-    own = c.where("copies > 1").select("category", F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(H.SLOTS).cast("long").alias("agree"))
-    size = c.select("doc_id", "n_shingles", "copies")
-    n = n.unionByName(own).join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("copies").alias("ca")), "a")
-    n = n.join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("copies").alias("cb")), "b")
+    c = prints.where("category IS NOT NULL").groupBy("category", "signature")
+    c = c.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    c = c if least is None else c.join(least.select("category", F.col("threshold").alias("least")), "category")
+    c = materialize(c if least is not None else c.withColumn("least", F.lit(0.0)), "classes")
+    size = c.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = c.join(size, "category").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("category", F.least("block", "with").alias("u"), F.greatest("block", "with").alias("v"), "block", F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "copies", "least", "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _meet(pa.Table.from_batches(list(batches)), at_least, best)
+
+    n = meets.groupBy("category", "u", "v").applyInArrow(run, _PAIR)
+    if best is None:
+        own = c.where("copies > 1 AND least <= 1").select("category", F.col("doc_id").cast("long").alias("a"), F.col("doc_id").cast("long").alias("b"), F.lit(H.SLOTS).cast("long").alias("agree"), F.col("n_shingles").alias("na"), F.col("n_shingles").alias("nb"), F.col("copies").alias("ca"), F.col("copies").alias("cb"))
+        n = n.unionByName(own)
     j = F.col("agree") / H.SLOTS
     weight = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca") * F.col("cb")).cast("long")
     return n.select("category", "a", "b", "agree", j.alias("jaccard"), H.containment(j, F.col("na"), F.col("nb")).alias("coverage"), weight.alias("n_pairs"))
@@ -113,6 +213,31 @@ def thresholds(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return total.join(med, "category").join(mad, "category").withColumn("threshold", limit)
 
 
+#: Parts that the values of a slot fall into where pairs of equal ones are only bounded.
+PARTS = 1 << 12
+
+
+def limits(prints: DataFrame) -> DataFrame:
+    """category, threshold as in `thresholds`, of fingerprints.
+
+    Where less than half of a category's pairs can agree in any slot, median and MAD are zero and no pair is made. That is
+    bounded by the pairs of different classes with values in the same part of a slot; the pairs of the other categories
+    are counted.
+    """
+    c = prints.where("category IS NOT NULL").groupBy("category", "signature").agg(F.count(F.lit(1)).alias("copies"))
+    own = c.groupBy("category").agg(F.sum("copies").alias("n"), F.sum(F.expr("copies * (copies - 1) div 2")).alias("alike"))
+    part = c.select("category", "copies", F.posexplode("signature").alias("slot", "value")).groupBy("category", "slot", F.col("value").bitwiseAND(F.lit(PARTS - 1)).alias("part"))
+    part = part.agg(F.sum("copies").cast("double").alias("all"), F.sum(F.col("copies").cast("double") * F.col("copies")).alias("own"))
+    bound = part.groupBy("category").agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("most"))
+    every = F.col("n") * (F.col("n") - 1.0) / 2
+    judged = own.join(bound, "category").select("category", "n", ((F.col("alike") + F.col("most")) * 2.000001 < every).alias("zero"))
+    judged = materialize(judged, "bounds")
+    doubt = judged.where("NOT zero")
+    counted = thresholds(signature_pairs(prints.join(doubt.select("category"), "category", "left_semi")), doubt.select("category", "n"))
+    plain = judged.where("zero").select("category", F.lit(max(BASE_THRESHOLD, MIN_SPREAD)).alias("threshold"))
+    return materialize(counted.select("category", "threshold").unionByName(plain), "limits")
+
+
 def sentence_matches(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sentence pairs of set similarity .55 or more, within candidate pairs (a, b) of documents only.
 

@@ -1,5 +1,6 @@
 """Known values of functions, and operators that no query reaches, on rows made by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,81 @@ def test_thresholds_count_copies(spark):
     assert all(r.n_pairs == 21 and r["median"] == 0.0 and r.threshold == 0.22 for r in t)
 
 
+def test_runs_of_many_keys_are_hashed_together():
+    keys = ["a b c d", None, "", "one two three", "foobar foobar foobar foobar x", "w" * 300 + " a b c d e"]
+    together = H.batch_run_hashes(keys, 4)
+    assert [x.tolist() for x in together] == [H.run_hashes(k or "", 4).tolist() for k in keys]
+    assert [len(x) for x in together] == [1, 0, 0, 0, 2, 3]
+
+
+@pytest.fixture
+def signed(spark):
+    """Fingerprints of a category with many equal values and of one with few, with copies and equal scores, and all pairs by brute force."""
+    rng, rows = np.random.default_rng(7), []
+    for d in range(150):
+        values = rng.integers(0, 4 if d % 3 else 4000, H.SLOTS).tolist() if d % 10 else [5] * H.SLOTS
+        rows.append((d * 7 % 151, "many" if d % 3 else "few", int(rng.integers(1, 60)) if d % 10 else 9, values))
+    rows.append((900, None, 3, [1] * H.SLOTS))
+    prints = spark.createDataFrame(rows, "doc_id long, category string, n_shingles int, signature array<int>")
+    classes = {}
+    for d, c, n, v in sorted(rows[:-1]):
+        classes.setdefault((c, tuple(v)), []).append((d, n))
+    want = {}
+    for (c, v), x in classes.items():
+        for (k, w), y in classes.items():
+            agree = sum(p == q for p, q in zip(v, w, strict=True))
+            (a, na), (b, nb) = x[0], y[0]
+            if c == k and agree and (a < b or v == w and len(x) > 1):
+                j = agree / H.SLOTS
+                n = len(x) * (len(x) - 1) // 2 if a == b else len(x) * len(y)
+                want[c, a, b] = (agree, j, min(1.0, j * (na + nb) / (1 + j) / min(na, nb)), n)
+    return prints, want
+
+
+@pytest.mark.parametrize("block", [20, 1 << 15])
+def test_blocks_of_classes_find_all_pairs(signed, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    prints, want = signed
+    for at_least in (1, 16):
+        got = similarity.signature_pairs(prints, at_least).collect()
+        assert len(got) == len({(r.category, r.a, r.b) for r in got})
+        assert {(r.category, r.a, r.b): (r.agree, r.jaccard, r.coverage, r.n_pairs) for r in got} == {k: v for k, v in want.items() if v[0] >= at_least}
+
+
+def test_pairs_in_hand_are_bounded(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 3, (40, H.SLOTS)).astype(np.int32), rng.integers(0, 3, (30, H.SLOTS)).astype(np.int32)
+    whole = [np.concatenate(c).tolist() for c in zip(*similarity._agreeing(x, y, 1), strict=True)]
+    monkeypatch.setattr(similarity, "IN_HAND", 5000)
+    parts = list(similarity._agreeing(x, y, 1))
+    assert len(parts) > 10 and [np.concatenate(c).tolist() for c in zip(*parts, strict=True)] == whole
+
+
+@pytest.mark.parametrize("block", [20, 1 << 15])
+def test_nearest_of_blocks(signed, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    prints, want = signed
+    near = {}
+    for (_, a, b), (_, j, cover, _) in want.items():
+        if a != b:
+            near.setdefault(a, []).append((-max(j, cover), b))
+            near.setdefault(b, []).append((-max(j, cover), a))
+    pairs = similarity.signature_pairs(prints, best=5)
+    assert pairs.count() < sum(a != b for _, a, b in want)
+    got = {(r.doc_id, r.place): (-r.score, r.other) for r in similarity.nearest(pairs, 5).collect()}
+    assert got == {(d, k + 1): x for d, of in near.items() for k, x in enumerate(sorted(of)[:5])}
+
+
+def test_limits_need_pairs_only_in_doubt(spark, signed):
+    prints, want = signed
+    sizes = prints.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    exact = {r.category: r.threshold for r in similarity.thresholds(similarity.signature_pairs(prints), sizes).collect() if r.category}
+    limits = similarity.limits(prints)
+    assert {r.category: r.threshold for r in limits.collect()} == exact and exact["few"] == 0.22 < exact["many"]
+    got = {(r.category, r.a, r.b) for r in similarity.signature_pairs(prints, least=limits).collect()}
+    assert got == {k for k, v in want.items() if v[2] >= exact[k[0]]} and len(got) < len(want)
+
+
 def test_document_structure(spark):
     lines = spark.createDataFrame([(1, i, p, x, s, h) for i, (p, x, s, h) in enumerate([(1, "Rapor 1", 10.1, False), (1, "1. Giris", 14.0, True), (1, "metin metin", 11.9, False), (2, "Rapor 2", 10.1, False), (2, "metin metin metin", 12.0, False), (3, "Rapor 3", 10.1, False)])], "doc_id long, ord int, page int, line string, size double, is_heading boolean")
     assert [(r.doc_id, r["mask"]) for r in checks.edge_lines(lines).collect()] == [(1, "Rapor #")]
