@@ -90,7 +90,7 @@ def similarity_classes(spark, d):
 SELECT doc_id, other, CAST(place AS INTEGER) AS place, floor(s * 1000 + 0.5) / 1000 AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, other) AS place FROM e) WHERE place <= 5""")
 def nearest_reports(spark, d):
-    n = S.nearest(S.signature_pairs(S.fingerprints(_docs(spark, d))))
+    n = S.nearest(S.signature_pairs(S.fingerprints(_docs(spark, d)), best=5), 5)
     return n.select("doc_id", "other", "place", round_up_half(F.col("score"), 3).alias("score"))
 
 
