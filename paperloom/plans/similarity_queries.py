@@ -100,8 +100,8 @@ SELECT category, a, b, floor(coverage * 1000 + 0.5) / 1000 AS coverage, n_pairs,
 def flagged_pairs(spark, d):
     """Classes over the threshold of their category, largest first; thresholds come from all pairs of documents, zeros included."""
     prints = S.fingerprints(_docs(spark, d))
-    pairs = S.signature_pairs(prints)
-    limits = S.thresholds(pairs, prints.groupBy("category").agg(F.count(F.lit(1)).alias("n")))
+    limits = S.limits(prints)
+    pairs = S.signature_pairs(prints, least=limits)
     plain = pairs.withColumn("n_images", F.lit(0)).withColumn("n_sentences", F.lit(0)).withColumn("same_team", F.lit(False))
     out = S.comment(S.flag(plain, limits)).orderBy(F.greatest("coverage", "jaccard").desc(), "a", "b")
     return out.select("category", "a", "b", round_up_half(F.col("coverage"), 3).alias("coverage"), "n_pairs", round_up_half(F.col("threshold"), 3).alias("threshold"), "remark")
