@@ -71,8 +71,10 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
-#: Characters of which none can be out of normal form C, alone or beside another.
+#: Characters of which none can be out of normal form C, alone or beside another, and all others: a search for one of
+#: these is several times faster than one for what is none of those.
 STEADY = "\\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+UNSTEADY = "\u0180-\u200f\u2028-\u202f\u205f-\u209f\u20c0-\U0010ffff"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -105,7 +107,7 @@ def _repaired(text: Column, normal: bool) -> Column:
     t = _spelled(text)
     if not normal:
         # No replacement makes a character that may be out of normal form, so the text as it came tells whether one can occur.
-        t = F.coalesce(nfc(F.when(text.rlike(f"[^{STEADY}]"), t)), t)
+        t = F.coalesce(nfc(F.when(text.rlike(f"[{UNSTEADY}]"), t)), t)
     return _where("[\u00a8\u00b8\u02d8-\u036f]", t, lambda x: F.regexp_replace(_in_turn(x, DETACHED, F.regexp_replace), "[\u0300-\u036f]", ""))
 
 

@@ -114,6 +114,14 @@ def test_thresholds_count_copies(spark):
     assert all(r.n_pairs == 21 and r["median"] == 0.0 and r.threshold == 0.22 for r in t)
 
 
+def test_unsteady_characters_are_all_that_are_not_steady():
+    import re
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    steady = set(re.findall(f"[{T.STEADY}]", every))
+    assert steady.isdisjoint(re.findall(f"[{T.UNSTEADY}]", every)) and len(steady) + len(re.findall(f"[{T.UNSTEADY}]", every)) == len(every)
+
+
 def test_runs_of_many_keys_are_hashed_together():
     keys = ["a b c d", None, "", "one two three", "foobar foobar foobar foobar x", "w" * 300 + " a b c d e"]
     together = H.batch_run_hashes(keys, 4)
