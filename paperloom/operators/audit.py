@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Rule = tuple[str, DataFrame, str, DataFrame, str]
@@ -20,10 +20,26 @@ def orphans(rules: list[Rule]) -> DataFrame:
     return reduce(DataFrame.unionByName, (one(*r) for r in rules))
 
 
-def duplicates(rows: DataFrame, keys: tuple[str, ...], rule: str) -> DataFrame:
-    """Keys that occur more than once: rule, subject, n."""
-    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return found.select(F.lit(rule).alias("rule"), F.concat_ws("/", *keys).alias("subject"), "n")
+def finding(rule: str, subject: Column, n: Column, broken: Column) -> Column:
+    """rule, subject, n where `broken` holds, else null."""
+    return F.when(broken, F.struct(F.lit(rule).alias("rule"), subject.alias("subject"), n.alias("n")))
+
+
+def having(pairs: DataFrame, open_: DataFrame) -> DataFrame:
+    """Reports that are open although all have finished, and assignments that occur more than once: rule, subject, n.
+
+    pairs: report_id, referee_id, state, n_lines; open_: report_id. Both rules come from one pass over the pairs in
+    their order, which holds the pairs of one report at a time and no table of all.
+    """
+    of = Window.partitionBy("report_id")
+    done = F.bool_and(F.coalesce(F.col("state") == "completed", F.lit(False))).over(of)
+    first = F.row_number().over(of.orderBy("referee_id")) == 1
+    p = pairs.select("report_id", "referee_id", "n_lines", F.count(F.lit(1)).over(of).alias("n"), done.alias("done"), first.alias("first"))
+    p = p.withColumn("done", F.col("done") & F.col("first")).where("done OR n_lines > 1")
+    copies = open_.repartition("report_id").groupBy("report_id").agg(F.count(F.lit(1)).alias("copies"))
+    twice = finding("duplicate_assignment", F.concat("report_id", F.lit("/"), "referee_id"), F.col("n_lines"), F.col("n_lines") > 1)
+    late = finding("all_done_not_completed", F.col("report_id").cast("string"), F.col("n") * F.col("copies"), F.col("done") & F.col("copies").isNotNull())
+    return p.join(copies, "report_id", "left").select(F.inline(F.array_compact(F.array(twice, late))))
 
 
 def drift(stored: DataFrame, computed: DataFrame, key: str, value: str, tolerance: float = 0.05) -> DataFrame:

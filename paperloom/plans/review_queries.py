@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import audit, review
 from paperloom.operators.export import BACK, FRONT, category_sheets, score_sheet, titled
-from paperloom.sources.tables import ASSIGNMENTS_SQL, MESSAGES_SQL, REPORTS_SQL, assignments, messages, reports, table
+from paperloom.sources.tables import ASSIGNMENTS_SQL, MESSAGES_SQL, REPORTS_SQL, assigned_lines, assignments, messages, reports, table
 
 TODAY = "2000-01-01"
 
@@ -298,11 +298,7 @@ SELECT 'all_done_not_completed' AS rule, CAST(report_id AS VARCHAR) AS subject,
 WHERE reports.state <> 'completed' GROUP BY report_id HAVING bool_and(coalesce(a.state = 'completed', false))
 UNION ALL SELECT 'duplicate_assignment', l_orderkey || '/' || l_suppkey, count(*) FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1""")
 def having_audit(spark, d):
-    open_ = reports(spark, d).where("state <> 'completed'").select("report_id")
-    done = assignments(spark, d).join(open_, "report_id").groupBy("report_id")
-    done = done.agg(F.bool_and(F.coalesce(F.col("state") == "completed", F.lit(False))).alias("all_done"), F.count(F.lit(1)).alias("n")).where("all_done")
-    first = done.select(F.lit("all_done_not_completed").alias("rule"), F.col("report_id").cast("string").alias("subject"), "n")
-    return first.unionByName(audit.duplicates(table(spark, d, "lineitem"), ("l_orderkey", "l_suppkey"), "duplicate_assignment"))
+    return audit.having(assigned_lines(spark, d), reports(spark, d).where("state <> 'completed'").select("report_id"))
 
 
 @query("state_tabs", f"""WITH {REPORTS_SQL}
