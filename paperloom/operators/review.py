@@ -17,12 +17,15 @@ def _done(state: str = "state") -> Column:
     return F.coalesce(F.col(state) == "completed", F.lit(False))
 
 
-def final_scores(assignments: DataFrame) -> DataFrame:
-    """Per report: final (mean of completed totals, one decimal; null without any), spread (max - min), n_scores."""
+def score_columns() -> list[Column]:
+    """final (mean of completed totals, one decimal; null without any), spread (max - min), n_scores of a group of assignments."""
     total = F.when(_done(), F.col("total"))
-    return assignments.groupBy("report_id").agg(
-        round_up_half(F.avg(total)).alias("final"), round_up_half(F.max(total) - F.min(total)).alias("spread"), F.count(total).alias("n_scores")
-    )
+    return [round_up_half(F.avg(total)).alias("final"), round_up_half(F.max(total) - F.min(total)).alias("spread"), F.count(total).alias("n_scores")]
+
+
+def final_scores(assignments: DataFrame) -> DataFrame:
+    """Per report: final, spread, n_scores."""
+    return assignments.groupBy("report_id").agg(*score_columns())
 
 
 def pass_marks(scores: DataFrame, mark: float, n_assigned: str = "n_assigned") -> DataFrame:
@@ -164,9 +167,12 @@ def clamp_scores(scores: DataFrame, rubric: DataFrame) -> DataFrame:
 
 
 def criterion_average(scores: DataFrame) -> DataFrame:
-    """Mean over those who scored the criterion, how many they are, and the notes that are not blank, in order."""
+    """Mean over those who scored the criterion, how many they are, and the notes that are not blank, in order.
+
+    A report has few scores, so these meet first and what is grouped by report needs no other shuffle.
+    """
     note = F.when(F.trim("note") != "", F.struct("referee_id", "note"))
-    return scores.groupBy("report_id", "criterion").agg(
+    return scores.repartition("report_id").groupBy("report_id", "criterion").agg(
         round_up_half(F.avg("score")).alias("mean"), F.count("score").alias("n_scorers"),
         F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]).alias("notes"),
     )

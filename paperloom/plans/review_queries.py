@@ -262,10 +262,10 @@ SELECT category AS sheet, CASE WHEN (SELECT count(*) FROM size) > 1 THEN categor
          coalesce(regexp_replace(CAST(spread AS VARCHAR), '[.]0$', ''), ''), coalesce(notes, ''), '', '', '', CAST(CAST(uploaded AS DATE) AS VARCHAR)) AS line
 FROM reports JOIN heads USING (category) JOIN own USING (report_id) JOIN size USING (category) LEFT JOIN who USING (report_id) LEFT JOIN scores USING (report_id)""")
 def category_sheets_query(spark, d):
-    r, a, scores = reports(spark, d), assignments(spark, d), _criteria(spark, d)
-    no = F.substring("criterion", 2, 9).cast("int")
-    rubric = scores.join(r.select("report_id", "category"), "report_id").where(no <= F.substring("category", 1, 1).cast("int") + 1)
-    rubric = rubric.select("category", "criterion", no.alias("ord"), F.concat(F.lit("Kriter "), no).alias("name"), (no * 10.0).alias("points")).distinct()
+    r, a = reports(spark, d).repartition("report_id"), assignments(spark, d)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("ord"))
+    rubric = lines.join(r.select("report_id", "category"), "report_id").where(F.col("ord") <= F.substring("category", 1, 1).cast("int") + 1).select("category", "ord").distinct()
+    rubric = rubric.select("category", F.concat(F.lit("C"), "ord").alias("criterion"), "ord", F.concat(F.lit("Kriter "), "ord").alias("name"), (F.col("ord") * 10.0).alias("points"))
     nothing = F.lit(None).cast("string")
     full = r.select(
         "report_id", "category", F.concat(F.lit("TF-"), "report_id").alias("number"), F.concat(F.lit("T"), "team_id").alias("team"), F.col("team_id").alias("team_code"),
@@ -273,7 +273,7 @@ def category_sheets_query(spark, d):
         nothing.alias("findings"), nothing.alias("sources"), nothing.alias("similarity"), F.to_date("uploaded").alias("done_on"),
     )
     given = a.select("report_id", F.concat(F.lit("R"), "referee_id").alias("referee"), "state", "total", F.col("deadline").cast("string").alias("note"))
-    return titled(category_sheets(full, rubric, review.criterion_average(scores), given))
+    return titled(category_sheets(full, rubric, review.criterion_average(_criteria(spark, d)), given))
 
 
 @query("orphan_audit", """

@@ -52,3 +52,9 @@ def test_audit_reads_lines_once_and_groups_after_the_shuffle(spark):
             above.append(x.lstrip(" :+-"))
             at = depth(x)
     assert [x.split()[0] for x in above if x.startswith(("Exchange", "SortAggregate", "HashAggregate", "ObjectHashAggregate"))][0] == "Exchange"
+
+
+def test_sheets_read_lines_three_times_and_move_no_lines_by_sheet(spark):
+    plan = plan_of(registry.QUERIES["category_sheets"](spark, SF))
+    assert plan.count("lineitem.parquet") == 3
+    assert "Exchange hashpartitioning(coalesce(sheet" not in plan

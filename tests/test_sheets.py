@@ -106,3 +106,9 @@ def test_missing_columns(spark, tmp_path):
     sheets.register(spark)
     with pytest.raises(Exception, match="head"):
         spark.range(1).selectExpr("'a' AS sheet", "'x' AS line").write.format("sheets").mode("append").option("path", str(tmp_path)).save()
+
+
+def test_notes_stay_as_they_are(spark):
+    (r,) = made(spark, [report(1)], RUBRIC, [], [(1, "Ada", "completed", 40.0, "as in 2.0"), (1, "Ece", "draft", 7.0, 'a;\nb "c"')]).collect()
+    got = dict(zip(*csv.reader(io.StringIO(r["head"] + "\n" + r["line"]), delimiter=";"), strict=True))
+    assert (got["Hakem Puanları"], got["Hakem Notları"]) == ("Ada: 40", 'Ada: as in 2.0 | Ece: a; b "c"')
