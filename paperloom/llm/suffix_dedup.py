@@ -5,7 +5,8 @@ of one anchor form a segment, so equal strings always lie in segments of one anc
 
 1. Each text becomes 64-bit fingerprints of its segments, packed and dealt by anchor. Of segments of equal anchor and
    fingerprint only the smallest document's may hold anything new: all others are covered whole.
-2. Where one anchor has several different segments, one copy of each is laid out in a shard with its document's number.
+2. Where different segments of one anchor have 17 bytes before it or 18 behind it in common, as equal strings do, one copy
+   of each is laid out in a shard with its document's number.
 3. A shard's Burrows-Wheeler transform is expanded breadth-first: intervals of strings of 1, 2, 3 ... bytes come from
    those one byte shorter by backward extension, until only intervals of MIN_BYTES are left. Each is one string, with
    all its places; the smallest document among them owns it, and its other places are covered.
@@ -24,12 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
-from paperloom.session import materialize
+from paperloom.session import discard, materialize
 
 MIN_BYTES, GRAM = 50, 16
 #: Text bytes for each bucket of anchors, bytes of a shard, and bytes of text that the kernels work on at once.
 BUCKET_BYTES, SHARD_BYTES, SLICE = 8 << 20, 1 << 19, 1 << 17
-#: Different segments of an anchor from which on each string is dealt by itself, so that no shard grows with an anchor.
+#: Buckets for each share of the documents that replies are gathered for.
+SHARED = 4
+#: Places of the anchor in a string from which on LEFT bytes stand before it; at all others RIGHT stand behind it.
+LEFT = (MIN_BYTES - GRAM) // 2
+RIGHT = MIN_BYTES - GRAM - LEFT + 1
+#: Segments to compare of an anchor from which on each string is dealt by itself, so that no shard grows with an anchor.
 HOT = 5_000
 #: Repeated segments that a task remembers, so that of their later copies only smaller documents' travel.
 REMEMBERED = 1 << 17
@@ -39,12 +45,14 @@ _LAST = (1 << 63) - 1
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Largest code of a context, and what the three parts of 16 bits that two codes travel in count.
+_CODE, _PARTS = 0xFFFFFF, np.array([1, 1 << 16, 1 << 32])
 #: A random number for each byte, for fingerprints.
 _BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
-_DEALT = "bucket int, settled boolean, docs binary, keys binary, counts binary, pairs binary, anchors binary"
-_REPLY = "share int, docs binary, counts binary, pairs binary"
-_TOLD = "k long, covered binary, shown binary, hot binary"
+_DEALT = "bucket int, settled boolean, base long, docs binary, tags binary, counts binary, pairs binary, anchors binary, codes binary"
+_REPLY = "share int, base long, docs binary, tags binary, counts binary, pairs binary"
+_TOLD = "d long, tag long, covered binary, shown binary, hot binary"
 _FOUND = "k long, d long, starts binary, ends binary, key long, at long, content binary"
 _SPANS = "k long, starts binary, ends binary"
 
@@ -65,9 +73,38 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor and fingerprint (64 bits each), row, first byte and number of strings of each segment."""
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+def _contexts(gram: np.ndarray, wide: np.ndarray, anchor: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Codes (24 bits each, from 1) of the LEFT bytes before the anchor of each segment and, in the lower 24 bits, of the RIGHT
+    ones behind it; 0 where no string of the segment has so many. Both are 0 where the anchor stands several times.
+
+    `anchor`: of each place, with `first` and `size` of the segments. Equal strings of two segments have their anchor at
+    one place, so the segments agree in one code that is not 0, or one of them has none.
+    """
+    reach = MIN_BYTES - GRAM
+    # A gram is an anchor if the largest anchor of the strings that hold it is no other.
+    most = ~_least(~np.concatenate([np.zeros(reach, np.uint64), anchor, np.zeros(reach, np.uint64)]), reach + 1)
+    places = np.flatnonzero(gram == most)
+    low, high = np.searchsorted(places, first), np.searchsorted(places, first + size + reach)
+    n = high - low
+    at = places[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    owner = np.repeat(np.arange(len(first)), n)
+    same = gram[at] == anchor[first[owner]]
+    at, owner = at[same], owner[same]
+    once = np.bincount(owner, minlength=len(first)) == 1
+    place = np.zeros(len(first), np.int64)
+    place[owner] = at
+    left, right = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+    code = lambda p, a, b, c: W.mix(W.mix(W.mix(wide[p + a]) ^ wide[p + b]) ^ wide[p + c]) % _U(_CODE) + _U(1)
+    has = once & (place - first >= LEFT)
+    left[has] = code(place[has], -LEFT, 8 - LEFT, -8)
+    has = once & (place - first - size + 1 < LEFT)
+    right[has] = code(place[has], GRAM, GRAM + 8, GRAM + RIGHT - 8)
+    return left << _U(24) | right
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, contexts: bool = False) -> tuple[np.ndarray, ...]:
+    """Anchor and fingerprint (64 bits each), row, first byte and number of strings of each segment, and its `_contexts`."""
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint64)[: 5 + contexts])
     if len(data) < MIN_BYTES:
         return none
     x = data.astype(np.uint64)
@@ -92,7 +129,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_MUL, len(x)))])
     length = size + MIN_BYTES - 1
     print_ = W.mix((sums[first + length] - sums[first]) * _powers(_INV, int(first.max()) + 1)[first] ^ length.astype(np.uint64)) if len(first) else none[1]
-    return anchor[first], print_, np.searchsorted(offsets, first, "right") - 1, first, size
+    more = (_contexts(gram, wide, anchor, first, size),) if contexts else ()
+    return anchor[first], print_, np.searchsorted(offsets, first, "right") - 1, first, size, *more
 
 
 def _blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -103,14 +141,39 @@ def _blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     )
 
 
-def _packed(bucket: int, settled: bool, doc: np.ndarray, key: np.ndarray, pair: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
-    """Entries of one bucket, by document: each document's number and key once, then its pairs and their anchors."""
-    order = np.argsort(key, kind="stable")
-    keys, first = np.unique(key[order], return_index=True)
-    counts = np.diff(np.append(first, len(key)))
-    row = {"bucket": pa.array([bucket], pa.int32()), "settled": pa.array([settled]), "docs": [doc[order][first].tobytes()], "keys": [keys.tobytes()]}
-    row |= {"counts": [counts.astype(np.int32).tobytes()], "pairs": [pair[order].tobytes()], "anchors": [b"" if settled else anchor[order].astype(np.uint32).tobytes()]}
-    return pa.RecordBatch.from_pydict(row)
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """`x`, not negative, in as few bytes a number as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())))
+
+
+def _grouped(group: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+    """First entry of each document of a group (entries are in this order), the groups' edges among these, and their columns:
+    documents as distances from the least one, and tags."""
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(group[first]) != 0)), len(first))
+    base = doc.min()
+    docs = _narrow(doc[first].view(np.uint64) - base.view(np.uint64))
+    return first, edges, {"base": pa.array(np.full(len(edges) - 1, base)), "docs": _blobs(docs, edges), "tags": _blobs(tag[first], edges)}
+
+
+def _documents(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    tags = _numbers(batch, "tags", i, np.uint32)
+    apart = _numbers(batch, "docs", i, len(tags))
+    return (apart.astype(np.uint64) + np.array([batch.column("base")[i].as_py()]).view(np.uint64)).view(np.int64), tags
+
+
+def _packed(bucket: np.ndarray, settled: bool, doc: np.ndarray, tag: np.ndarray, pair: np.ndarray, anchor: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: each document of its entries once, how many these are, then their pairs, anchors and codes."""
+    order = np.lexsort((tag, doc, bucket))
+    bucket, doc, tag = bucket[order], doc[order], tag[order]
+    first, edges, row = _grouped(bucket, doc, tag)
+    rows = np.append(first, len(doc))[edges]
+    row |= {"bucket": pa.array(bucket[rows[:-1]].astype(np.int32)), "settled": pa.array([settled] * (len(edges) - 1))}
+    row |= {"counts": _blobs(_narrow(np.diff(np.append(first, len(doc)))), edges), "pairs": _blobs(pair[order], rows)}
+    none = np.zeros(len(rows), np.int64) if settled else rows
+    row |= {"anchors": _blobs(anchor[order].astype(np.uint32), none), "codes": _blobs(code[order].view(np.uint16).reshape(-1, 4)[:, :3], 3 * none)}
+    names = [x.split()[0] for x in _DEALT.split(", ")]
+    return pa.RecordBatch.from_arrays([row[x] for x in names], names=names)
 
 
 class _Remembered:
@@ -143,73 +206,79 @@ def _deal(buckets: int):
         part, memory = TaskContext.get().partitionId(), _Remembered()
         for turn, batch in enumerate(batches):
             data, offsets = W.utf8(batch.column("text"))
-            keys, docs = batch.column("k").to_numpy(), batch.column("d").to_numpy()
+            tags, docs = batch.column("tag").to_numpy().astype(np.uint32), batch.column("d").to_numpy()
             found = []
             for i, j in W.slices(offsets, SLICE):
-                a, f, r, _, _ = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found.append((a, f, i + r))
+                a, f, r, _, _, c = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], True)
+                found.append((a, f, i + r, c))
             if not found:
                 continue
-            anchor, pair, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            anchor, pair, row, code = (np.concatenate(x) for x in zip(*found, strict=True))
             if not len(row):
                 continue
-            order = np.lexsort((keys[row], docs[row], pair))
-            anchor, pair, row = anchor[order], pair[order], row[order]
-            doc, key = docs[row], keys[row]
+            order = np.lexsort((tags[row], docs[row], pair))
+            anchor, pair, row, code = anchor[order], pair[order], row[order], code[order]
+            doc, tag = docs[row], tags[row]
             new = np.append(True, pair[1:] != pair[:-1])
             group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            again = np.append(False, ~new[1:] & (key[1:] == key[:-1]))
+            again = np.append(False, ~new[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]))
             done = memory.settled(pair[first], doc[first], np.diff(np.append(first, len(pair))) > 1)
             settled = (doc > doc[first][group]) | done[group]
             at = np.flatnonzero(settled & ~again)
             if len(at):
-                where = int(W.mix(np.array([part << 20 | turn], np.uint64))[0] % _U(buckets))
-                yield _packed(where, True, doc[at], key[at], pair[at], anchor[at])
+                where = W.mix(np.array([part << 20 | turn], np.uint64)) % _U(buckets)
+                yield _packed(np.repeat(where, len(at)), True, doc[at], tag[at], pair[at], anchor[at], code[at])
             at = np.flatnonzero(~settled & ~again)
-            bucket = (((anchor[at] >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, bucket = at[order], bucket[order]
-            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(at)) if len(at) else []
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                m = at[x:y]
-                yield _packed(int(bucket[x]), False, doc[m], key[m], pair[m], anchor[m])
+            if len(at):
+                yield _packed(((anchor[at] >> _U(32)) * _U(buckets)) >> _U(32), False, doc[at], tag[at], pair[at], anchor[at], code[at])
 
     return run
 
 
-def _replies(key: np.ndarray, pair: np.ndarray, kind: np.ndarray, shares: int) -> pa.Table:
+def _replies(doc: np.ndarray, tag: np.ndarray, pair: np.ndarray, kind: np.ndarray, shares: int) -> pa.Table:
     """One row for each share of the documents that occurs: its documents, their pairs of each kind by number, the pairs."""
-    share = (W.mix(key.astype(np.uint64)) % _U(shares)).astype(np.int64)
-    order = np.lexsort((kind, key, share))
-    key, pair, kind, share = key[order], pair[order], kind[order], share[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
-    counts = np.bincount((np.cumsum(new) - 1) * 3 + kind, minlength=3 * len(first)).astype(np.int64)
-    shares_, cut = np.unique(share[first], return_index=True)
-    cut = np.append(cut, len(first))
-    cols = [_blobs(key[first].astype(np.int64), cut), _blobs(counts, 3 * cut), _blobs(pair, np.append(first, len(key))[cut])]
-    return pa.Table.from_arrays([pa.array(shares_, pa.int32()), *cols], names=["share", "docs", "counts", "pairs"])
+    share = W.mix(doc.view(np.uint64) * _MUL ^ tag) % _U(shares)
+    order = np.lexsort((kind, tag, doc, share))
+    doc, tag, pair, kind, share = doc[order], tag[order], pair[order], kind[order], share[order]
+    first, edges, row = _grouped(share, doc, tag)
+    rows = np.append(first, len(doc))
+    counts = np.bincount(np.repeat(np.arange(len(first)), np.diff(rows)) * 3 + kind, minlength=3 * len(first))
+    row |= {"share": pa.array(share[rows[edges[:-1]]].astype(np.int32)), "counts": _blobs(_narrow(counts), 3 * edges), "pairs": _blobs(pair, rows[edges])}
+    names = [x.split()[0] for x in _REPLY.split(", ")]
+    return pa.Table.from_arrays([row[x] for x in names], names=names)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What all buckets reply to a share of the documents, by document."""
-    doc, pair, kind = [], [], []
+    got = []
     for batch in batches:
-        for d, c, p in zip(batch.column("docs"), batch.column("counts"), batch.column("pairs"), strict=True):
-            d, c = np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)
-            doc.append(np.repeat(np.repeat(d, 3), c)), kind.append(np.repeat(np.tile(np.arange(3, dtype=np.int8), len(d)), c))
-            pair.append(np.frombuffer(p.as_buffer(), np.uint64))
-    doc, pair, kind = np.concatenate(doc), np.concatenate(pair), np.concatenate(kind)
-    order = np.lexsort((kind, doc))
-    doc, pair, kind = doc[order], pair[order], kind[order]
-    docs = np.unique(doc)
-    cols = [_blobs(pair[kind == c], np.append(np.searchsorted(doc[kind == c], docs), (kind == c).sum())) for c in range(3)]
-    yield from pa.Table.from_arrays([pa.array(docs, pa.int64()), *cols], names=["k", "covered", "shown", "hot"]).to_batches()
+        for i in range(batch.num_rows):
+            d, t = _documents(batch, i)
+            counts = _numbers(batch, "counts", i, 3 * len(d)).astype(np.int64)
+            of = np.repeat(np.arange(len(d)), counts.reshape(-1, 3).sum(1))
+            got.append((d[of], t[of], np.repeat(np.tile(np.arange(3, dtype=np.int8), len(d)), counts), _numbers(batch, "pairs", i, np.uint64)))
+    doc, tag, kind, pair = (np.concatenate(x) for x in zip(*got, strict=True))
+    del got
+    order = np.lexsort((kind, tag, doc))
+    doc, tag, kind, pair = doc[order], tag[order], kind[order], pair[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    every = np.arange(len(first) + 1)
+    cols = [_blobs(pair[kind == c], np.searchsorted(group[kind == c], every)) for c in range(3)]
+    cols = [pa.array(doc[first]), pa.array(tag[first].astype(np.int64)), *cols]
+    yield from pa.Table.from_arrays(cols, names=["d", "tag", "covered", "shown", "hot"]).to_batches()
 
 
 def _numbers(batch: pa.RecordBatch, column: str, i: int, kind) -> np.ndarray:
-    return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
+    """Numbers of one row, of a type or, if `kind` tells how many they are, as wide as they then must be."""
+    blob = batch.column(column)[i].as_buffer()
+    return np.frombuffer(blob, f"u{blob.size // kind}" if isinstance(kind, int) else kind)
+
+
+def _several(group: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which entries have a code that is not 0 and that another of their group has as well."""
+    _, at, n = np.unique(group << 24 | code, return_inverse=True, return_counts=True)
+    return (code > 0) & (n[at] > 1)
 
 
 def _settle(hot: int, shares: int):
@@ -219,28 +288,33 @@ def _settle(hot: int, shares: int):
         got = []
         for batch in batches:
             for i in range(batch.num_rows):
-                counts = _numbers(batch, "counts", i, np.int32)
-                key, pair = np.repeat(_numbers(batch, "keys", i, np.int64), counts), _numbers(batch, "pairs", i, np.uint64)
+                docs, tags = _documents(batch, i)
+                counts, pair = _numbers(batch, "counts", i, len(tags)), _numbers(batch, "pairs", i, np.uint64)
+                doc, tag = np.repeat(docs, counts), np.repeat(tags, counts)
                 if batch.column("settled")[i].as_py():
-                    yield from _replies(key, pair, np.zeros(len(pair), np.int8), shares).to_batches()
+                    yield from _replies(doc, tag, pair, np.zeros(len(pair), np.int8), shares).to_batches()
                 else:
-                    got.append((np.repeat(_numbers(batch, "docs", i, np.int64), counts), key, pair, _numbers(batch, "anchors", i, np.uint32)))
+                    got.append((doc, tag, pair, _numbers(batch, "anchors", i, np.uint32), _numbers(batch, "codes", i, np.uint16).reshape(-1, 3) @ _PARTS))
         if got:
-            doc, key, pair, anchor = (np.concatenate(x) for x in zip(*got, strict=True))
+            doc, tag, pair, anchor, code = (np.concatenate(x) for x in zip(*got, strict=True))
             del got
             order = np.lexsort((doc, pair, anchor))
-            doc, key, pair, anchor = doc[order], key[order], pair[order], anchor[order]
+            doc, tag, pair, anchor, code = doc[order], tag[order], pair[order], anchor[order], code[order]
             fresh = np.append(True, anchor[1:] != anchor[:-1])
             new = np.append(True, pair[1:] != pair[:-1]) | fresh
             group = np.cumsum(new) - 1
             covered = doc > doc[new][group]
-            # Different segments of each anchor.
-            first = np.flatnonzero(fresh[new])
-            kinds = np.diff(np.append(first, int(new.sum())))[np.cumsum(fresh[new]) - 1][group]
-            code = np.where(covered, 0, np.where(kinds > hot, 2, 1)).astype(np.int8)
-            use = covered | (kinds > 1)
+            # Different segments of each anchor, and those that may have a string in common with another one.
+            of, code = np.cumsum(fresh[new]) - 1, code[new]
+            kinds, open_ = np.bincount(of), np.bincount(of, code == 0)
+            met = np.flatnonzero(kinds[of] > 1)
+            like = np.zeros(len(of), bool)
+            like[met] = (open_[of[met]] > 0) | _several(of[met], code[met] >> 24) | _several(of[met], code[met] & _CODE)
+            many = np.bincount(of, like)[of] > hot
+            use = covered | like[group]
             if use.any():
-                yield from _replies(key[use], pair[use], code[use], shares).to_batches()
+                kind = np.where(covered, 0, np.where(many[group], 2, 1)).astype(np.int8)
+                yield from _replies(doc[use], tag[use], pair[use], kind[use], shares).to_batches()
 
     return run
 
@@ -460,22 +534,29 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ("doc_id",), whole:
     string by string, and what a document is told back is bounded by its own length.
     """
     W.bound_batches(docs.sparkSession)
-    # Rows are told apart by a hash of doc_id and text: equal rows share what they are told.
+    # Rows are told apart by a hash of doc_id and text: equal rows share what they are told. On the way there 32 bits of it
+    # do, with the doc_id: what is told of a segment is the same for all rows of one doc_id.
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    slim = keyed.select(F.col("_k").alias("k"), F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text")
+    slim = keyed.select(F.col("_k").alias("k"), F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("_k").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = total // BUCKET_BYTES + 1
+    shares = buckets // SHARED + 1
     dealt = slim.mapInArrow(_deal(buckets), _DEALT)
-    # Replies travel packed by share: a row for every document and bucket would be the square of the input.
-    told = dealt.groupBy("bucket").applyInArrow(_settle(hot, buckets), _REPLY).groupBy("share").applyInArrow(_gather, _TOLD)
-    found = slim.join(told, "k").select("k", "d", "text", "covered", "shown", "hot").mapInArrow(_show, _FOUND)
+    # Replies travel packed by share: a row for every document and bucket would be the square of the input. Each table is
+    # written before the next step, so that what was shuffled for it leaves the disk.
+    told = dealt.groupBy("bucket").applyInArrow(_settle(hot, shares), _REPLY).groupBy("share").applyInArrow(_gather, _TOLD)
+    told = materialize(told, "told")
+    found = slim.join(told, ["d", "tag"]).select("k", "d", "text", "covered", "shown", "hot").mapInArrow(_show, _FOUND)
     found = materialize(found, "segments")
+    discard(told)
     shown = found.where(F.col("content").isNotNull())
     # Shards follow the bytes that are really shown, which overlap.
     shards = (shown.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // SHARD_BYTES + 1
     owned = shown.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_compare, _SPANS)
     spans = found.where(F.col("content").isNull()).select("k", "starts", "ends").unionByName(owned)
     spans = spans.groupBy("k").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).withColumnRenamed("k", "_k")
+    spans = materialize(spans, "spans")
+    discard(found)
     joined = keyed.select("_k", F.col("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)]).join(spans, "_k", "left")
     empty = F.array().cast("array<binary>")
     joined = joined.withColumns({"starts": F.coalesce("starts", empty), "ends": F.coalesce("ends", empty)}).drop("_k")

@@ -1,11 +1,14 @@
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +105,46 @@ def test_suffix_dedup_remembers_across_batches():
     assert list(seen.settled(pair, np.array([5, 5, 5]), yes)) == [True, False, False]
 
 
+def test_suffix_dedup_tells_contexts_of_an_anchor_apart():
+    # All words are frequent, some stand repeatedly: equal strings of two segments must always show in their codes.
+    rng = random.Random(5)
+    words = ["of the information society", "in the same way as before", "aaaaaaaaaaaaaaaaaaaaaaaa", "x", "and that is what", "\u00e9t\u00e9"]
+    parts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))).encode() for _ in range(80)]
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    anchor, _, row, first, size, code = suffix_dedup.segments(data, offsets, True)
+    of = defaultdict(set)
+    for i in range(len(anchor)):
+        for at in range(first[i], first[i] + size[i]):
+            of[data[at : at + 50].tobytes()].add(i)
+    assert sum(size) == sum(max(0, len(p) - 49) for p in parts) and (code == 0).any() and (code > 0).any()
+    for found in of.values():
+        for i, j in itertools.combinations(found, 2):
+            a, b = int(code[i]), int(code[j])
+            assert not a or not b or a >> 24 == b >> 24 > 0 or a & 0xFFFFFF == b & 0xFFFFFF > 0
+
+
+def test_suffix_dedup_shows_no_frequent_phrase_in_other_contexts(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(6)
+    other = lambda: "".join(rng.choice("abcdefgh") for _ in range(60))
+    shared = other() + " of the information "
+    texts = [other() + " of the information " + other() for _ in range(300)] + [shared + other() for _ in range(3)]
+    batch = pa.RecordBatch.from_pydict({"d": pa.array(range(len(texts))), "tag": pa.array(range(len(texts))), "text": texts})
+    dealt = list(suffix_dedup._deal(1)(iter([batch])))
+    told = list(suffix_dedup._gather(suffix_dedup._settle(5_000, 1)(iter(dealt))))
+    # The phrase is an anchor of all 303 texts; only those three have more than it in common.
+    assert {d for t in told for d, *kinds in zip(*(t.column(c).to_pylist() for c in ("d", "shown", "hot")), strict=True) if any(kinds)} == {300, 301, 302}
+
+
+def test_suffix_dedup_deals_few_bytes_to_many_buckets(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(2_000)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"d": pa.array(range(300)), "tag": pa.array(range(300)), "text": texts})
+    size = lambda n: sum(len(x) for b in suffix_dedup._deal(n)(iter([batch])) for c in ("docs", "tags", "counts", "pairs", "anchors", "codes") for x in b.column(c).to_pylist())
+    assert size(500) < 1.4 * size(1)
+
+
 def test_suffix_dedup_whole(docs, rows):
     got = suffix_dedup.remove_repeats(docs, ("doc_id", "source"), whole=True)
     assert got.columns[:2] == ["doc_id", "source"]

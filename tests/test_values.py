@@ -8,6 +8,7 @@ from paperloom.functions import hashing as H
 from paperloom.functions import numbers as N
 from paperloom.functions import text as T
 from paperloom.operators import audit, catalog, checks, desk, review, similarity
+from paperloom.session import materialize
 from paperloom.sources import lists
 
 
@@ -293,3 +294,12 @@ def test_parts_of_hashes_leave_no_pair_out_and_grow_with_their_number():
             assert any(changed & m & (1 << 64) - 1 == 0 for m in masks)
         sizes.append(min((m & (1 << 64) - 1).bit_count() for m in masks))
     assert sizes == sorted(sizes) and sizes[0] >= 9 and sizes[-1] >= 24
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before = files()
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")), "sums")
+    assert not [f for f in files() - before if f.startswith("shuffle_")]
+    assert table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
