@@ -29,7 +29,9 @@ from paperloom.session import discard, materialize
 
 MIN_BYTES, GRAM = 50, 16
 #: Text bytes for each bucket of anchors, bytes of a shard, and bytes of text that the kernels work on at once.
-BUCKET_BYTES, SHARD_BYTES, SLICE = 8 << 20, 1 << 19, 1 << 17
+BUCKET_BYTES, SHARD_BYTES, SLICE = 16 << 20, 1 << 19, 1 << 17
+#: Settled segments that go to one bucket.
+SETTLED = 1 << 14
 #: Buckets for each share of the documents that replies are gathered for.
 SHARED = 4
 #: Places of the anchor in a string from which on LEFT bytes stand before it; at all others RIGHT stand behind it.
@@ -226,11 +228,14 @@ def _deal(buckets: int):
             settled = (doc > doc[first][group]) | done[group]
             at = np.flatnonzero(settled & ~again)
             if len(at):
-                where = W.mix(np.array([part << 20 | turn], np.uint64)) % _U(buckets)
-                yield _packed(np.repeat(where, len(at)), True, doc[at], tag[at], pair[at], anchor[at], code[at])
+                at = at[np.lexsort((tag[at], doc[at]))]
+                where = W.mix(_U(part << 40 | turn << 20) | np.arange(len(at), dtype=np.uint64) // _U(SETTLED)) % _U(buckets)
+                yield _packed(where, True, doc[at], tag[at], pair[at], anchor[at], code[at])
             at = np.flatnonzero(~settled & ~again)
             if len(at):
-                yield _packed(((anchor[at] >> _U(32)) * _U(buckets)) >> _U(32), False, doc[at], tag[at], pair[at], anchor[at], code[at])
+                # Anchors are the least of many hashes, so they have to be mixed for all buckets to be of one size.
+                even = W.mix(anchor[at])
+                yield _packed(((even >> _U(32)) * _U(buckets)) >> _U(32), False, doc[at], tag[at], pair[at], even, code[at])
 
     return run
 

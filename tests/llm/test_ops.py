@@ -145,6 +145,21 @@ def test_suffix_dedup_deals_few_bytes_to_many_buckets(monkeypatch):
     assert size(500) < 1.4 * size(1)
 
 
+def test_suffix_dedup_deals_evenly(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(2_000)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"d": pa.array(range(600)), "tag": pa.array(range(600)), "text": texts * 2})
+    size = Counter()
+    for b in suffix_dedup._deal(20)(iter([batch])):
+        for bucket, settled, pairs in zip(*(b.column(c).to_pylist() for c in ("bucket", "settled", "pairs")), strict=True):
+            size[settled, bucket] += len(pairs)
+    # Anchors are least hashes and copies are settled by task: neither must fill a few buckets.
+    fresh = [size[False, k] for k in range(20)]
+    assert max(fresh) < 1.2 * sum(fresh) / 20
+    assert max(size[True, k] for k in range(20)) <= 2 * 8 * suffix_dedup.SETTLED < sum(size[True, k] for k in range(20))
+
+
 def test_suffix_dedup_whole(docs, rows):
     got = suffix_dedup.remove_repeats(docs, ("doc_id", "source"), whole=True)
     assert got.columns[:2] == ["doc_id", "source"]
