@@ -281,7 +281,8 @@ def image_matches(images: DataFrame) -> DataFrame:
     x = e.select(F.col("image_id").alias("a"), F.col("hash").alias("ha"), "part", "bits")
     y = e.select(F.col("image_id").alias("b"), F.col("hash").alias("hb"), "part", "bits")
     near = (F.col("a") < F.col("b")) & (H.hamming(F.col("ha"), F.col("hb")) <= IMAGE_BITS)
-    return x.join(y, ["part", "bits"]).where(near).select("a", "b", H.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct().unionByName(copies)
+    # A row for each part is made of a table that the planner knows as small: without the hint it sends them all to the driver.
+    return x.join(y.hint("merge"), ["part", "bits"]).where(near).select("a", "b", H.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct().unionByName(copies)
 
 
 def flag(pairs: DataFrame, limits: DataFrame) -> DataFrame:

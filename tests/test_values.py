@@ -303,3 +303,10 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert not [f for f in files() - before if f.startswith("shuffle_")]
     assert table.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_parts_of_image_hashes_are_not_broadcast(spark):
+    images = spark.range(100).select(F.col("id").alias("image_id"), F.xxhash64("id").alias("hash"))
+    plan = similarity.image_matches(images)._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join" in line and "part#" in line]
+    assert met and all("SortMergeJoin" in line for line in met)
