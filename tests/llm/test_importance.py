@@ -80,3 +80,13 @@ def test_matrix_holds_every_document(spark, docs):
     assert sum(len(b["doc_id"]) for b in blocks) == len(docs)
     for b in blocks:
         assert len(b["starts"]) == len(b["doc_id"]) + 1 and b["starts"][-1] == len(b["bucket"]) == len(b["n"])
+
+
+def test_matrices_are_read_by_few_blocks(spark, docs, monkeypatch):
+    read, sums, weigh = [], importance.distribution, importance.keyed
+    at = lambda f: lambda *a: (read.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")), f(*a))[1]
+    monkeypatch.setattr(importance, "distribution", at(sums))
+    monkeypatch.setattr(importance, "keyed", at(weigh))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    importance.resample(frame, frame.select("text"), buckets=97)
+    assert read == ["16"] * 3 and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
