@@ -42,11 +42,10 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(texts)), length)
     at = np.arange(begin[-1]) + 2 * text
     code = (data[at] * _BASE + data[at + 1]) * _BASE + data[at + 2]
-    order = np.lexsort((code, text))
-    c, t, k = code[order], text[order], np.arange(len(order))
-    new = np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])[: len(k)]
+    both, k = np.sort(text * _BASE**3 + code), np.arange(len(code))
+    new = np.concatenate([[True], both[1:] != both[:-1]])[: len(k)]
     again = k - np.maximum.accumulate(np.where(new, k, 0))
-    return again * _BASE**3 + c, begin
+    return again * _BASE**3 + both - text * _BASE**3, begin
 
 
 def _blocks(entries: list[bytes]) -> Iterator[list[bytes]]:
@@ -62,6 +61,18 @@ def _blocks(entries: list[bytes]) -> Iterator[list[bytes]]:
         yield block
 
 
+#: More trigrams than texts share where they are counted in a byte, and more than any do.
+_NEVER, _NONE = 255, np.iinfo(np.int64).max
+
+
+def _needed(n: int, m: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The trigrams that a key of `n` characters and entries of `m` share if they are alike, _NONE where the entry's length is
+    not within a quarter: the least, all, and all as a byte."""
+    longer = np.maximum(n, m)
+    most = np.where((m >= n - n // EDITS) & (m <= n + n // (EDITS - 1)), longer + 2 - 3 * (longer // EDITS), _NONE)
+    return int(most.min()), most, np.minimum(most, _NEVER).astype(np.uint8)
+
+
 def _near(keys: list[bytes], entries: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
     """For each block and key: the key's number, the entries that may be alike, and the block.
 
@@ -78,17 +89,19 @@ def _near(keys: list[bytes], entries: list[bytes]) -> Iterator[tuple[int, np.nda
         has[row, np.repeat(np.arange(len(block)), m + 2)] = 1
         place = np.searchsorted(known, grams)
         found = known[np.minimum(place, len(known) - 1)] == grams
-        # A key's length says which entries count: those of a length within a quarter.
-        low, high = np.searchsorted(m, n - n // EDITS), np.searchsorted(m, n + n // (EDITS - 1), "right")
-        for k in np.flatnonzero(low < high):
-            a, b = begin[k], begin[k + 1]
-            part = place[a:b][found[a:b]]
-            kind = np.uint8 if len(part) < 256 else np.uint32
-            shared = has[part, low[k] : high[k]].sum(0, dtype=kind)
-            longer = np.maximum(n[k], m[low[k] : high[k]])
-            near = np.flatnonzero(shared >= longer + 2 - 3 * (longer // EDITS))
+        # What is known of a key's trigrams, key by key; what its entries have to share follows from its length.
+        part, ends = place[found], np.concatenate([[0], np.cumsum(found)])[begin]
+        need: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for k, (size, i, j) in enumerate(zip(n.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if size not in need:
+                need[size] = _needed(size, m)
+            least, most, small = need[size]
+            if j - i < least:
+                continue
+            rows = has.take(part[i:j], axis=0)
+            near = np.flatnonzero(rows.sum(0, dtype=np.uint8) >= small if j - i < _NEVER else rows.sum(0, dtype=np.int64) >= most)
             if len(near):
-                yield k, near + low[k], block
+                yield k, near, block
 
 
 def _candidates(left: pa.Table, right: pa.Table) -> pa.Table:

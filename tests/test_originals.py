@@ -1,6 +1,8 @@
 """Similar lines against all pairs; original texts and residue of guidance on small outlines."""
 
+import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -141,3 +143,32 @@ def test_original_texts_write_each_text_once(spark, monkeypatch):
     # The lines of the first document are alike.
     assert found == {1: ("", 0, False), None: ("", 0, False), 3: ("", 0, False)}
     assert written == [["doc_id", "lines"], ["key"]]
+
+
+def test_near_entries_are_all_that_share_enough(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeghiklnorst") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    runs = lambda k: [rng.choice(words) for _ in range(k)]
+    passages = [runs(60) for _ in range(6)]
+    entries = [" ".join(p[k : k + 12]) for p in passages for k in range(0, 49, 3)] + ["", "ab", "x" * 300, "ab " * 120]
+    keys = ["x" * 290] + [" ".join(runs(rng.randint(0, 14))) for _ in range(300)] + ["", "ab", "ab " * 130, "q" * 70]
+    for e in entries:
+        t = list(e)
+        for _ in range(rng.randint(0, len(t) // 4)):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice(["", "q", t[i] + "z"])
+        keys.append("".join(t))
+    keys, entries = ([x.encode() for x in dict.fromkeys(v)] for v in (keys, entries))
+    grams = lambda t: Counter((b"##" + t + b"##")[i : i + 3] for i in range(len(t) + 2))
+    want = set()
+    for k, e in itertools.product(keys, entries):
+        most = max(len(k), len(e))
+        fits = len(e) >= len(k) - len(k) // O.EDITS and len(e) <= len(k) + len(k) // (O.EDITS - 1)
+        if fits and (grams(k) & grams(e)).total() >= most + 2 - 3 * (most // O.EDITS):
+            want.add((k, e))
+    # What is needed is found once for a length, not for each key.
+    asked, needed = Counter(), O._needed
+    monkeypatch.setattr(O, "_needed", lambda n, m: (asked.update([(n, len(m))]), needed(n, m))[1])
+    got = [(keys[k], block[i]) for k, near, block in O._near(keys, entries) for i in near]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert max(asked.values()) == 1 < len(asked)
